@@ -135,3 +135,38 @@ def ix_where(cond: str) -> str:
 def ix_sql(name: str) -> str:
     """Oracle rows of one stored instruction table."""
     return ix_where(f"ix_name = '{name}'")
+
+
+# ---------------------------------------------------- SQL payload builders --
+
+def sql_le_hex(expr: str, n: int) -> str:
+    """DuckDB: little-endian hex of an integer in ``n`` bytes (two's complement)."""
+    h = f"right(lpad(hex(CAST({expr} AS BIGINT)), 16, '0'), {2 * n})"
+    return "(" + " || ".join(f"substr({h}, {2 * i + 1}, 2)" for i in reversed(range(n))) + ")"
+
+
+def sql_disc(prefix: str, name_expr: str) -> str:
+    return f"substr(sha256('{prefix}' || {name_expr}), 1, 16)"
+
+
+def sql_b64(hex_expr: str) -> str:
+    return f"to_base64(unhex({hex_expr}))"
+
+
+def sql_str_hex(text_expr: str) -> str:
+    """DuckDB: Borsh string (u32 LE length + UTF-8 bytes) as hex."""
+    return f"({sql_le_hex(f'octet_length(encode({text_expr}))', 4)} || hex(encode({text_expr})))"
+
+
+# transactions as scanned: one row per derived transaction
+TX = f"""
+SELECT signature, slot, tx_index, block_time, event_type <> 'error' AS ok FROM ({ACT}) a
+UNION ALL
+SELECT signature, slot, tx_index, block_time, l_returnflag <> 'R' AS ok FROM ({STL}) s"""
+
+ACT_IX_HEX = (f"({sql_disc('global:', 'event_type')} || {sql_le_hex('amount', 8)} || {sql_le_hex('k', 2)} "
+              f"|| {sql_le_hex('user_id', 4)})")
+STL_IX_HEX1 = (f"({sql_disc('global:', chr(39) + 'settle' + chr(39))} || {sql_le_hex('quantity', 8)} "
+               f"|| {sql_le_hex('price', 8)} || {sql_le_hex('discount', 1)})")
+STL_IX_HEX2 = (f"({sql_disc('global:', chr(39) + 'settle' + chr(39))} || {sql_le_hex('0', 8)} "
+               f"|| {sql_le_hex('tax', 8)} || {sql_le_hex('0', 1)})")

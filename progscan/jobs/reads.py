@@ -91,11 +91,11 @@ def ix_page_next(spark, sf):
 
 
 @job("ix_query_eq",
-     f"SELECT {_PAGE_COLS} FROM {ix_sql(PAGE_TABLE)} t WHERE account_user = 'u42' AND arg_k = '7' "
+     f"SELECT {_PAGE_COLS} FROM {ix_sql(PAGE_TABLE)} t WHERE account_user = 'u42' AND arg_userid = '42' "
      f"ORDER BY slot, id LIMIT 51")
 def ix_query_eq(spark, sf):
     """C-6: equality filters; the unsafe key is ignored, NULL values are skipped."""
-    filters = {"account_user": "u42", "arg_k": "7", "DROP TABLE--": "x", "arg_amount": None}
+    filters = {"account_user": "u42", "arg_userid": "42", "DROP TABLE--": "x", "arg_amount": None}
     probe, _ = Q.page_frame(ix_table(spark, sf, PAGE_TABLE), None, None, filters)
     return probe.select(*[c.strip() for c in _PAGE_COLS.split(",")])
 
