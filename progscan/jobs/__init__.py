@@ -1,4 +1,4 @@
 """Jobs registered for the driver: ``QUERIES`` (Spark) and ``ORACLE`` (DuckDB SQL)."""
 
-from progscan.jobs import decode_jobs, ingest_jobs, reads  # noqa: F401
+from progscan.jobs import account_jobs, decode_jobs, ingest_jobs, reads  # noqa: F401
 from progscan.jobs._base import ORACLE, QUERIES  # noqa: F401
