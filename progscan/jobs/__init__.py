@@ -1,4 +1,6 @@
 """Jobs registered for the driver: ``QUERIES`` (Spark) and ``ORACLE`` (DuckDB SQL)."""
 
-from progscan.jobs import account_jobs, decode_jobs, ingest_jobs, quality_jobs, reads, schema_jobs  # noqa: F401
+from progscan.jobs import (  # noqa: F401
+    account_jobs, decode_jobs, ingest_jobs, quality_jobs, reads, schema_jobs, stream_jobs,
+)
 from progscan.jobs._base import ORACLE, QUERIES  # noqa: F401
