@@ -158,7 +158,8 @@ def _vec(elem: IdlType, raw: Column, n: Column, o: Column) -> Piece:
     short = n < o + 4
     cnt = B.read_unsigned(raw, o, 4)
     if isinstance(elem, dict) and "defined" in elem:
-        k = F.least(cnt, F.lit(MAX_ZERO_WIDTH_ITEMS))
+        # items are read while the cursor is inside the data; it never moves
+        k = F.when(n > o + 4, F.least(cnt, F.lit(MAX_ZERO_WIDTH_ITEMS))).otherwise(F.lit(0))
         body = F.when(k > 0, F.concat(F.lit("["), F.repeat(F.lit("null,"), k - 1), F.lit("null]"))) \
             .otherwise(F.lit("[]"))
         text = F.when(short, _L.null_s).otherwise(body)
