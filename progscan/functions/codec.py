@@ -44,10 +44,12 @@ def lenient_unbase64(text) -> Column:
     (padding included), and drops one dangling character that cannot form a
     byte. ``unbase64`` alone raises on a dangling character.
     """
-    c = F.regexp_replace(F.translate(_c(text), "-_", "+/"), "[^A-Za-z0-9+/]", "")
+    t = _c(text)
+    c = F.regexp_replace(F.translate(t, "-_", "+/"), "[^A-Za-z0-9+/]", "")
     n = F.length(c)
     keep = n - F.when(n % 4 == 1, F.lit(1)).otherwise(F.lit(0))
-    return F.unbase64(F.substring(c, F.lit(1), keep))
+    # strict decode first (no regex on the common, clean path); coalesce is lazy
+    return F.coalesce(F.try_to_binary(t, F.lit("base64")), F.unbase64(F.substring(c, F.lit(1), keep)))
 
 
 def normalise_name(name) -> Column:

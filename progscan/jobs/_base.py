@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from progscan.operators import ingest as I
 from progscan.operators import store as S
 from progscan.sources import derived as D
+from progscan.sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,11 +37,25 @@ PID = D.PROGRAM_ID
 
 
 def transactions(spark: SparkSession, sf: str) -> DataFrame:
-    return D.all_transactions(spark, sf)
+    """The transaction table (stand-in chain data, written once, sorted by slot)."""
+    return staged(spark, sf, "transactions", lambda: D.all_transactions(spark, sf), sort_by=["slot", "tx_index"])
+
+
+def activity_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    return staged(spark, sf, "activity_transactions", lambda: D.activity_transactions(spark, sf),
+                  sort_by=["slot", "tx_index"])
+
+
+def raw_accounts(spark: SparkSession, sf: str) -> DataFrame:
+    return staged(spark, sf, "raw_accounts", lambda: D.raw_accounts(spark, sf), sort_by=["slot"])
+
+
+def account_updates(spark: SparkSession, sf: str) -> DataFrame:
+    return staged(spark, sf, "account_updates", lambda: D.account_updates(spark, sf), sort_by=["slot"])
 
 
 def decoded(spark: SparkSession, sf: str) -> DataFrame:
-    """All decoded instruction rows (before insert-ignore)."""
+    """All decoded instruction rows (before insert-ignore) -- the ingest decode, computed."""
     return I.decode_instructions(transactions(spark, sf), IDL, PID)
 
 
@@ -53,20 +68,32 @@ def arrival_order(df: DataFrame) -> list[str]:
     return ["slot", "id"] + [c for c in df.columns if c not in ("ix_name", "signature", "slot", "id")]
 
 
-def stored(spark: SparkSession, sf: str) -> DataFrame:
-    """Instruction rows as stored: first row per (table, signature)."""
+def ingest_instructions(spark: SparkSession, sf: str) -> DataFrame:
+    """Insert-ignore of the decoded rows: first row per (table, signature)."""
     d = decoded(spark, sf)
     return S.insert_ignore(d, ["ix_name", "signature"], arrival_order(d))
 
 
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored instruction tables: one folder per table (``ix_name``), sorted by (slot, id)."""
+    return staged(spark, sf, "ix_stored", lambda: ingest_instructions(spark, sf),
+                  partition_by=["ix_name"], sort_by=["slot", "id"])
+
+
 def ix_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return I.instruction_table(stored(spark, sf), IDL, name)
 
 
-def events(spark: SparkSession, sf: str) -> DataFrame:
+def decode_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Event decode from the transaction logs, computed."""
     return I.decode_events(transactions(spark, sf), IDL)
 
 
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored events table, sorted by (slot, id)."""
+    return staged(spark, sf, "events", lambda: decode_events(spark, sf), sort_by=["slot", "id"])
+
+
 # ------------------------------------------------------------- SQL pieces --
 # DuckDB twins of the derivations in ``progscan.sources.derived``.
 

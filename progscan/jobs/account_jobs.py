@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from progscan.jobs._base import ACT, IDL, job
+from progscan.jobs._base import ACT, IDL, account_updates, job, raw_accounts
 from progscan.operators import accounts as A
 from progscan.operators import query as Q
 from progscan.operators.ingest import decode_accounts
@@ -43,14 +43,14 @@ RETENTION_BUCKET, RETENTION_FROM = 1000, 6500
 
 def history(spark, sf):
     """B-6 / A-10: decoded account-change observations (append-only)."""
-    h = decode_accounts(D.account_updates(spark, sf), IDL, ["Customer"])
+    h = decode_accounts(account_updates(spark, sf), IDL, ["Customer"])
     return h.select("pubkey", "slot", "seq", "custkey", "nationkey", "balance", "segment")
 
 
 @job("acc_scan_type", _CUST_SQL)
 def acc_scan_type(spark, sf):
     """A-7 + E-22: accounts of one type by 8-byte prefix, decoded."""
-    acc = A.scan_type(D.raw_accounts(spark, sf), "Customer")
+    acc = A.scan_type(raw_accounts(spark, sf), "Customer")
     d = decode_accounts(acc, IDL, ["Customer"])
     return d.select(*_CUST_COLS)
 
@@ -60,20 +60,20 @@ def acc_scan_type(spark, sf):
      "UNION ALL SELECT 'Supplier', COUNT(*) FROM supplier")
 def acc_sweep(spark, sf):
     """A-8 / J-8: all types in one scan; unknown prefixes and short data are skipped."""
-    return A.sweep(D.raw_accounts(spark, sf), IDL)
+    return A.sweep(raw_accounts(spark, sf), IDL)
 
 
 @job("acc_decode", _ACC_JSON_SQL)
 def acc_decode(spark, sf):
     """E-22: every account decoded with its type's fields, as JSON text."""
-    d = decode_accounts(D.raw_accounts(spark, sf), IDL)
+    d = decode_accounts(raw_accounts(spark, sf), IDL)
     return d.select("account_type", "pubkey", "slot", "data")
 
 
 @job("acc_reindex", f"SELECT account_type, pubkey, CAST(0 AS BIGINT) AS slot, data FROM ({_ACC_JSON_SQL}) a")
 def acc_reindex(spark, sf):
     """A-9: full re-index written as snapshot rows at slot 0 (matched by discriminator)."""
-    return A.reindex(D.raw_accounts(spark, sf), IDL)
+    return A.reindex(raw_accounts(spark, sf), IDL)
 
 
 @job("acc_history", _HIST_SQL)

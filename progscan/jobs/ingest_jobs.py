@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from progscan.jobs._base import (
-    ACT, ACT_IX_HEX, EV, IDL, IX_ACT, IX_ALL, PID, STL, STL_IX_HEX1, STL_IX_HEX2, TX, decoded, events, job,
+    ACT, ACT_IX_HEX, EV, IDL, IX_ACT, IX_ALL, PID, STL, STL_IX_HEX1, STL_IX_HEX2, TX, decode_events, decoded, job,
     sql_b64, sql_le_hex, sql_str_hex, stored, transactions,
 )
 from progscan.operators import ingest as I
@@ -241,14 +241,14 @@ def ev_log_filter(spark, sf):
 @job("ev_decode", f"SELECT * FROM ({EV}) e")
 def ev_decode(spark, sf):
     """D-3 + E-20: every event of every ok transaction, in log order, data as JSON text."""
-    return events(spark, sf)
+    return decode_events(spark, sf)
 
 
 @job("ev_append", f"SELECT * FROM ({EV}) e")
 def ev_append(spark, sf):
     """B-2: event append. The sink writes each batch to its own folder with
     overwrite, so replaying a batch (written twice here) leaves one copy."""
-    e = events(spark, sf)
+    e = decode_events(spark, sf)
     path = scratch_dir(spark, "ev_append")
     S.overwrite_batch(e, path, batch_id=0)
     S.overwrite_batch(e, path, batch_id=0)  # replay of the same batch
@@ -259,6 +259,6 @@ def ev_append(spark, sf):
 def ev_dedup_pg(spark, sf):
     """B-3: Postgres variant -- unique (signature, event_name), first by log order wins.
     Ingesting the events twice still yields one row per key."""
-    e = events(spark, sf)
+    e = decode_events(spark, sf)
     twice = e.unionByName(e)
     return S.insert_ignore(twice, ["signature", "event_name"], ["slot", "id", "data"]).select(*e.columns)

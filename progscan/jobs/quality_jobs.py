@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from progscan.jobs._base import ACT, EV, IDL, STL, TX, decoded, events, job, transactions
+from progscan.jobs._base import ACT, EV, IDL, STL, TX, decoded, events, job, raw_accounts, transactions
 from progscan.operators import ingest as I
 from progscan.operators import quality as Qa
 from progscan.operators import store as S
@@ -99,7 +99,7 @@ def metric_counters(spark, sf):
         Qa.labelled_counts(tx, "indexer_transactions_total", "status"),
         Qa.labelled_counts(events(spark, sf), "indexer_events_decoded_total", "event_name"),
         Qa.labelled_counts(decoded(spark, sf), "indexer_instructions_indexed_total", "ix_name"),
-        Qa.labelled_counts(decode_accounts(D.raw_accounts(spark, sf), IDL), "indexer_accounts_synced_total",
+        Qa.labelled_counts(decode_accounts(raw_accounts(spark, sf), IDL), "indexer_accounts_synced_total",
                            "account_type"),
     ]
     out = parts[0]

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from progscan.jobs._base import IDL, IX_ACT, IX_ALL, PID, job, transactions
+from progscan.jobs._base import IDL, IX_ACT, IX_ALL, PID, account_updates, activity_transactions, job, transactions
 from progscan.jobs.account_jobs import _CUST_COLS, _SNAP_SQL
 from progscan.operators import accounts as A
 from progscan.session import scratch_dir
@@ -46,7 +46,7 @@ def stream_ingest(spark, sf):
 def stream_dedup(spark, sf):
     """J-4: unbounded signature dedup across micro-batches -- the whole input arrives twice."""
     base = scratch_dir(spark, "stream_dedup")
-    tx = D.activity_transactions(spark, sf)
+    tx = activity_transactions(spark, sf)
     src = f"{base}/source"
     tx.repartition(FILES, "slot").write.mode("overwrite").parquet(src)
     tx.repartition(FILES, "slot").write.mode("append").parquet(src)  # replayed copies
@@ -69,7 +69,7 @@ def stream_accounts(spark, sf):
     """A-10: account changes streamed into history; the snapshot is derived from it."""
     base = scratch_dir(spark, "stream_accounts")
     src = f"{base}/source"
-    D.account_updates(spark, sf).repartition(FILES, "slot").write.mode("overwrite").parquet(src)
+    account_updates(spark, sf).repartition(FILES, "slot").write.mode("overwrite").parquet(src)
     sink = f"{base}/sink"
     q = P.start_accounts(spark, src, sink, f"{base}/offsets", IDL, files_per_trigger=1)
     q.awaitTermination()
