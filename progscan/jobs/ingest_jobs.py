@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from progscan.jobs._base import (
-    ACT, ACT_IX_HEX, EV, IDL, IX_ACT, IX_ALL, PID, STL, STL_IX_HEX1, STL_IX_HEX2, TX, decode_events, decoded, job,
+    ACT, ACT_IX_HEX, EV, IDL, IX_ACT, IX_ALL, IX_STL_ALL, PID, STL, STL_IX_HEX1, STL_IX_HEX2, TX, decode_events,
+    decoded, job,
     sql_b64, sql_le_hex, sql_str_hex, stored, transactions,
 )
 from progscan.operators import ingest as I
@@ -262,3 +263,37 @@ def ev_dedup_pg(spark, sf):
     e = decode_events(spark, sf)
     twice = e.unionByName(e)
     return S.insert_ignore(twice, ["signature", "event_name"], ["slot", "id", "data"]).select(*e.columns)
+
+
+_POS_COLS = ["id", "signature", "slot", "arg_quantity", "arg_price", "arg_discount"]
+
+
+_SECOND_SIBLING = (IX_STL_ALL.replace("4096) * 4096 AS id", "4096) * 4096 + 1 AS id")
+                   .replace("CAST(quantity AS VARCHAR) AS arg_quantity", "'0' AS arg_quantity")
+                   .replace("CAST(price AS VARCHAR) AS arg_price", "CAST(tax AS VARCHAR) AS arg_price")
+                   .replace("CAST(discount AS VARCHAR) AS arg_discount", "'0' AS arg_discount"))
+
+
+@job("ix_dedup_position", f"""
+SELECT {", ".join(_POS_COLS)} FROM (
+  SELECT *, row_number() OVER (PARTITION BY signature, id ORDER BY slot, id, block_time NULLS FIRST,
+         account_order NULLS FIRST, account_supplier NULLS FIRST, arg_quantity NULLS FIRST, arg_price NULLS FIRST,
+         arg_discount NULLS FIRST) AS rn
+  FROM ({IX_STL_ALL} UNION ALL {_SECOND_SIBLING}) d
+) x WHERE rn = 1""")
+def ix_dedup_position(spark, sf):
+    """Q-6 / Q-7 option: key (signature, position) keeps every CPI sibling; replays of a
+    transaction still collapse to their first copy."""
+    d = decoded(spark, sf).where(F.col("ix_name") == "settle")
+    order = ["slot", "id"] + [c for c in d.columns if c not in ("ix_name", "signature", "slot", "id")]
+    return S.insert_ignore(d, ["ix_name", "signature", "id"], order).select(*_POS_COLS)
+
+
+@job("ix_typed", f"""
+SELECT id, signature, slot, CAST(arg_quantity AS DECIMAL(20,0)) AS arg_quantity,
+       CAST(arg_price AS DECIMAL(20,0)) AS arg_price, CAST(arg_discount AS SMALLINT) AS arg_discount
+FROM {IX_ALL} x WHERE ix_name = 'settle'""")
+def ix_typed(spark, sf):
+    """Typed mode: stored text converted to the IDL types (u64 -> decimal(20,0), u8 -> smallint)."""
+    t = I.instruction_table(stored(spark, sf), IDL, "settle", mode="typed")
+    return t.select("id", "signature", "slot", "arg_quantity", "arg_price", "arg_discount")

@@ -140,3 +140,20 @@ def idl_as_of(spark, sf):
         F.col("l_orderkey").alias("slot"), "program_id")
     reg = registry(spark, sf).select("program_id", "slot", "idl_hash")
     return V.as_of(rows, reg, AS_OF_BUCKET).select("signature", "slot", "program_id", "version_slot", "idl_hash")
+
+
+@job("idl_extract", f"SELECT program_id, slot, substr(sha256(idl_json), 1, 16) AS idl_hash FROM ({_DOCS}) d")
+def idl_extract(spark, sf):
+    """A-12: documents read back from program-account bytes (8 + 32 header, u32 length,
+    body); short or unreadable accounts are skipped."""
+    from progscan.functions.binary import le_hex
+    from progscan.functions.codec import DISC_PREFIX_ACCOUNT, discriminator_hex, idl_hash_hex
+    from progscan.sources.idl_accounts import extract_idl
+
+    docs = D.idl_deployments(spark, sf)
+    body = F.encode(F.col("idl_json"), "UTF-8")
+    data = F.unhex(F.concat(discriminator_hex(DISC_PREFIX_ACCOUNT, F.lit("IdlAccount")), F.lit("00" * 32),
+                            le_hex(F.length(body), 4), F.hex(body)))
+    acc = docs.select("program_id", "slot", data.alias("data"))
+    out = extract_idl(acc, ["program_id", "slot"])
+    return out.select("program_id", "slot", idl_hash_hex(F.col("idl_json")).alias("idl_hash"))

@@ -82,13 +82,22 @@ def definitions(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(pairs or [], DEFS_SCHEMA)
 
 
-def match_definitions(rows: DataFrame, data_col: Column, defs: DataFrame, name_col: str) -> DataFrame:
-    """E-5 + C-4 + E-4/H-1: base64 -> bytes, length >= 8, discriminator lookup.
-
-    ``defs`` is one IDL's definition list, so its size is bounded by the
-    document, not by the data; broadcasting it is always safe.
+def match_definitions(rows: DataFrame, data_col: Column, defs: DataFrame, name_col: str,
+                      encoding: str = "base64") -> DataFrame:
+    """E-5 + C-4 + E-4/H-1: text -> bytes, length >= 8, discriminator lookup.
+
+    ``encoding="base58"`` reads the payload the way parsed-transaction RPC
+    returns it (Q-1; Arrow-batched helper, no SQL form). ``defs`` is one IDL's
+    definition list, so its size is bounded by the document, not by the data;
+    broadcasting it is always safe.
     """
-    raw = rows.withColumn("raw", lenient_unbase64(data_col)).where(F.length("raw") >= 8)
+    if encoding == "base58":
+        from progscan.functions.base58 import base58_decode
+
+        raw_col = base58_decode(data_col)
+    else:
+        raw_col = lenient_unbase64(data_col)
+    raw = rows.withColumn("raw", raw_col).where(F.length("raw") >= 8)
     raw = raw.withColumn("disc", F.lower(F.hex(F.substring("raw", 1, 8))))
     d = defs.withColumnRenamed("name", name_col)
     return raw.join(F.broadcast(d), "disc", "inner").drop("disc")
@@ -149,7 +158,8 @@ def _rekey_js(js_col: str, layout_fields: list[Field], fields: list[Field]) -> C
     return c
 
 
-def decode_instructions(tx: DataFrame, idl: Idl, program_id: str, accounts: str = "transaction") -> DataFrame:
+def decode_instructions(tx: DataFrame, idl: Idl, program_id: str, accounts: str = "transaction",
+                        encoding: str = "base64", name_case: str = "as_is") -> DataFrame:
     """Instruction rows of ``program_id`` decoded with ``idl`` (all types in one frame).
 
     Columns: ix_name, id, signature, slot, block_time, cpi_depth, parent_ix_index,
@@ -159,8 +169,8 @@ def decode_instructions(tx: DataFrame, idl: Idl, program_id: str, accounts: str
     """
     spark = tx.sparkSession
     rows = program_instructions(tx, program_id)
-    defs = definitions(spark, idl.instruction_discriminators())
-    m = match_definitions(rows, F.col("data"), defs, "ix_name")
+    defs = definitions(spark, idl.instruction_discriminators(name_case))
+    m = match_definitions(rows, F.col("data"), defs, "ix_name", encoding)
     m, arg_cols = decode_by_definition(
         m, "ix_name", OrderedDict((ix.name, list(ix.args)) for ix in idl.instructions), "arg_")
     keys = F.col("account_keys") if accounts == "transaction" else F.coalesce(F.col("ix_accounts"), F.col("account_keys"))
@@ -180,12 +190,19 @@ def decode_instructions(tx: DataFrame, idl: Idl, program_id: str, accounts: str
     return m.select(*base, *acc_exprs.keys(), *arg_cols)
 
 
-def instruction_table(decoded: DataFrame, idl: Idl, ix_name: str) -> DataFrame:
-    """D-6: the stored table of one instruction (its own columns only)."""
+def instruction_table(decoded: DataFrame, idl: Idl, ix_name: str, mode: str = "stored") -> DataFrame:
+    """D-6: the stored table of one instruction (its own columns only).
+
+    ``mode="typed"`` converts each argument from its stored text to the Spark
+    type of its IDL type (u64 -> decimal(20,0), vec -> array, ...)."""
+    from progscan.plans.decode import typed_column
+
     ix = idl.instruction(ix_name)
-    cols = ["id", "signature", "slot", "block_time", "cpi_depth", "parent_ix_index"]
-    cols += [column_name("account_", a.name) for a in ix.accounts]
-    cols += [column_name("arg_", f.name) for f in ix.args]
+    cols = [F.col(c) for c in ("id", "signature", "slot", "block_time", "cpi_depth", "parent_ix_index")]
+    cols += [F.col(column_name("account_", a.name)) for a in ix.accounts]
+    for f in ix.args:
+        c = column_name("arg_", f.name)
+        cols.append(typed_column(F.col(c), f.type).alias(c) if mode == "typed" else F.col(c))
     return decoded.where(F.col("ix_name") == ix_name).select(*cols)
 
 

@@ -138,11 +138,14 @@ def numeric(col: str) -> Column:
 
 
 def aggregate(df: DataFrame, group_by: str = "total", op: str = "count", field: str | None = None,
-              slot_from: int | None = None, slot_to: int | None = None) -> DataFrame:
+              slot_from: int | None = None, slot_to: int | None = None, numeric_type: str = "double",
+              bucket_basis: bool = False) -> DataFrame:
     """F-1..F-9: COUNT/SUM/AVG/MIN/MAX by hour, day or total.
 
     hour/day: columns (bucket, value, count), newest 168 / 30 buckets.
     total: one row (value, total_calls, first_slot, last_slot).
+    ``numeric_type="decimal"`` sums exact integers (Q-11); ``bucket_basis``
+    splits time-derived from slot-derived buckets (Q-9) with a ``basis`` column.
     """
     if op not in AGG_OPS:
         raise ValueError(f"unknown op {op}")
@@ -152,13 +155,16 @@ def aggregate(df: DataFrame, group_by: str = "total", op: str = "count", field:
     else:
         if not _SAFE.match(field):
             raise UnsafeName(f"Unsafe field name: {field}")
-        value = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[op](numeric(field))
+        x = F.col(field).try_cast("decimal(38,0)") if numeric_type == "decimal" else numeric(field)
+        value = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[op](x)
     if group_by == "total":
         return df.agg(value.alias("value"), F.count(F.lit(1)).alias("total_calls"),
                       F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
     limit = HOUR_BUCKETS if group_by == "hour" else DAY_BUCKETS
-    out = df.groupBy(bucket_column(group_by).alias("bucket")).agg(value.alias("value"),
-                                                                  F.count(F.lit(1)).alias("count"))
+    keys = [bucket_column(group_by).alias("bucket")]
+    if bucket_basis:
+        keys.append(F.when(F.col("block_time").isNull(), F.lit("slot")).otherwise(F.lit("time")).alias("basis"))
+    out = df.groupBy(*keys).agg(value.alias("value"), F.count(F.lit(1)).alias("count"))
     return out.orderBy(F.col("bucket").desc()).limit(limit)
 
 

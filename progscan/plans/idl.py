@@ -141,8 +141,11 @@ class Idl:
         return idl_hash_py(self.doc)
 
     # --------------------------------------------------- discriminators ---
-    def instruction_discriminators(self) -> list[tuple[str, str]]:
-        return [(ix.name, discriminator_py(DISC_PREFIX_INSTRUCTION, ix.name)) for ix in self.instructions]
+    def instruction_discriminators(self, name_case: str = "as_is") -> list[tuple[str, str]]:
+        """(name, disc) pairs. ``name_case="snake"`` hashes the snake_case form of
+        camelCase names (the usual on-chain convention, Q-3); default hashes as written."""
+        conv = snake_case if name_case == "snake" else (lambda x: x)
+        return [(ix.name, discriminator_py(DISC_PREFIX_INSTRUCTION, conv(ix.name))) for ix in self.instructions]
 
     def event_discriminators(self) -> list[tuple[str, str]]:
         return [(e.name, discriminator_py(DISC_PREFIX_EVENT, e.name)) for e in self.events]
@@ -151,6 +154,12 @@ class Idl:
         return [(a.name, discriminator_py(DISC_PREFIX_ACCOUNT, a.name)) for a in self.accounts]
 
 
+def snake_case(name: str) -> str:
+    import re
+
+    return re.sub(r"(?<=[a-z0-9])([A-Z])", r"_\1", name).lower()
+
+
 def column_name(prefix: str, name: str) -> str:
     """Stored column for an account (``account_``) or argument (``arg_``) name."""
     return normalise_name_py(f"{prefix}{name}")
