@@ -30,8 +30,18 @@ def _source_key(sf_dir: str) -> str:
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
-def _complete(path: str) -> bool:
-    return os.path.exists(os.path.join(path, "_SUCCESS")) if path.startswith("/") else False
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence test through Hadoop's FileSystem API (local, HDFS, object stores)."""
+    if path.startswith("/"):
+        return os.path.exists(path)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    return path_exists(spark, path.rstrip("/") + "/_SUCCESS")
 
 
 def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],
@@ -41,7 +51,7 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     if base.startswith("file:"):
         base = base[5:]
     path = f"{base}/staged/{_source_key(sf_dir)}/{name}"
-    if not _complete(path):
+    if not _complete(spark, path):
         df = build()
         if partition_by:
             df = df.repartition(*partition_by)

@@ -15,8 +15,6 @@ which replaces the reference's key/value state table for recovery.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,21 +22,15 @@ from progscan.operators import ingest as I
 from progscan.operators import store as S
 from progscan.plans.idl import Idl
 from progscan.sources.derived import RAW_ACCOUNT_SCHEMA, TX_SCHEMA
-
-
-def _exists(path: str) -> bool:
-    if path.startswith("/") or path.startswith("file:"):
-        p = path[5:] if path.startswith("file:") else path
-        return os.path.exists(p) and any(n.startswith("batch_id=") for n in os.listdir(p))
-    return True  # remote stores: let the reader decide
+from progscan.sources.staging import path_exists
 
 
 def _previous(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    if not _exists(path):
+    if not path_exists(spark, path):
         return None
     try:
         df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - empty folder
+    except Exception:  # noqa: BLE001 - folder without data files yet
         return None
     return df.where(F.col("batch_id") < F.lit(batch_id)).drop("batch_id")
 
@@ -52,9 +44,15 @@ def process_transactions(batch: DataFrame, batch_id: int, sink: str, idl: Idl, p
     spark = batch.sparkSession
     dec = I.decode_instructions(batch, idl, program_id)
     existing = _previous(spark, f"{sink}/instructions", batch_id)
-    keys = existing.select("ix_name", "signature") if existing is not None else None
+    keys = None
+    if existing is not None:
+        # a replayed signature carries its original slot: only stored rows inside the
+        # batch's slot range can collide (files are slot-sorted, so row groups are skipped)
+        lo, hi = batch.agg(F.min("slot"), F.max("slot")).first()
+        if lo is not None:
+            keys = existing.where(F.col("slot").between(lo, hi)).select("ix_name", "signature")
     new = S.insert_ignore(dec, ["ix_name", "signature"], arrival_order(dec), keys)
-    S.overwrite_batch(new, f"{sink}/instructions", batch_id)
+    S.overwrite_batch(new.sortWithinPartitions("slot", "id"), f"{sink}/instructions", batch_id)
     if idl.events:
         S.overwrite_batch(I.decode_events(batch, idl), f"{sink}/events", batch_id)
     S.overwrite_batch(S.checkpoint_max(I.ok_transactions(batch)), f"{sink}/state", batch_id)
