@@ -44,9 +44,22 @@ def _complete(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, path.rstrip("/") + "/_SUCCESS")
 
 
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame],
            partition_by: list[str] | None = None, sort_by: list[str] | None = None) -> DataFrame:
-    """Return table ``name`` derived from ``sf_dir``, writing it on first use."""
+    """Return table ``name`` derived from ``sf_dir``, writing it on first use.
+
+    The table is written to a unique folder and published with one rename, so
+    concurrent callers never see (or overwrite) a half-written table; when two
+    race, the first rename wins and the other copy is dropped.
+    """
+    import uuid
+
     base = ensure_checkpoint_dir(spark).rstrip("/")
     if base.startswith("file:"):
         base = base[5:]
@@ -57,8 +70,15 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
             df = df.repartition(*partition_by)
         if sort_by:
             df = df.sortWithinPartitions(*sort_by)
+        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
         w = df.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(path)
+        w.parquet(tmp)
+        src, fs = _fs(spark, tmp)
+        dst, _ = _fs(spark, path)
+        fs.mkdirs(dst.getParent())
+        # rename onto an existing folder would nest it: a finished copy wins
+        if fs.exists(dst) or not fs.rename(src, dst):
+            fs.delete(src, True)
     return spark.read.parquet(path)
