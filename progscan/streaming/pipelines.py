@@ -15,7 +15,7 @@ which replaces the reference's key/value state table for recovery.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from progscan.operators import ingest as I
@@ -52,10 +52,22 @@ def process_transactions(batch: DataFrame, batch_id: int, sink: str, idl: Idl, p
         if lo is not None:
             keys = existing.where(F.col("slot").between(lo, hi)).select("ix_name", "signature")
     new = S.insert_ignore(dec, ["ix_name", "signature"], arrival_order(dec), keys)
+    # F-13 per micro-batch: counters ride along with the writes (no extra job)
+    ob_ix = Observation(f"ix_{batch_id}")
+    new = new.observe(ob_ix, F.count(F.lit(1)).alias("instructions_stored"))
     S.overwrite_batch(new.sortWithinPartitions("slot", "id"), f"{sink}/instructions", batch_id)
+    ob_ev = Observation(f"ev_{batch_id}")
     if idl.events:
-        S.overwrite_batch(I.decode_events(batch, idl), f"{sink}/events", batch_id)
-    S.overwrite_batch(S.checkpoint_max(I.ok_transactions(batch)), f"{sink}/state", batch_id)
+        ev = I.decode_events(batch, idl).observe(ob_ev, F.count(F.lit(1)).alias("events_decoded"))
+        S.overwrite_batch(ev, f"{sink}/events", batch_id)
+    state = batch.agg(
+        F.greatest(F.coalesce(F.max(F.when(F.col("meta").isNotNull() & F.col("meta.err").isNull(), F.col("slot"))),
+                              F.lit(0)), F.lit(0)).cast("bigint").alias("last_processed_slot"),
+        F.count_if(F.col("meta").isNotNull() & F.col("meta.err").isNull()).alias("tx_ok"),
+        F.count_if(F.col("meta").isNull() | F.col("meta.err").isNotNull()).alias("tx_skipped"))
+    counts = {**ob_ix.get, **(ob_ev.get if idl.events else {"events_decoded": 0})}
+    state = state.withColumns({k: F.lit(int(v)).cast("bigint") for k, v in counts.items()})
+    S.overwrite_batch(state, f"{sink}/state", batch_id)
 
 
 def process_accounts(batch: DataFrame, batch_id: int, sink: str, idl: Idl) -> None:
