@@ -67,7 +67,10 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     if not _complete(spark, path):
         df = build()
         if partition_by:
-            df = df.repartition(*partition_by)
+            # range partitioning on (partition columns, sort keys): a hot partition value
+            # (one table with most rows) is split over many writer tasks by slot range,
+            # and every file covers a narrow slot range (row-group and file skipping)
+            df = df.repartitionByRange(*partition_by, *(sort_by or []))
         if sort_by:
             df = df.sortWithinPartitions(*sort_by)
         tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
