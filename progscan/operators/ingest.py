@@ -107,7 +107,7 @@ def match_definitions(rows: DataFrame, data_col: Column, defs: DataFrame, name_c
 
 
 def decode_by_definition(df: DataFrame, name_col: str, defs: "OrderedDict[str, list[Field]]",
-                         prefix: str, js_col: str | None = None) -> tuple[DataFrame, list[str]]:
+                         prefix: str, js_col: str | None = None, registry=None) -> tuple[DataFrame, list[str]]:
     """Decode each row with the field list of its definition, in one projection.
 
     Definitions that share a field layout share one decode; each output
@@ -125,7 +125,7 @@ def decode_by_definition(df: DataFrame, name_col: str, defs: "OrderedDict[str, l
         gate = F.col(name_col).isin(names)
         raw_tmp = f"__raw{li}"
         df = df.withColumn(raw_tmp, F.when(gate, F.col("raw")))
-        df = decode_fields(df, raw_tmp, fields, tmp, js_col=(f"__js{li}" if js_col else None))
+        df = decode_fields(df, raw_tmp, fields, tmp, js_col=(f"__js{li}" if js_col else None), registry=registry)
         df = df.drop(raw_tmp)
         for nm in names:
             for f, t in zip(defs[nm], tmp):
@@ -162,7 +162,7 @@ def _rekey_js(js_col: str, layout_fields: list[Field], fields: list[Field]) -> C
 
 
 def decode_instructions(tx: DataFrame, idl: Idl, program_id: str, accounts: str = "transaction",
-                        encoding: str = "base64", name_case: str = "as_is") -> DataFrame:
+                        encoding: str = "base64", name_case: str = "as_is", mode: str = "stored") -> DataFrame:
     """Instruction rows of ``program_id`` decoded with ``idl`` (all types in one frame).
 
     Columns: ix_name, id, signature, slot, block_time, cpi_depth, parent_ix_index,
@@ -175,7 +175,8 @@ def decode_instructions(tx: DataFrame, idl: Idl, program_id: str, accounts: str
     defs = definitions(spark, idl.instruction_discriminators(name_case))
     m = match_definitions(rows, F.col("data"), defs, "ix_name", encoding)
     m, arg_cols = decode_by_definition(
-        m, "ix_name", OrderedDict((ix.name, list(ix.args)) for ix in idl.instructions), "arg_")
+        m, "ix_name", OrderedDict((ix.name, list(ix.args)) for ix in idl.instructions), "arg_",
+        registry=idl.type_def if mode == "typed" else None)
     keys = F.col("account_keys") if accounts == "transaction" else F.coalesce(F.col("ix_accounts"), F.col("account_keys"))
     acct: "OrderedDict[str, list[tuple[str, int]]]" = OrderedDict()
     for ix in idl.instructions:
@@ -205,7 +206,7 @@ def instruction_table(decoded: DataFrame, idl: Idl, ix_name: str, mode: str = "s
     cols += [F.col(column_name("account_", a.name)) for a in ix.accounts]
     for f in ix.args:
         c = column_name("arg_", f.name)
-        cols.append(typed_column(F.col(c), f.type).alias(c) if mode == "typed" else F.col(c))
+        cols.append(typed_column(F.col(c), f.type, idl.type_def).alias(c) if mode == "typed" else F.col(c))
     return decoded.where(F.col("ix_name") == ix_name).select(*cols)
 
 

@@ -154,9 +154,22 @@ def _fixed_elem_js(t: str, raw: Column, n: Column, cur: Column) -> Column:
     return _scalar(t, raw, n, cur).js
 
 
-def _vec(elem: IdlType, raw: Column, n: Column, o: Column) -> Piece:
+def _vec(elem: IdlType, raw: Column, n: Column, o: Column, registry=None) -> Piece:
     short = n < o + 4
     cnt = B.read_unsigned(raw, o, 4)
+    sdef = _struct_def(elem, registry)
+    if sdef is not None:
+        # typed mode: strict Borsh -- all ``cnt`` items must be present
+        w = fixed_width(elem, registry)
+        ok = ~short & (n >= o + 4 + cnt * w)
+        start = o + 4
+        items = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(cnt, F.lit(1)) - 1),
+                            lambda i: _struct_js(sdef, raw, n, start + i * w, registry))
+        body = F.when(cnt > 0, F.concat(F.lit("["), F.array_join(F.slice(items, 1, cnt.cast("int")), ","),
+                                        F.lit("]"))).otherwise(F.lit("[]"))
+        text = F.when(ok, body)
+        return Piece(text, F.when(ok, body).otherwise(F.lit("null")), F.when(ok, start + cnt * w).otherwise(o),
+                     F.when(short, _L.false).otherwise(~ok))
     if isinstance(elem, dict) and "defined" in elem:
         # items are read while the cursor is inside the data; it never moves
         k = F.when(n > o + 4, F.least(cnt, F.lit(MAX_ZERO_WIDTH_ITEMS))).otherwise(F.lit(0))
@@ -200,12 +213,69 @@ def _array(elem: IdlType, count: int, raw: Column, n: Column, o: Column) -> Piec
     return Piece(text, F.when(threw, F.lit("null")).otherwise(_quote(body)), o + k * w, threw)
 
 
-def field_piece(t: IdlType, raw: Column, n: Column, o: Column) -> Piece:
-    """Decode one field of type ``t`` at offset ``o`` (guard included)."""
+def _struct_def(t: IdlType, registry):
+    """The registry struct of a ``defined`` type in typed mode, else None."""
+    if registry is None or not (isinstance(t, dict) and "defined" in t):
+        return None
+    name = t["defined"] if isinstance(t["defined"], str) else t["defined"].get("name")
+    td = registry(name)
+    if td is None or td.kind != "struct":
+        return None
+    if fixed_width(t, registry) is None:
+        raise ValueError(f"typed decode of variable-width struct {name!r} is not supported")
+    return td
+
+
+def fixed_width(t: IdlType, registry=None) -> int | None:
+    """Byte width of a fixed-layout type (scalars, arrays, registry structs), else None."""
+    if isinstance(t, str):
+        return FIXED_WIDTH.get(t)
+    if "array" in t:
+        w = fixed_width(t["array"][0], registry)
+        return None if w is None else w * int(t["array"][1])
+    if "defined" in t and registry is not None:
+        name = t["defined"] if isinstance(t["defined"], str) else t["defined"].get("name")
+        td = registry(name)
+        if td is None or td.kind != "struct":
+            return None
+        ws = [fixed_width(f.type, registry) for f in td.fields]
+        return None if any(w is None for w in ws) else sum(ws)
+    return None
+
+
+def _strict_js(t: IdlType, raw: Column, n: Column, cur: Column, registry) -> Column:
+    """JSON of a fixed-width value whose bytes are known to be present."""
+    if isinstance(t, str):
+        return _scalar(t, raw, n, cur).js
+    if "array" in t:
+        elem, count = t["array"]
+        w = fixed_width(elem, registry)
+        return F.concat(F.lit("["), F.concat_ws(",", *[_strict_js(elem, raw, n, cur + i * w, registry)
+                                                        for i in range(int(count))]), F.lit("]"))
+    return _struct_js(_struct_def(t, registry), raw, n, cur, registry)
+
+
+def _struct_js(td, raw: Column, n: Column, o: Column, registry) -> Column:
+    import json as _json
+
+    parts, off = [], 0
+    for f in td.fields:
+        parts.append(F.concat(F.lit(_json.dumps(f.name) + ":"), _strict_js(f.type, raw, n, o + off, registry)))
+        off += fixed_width(f.type, registry)
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def field_piece(t: IdlType, raw: Column, n: Column, o: Column, registry=None) -> Piece:
+    """Decode one field of type ``t`` at offset ``o`` (guard included).
+
+    ``registry`` (name -> type definition) switches ``defined`` types to typed
+    mode: fixed-width structs are decoded (strictly: all bytes present) as JSON
+    objects instead of the stored mode's NULL that consumes nothing.
+    """
     if isinstance(t, str):
         return _guard(n, o, _scalar(t, raw, n, o))
     if "option" in t:
-        inner = field_piece(t["option"], raw, n, o + 1)
+        inner = field_piece(t["option"], raw, n, o + 1, registry)
         none = B.slice_bytes(raw, o, 1) == F.lit(bytearray(b"\x00"))
         p = Piece(
             text=F.when(none, _L.null_s).otherwise(inner.text),
@@ -215,9 +285,16 @@ def field_piece(t: IdlType, raw: Column, n: Column, o: Column) -> Piece:
         )
         return _guard(n, o, p)
     if "defined" in t:
-        return Piece(_L.null_s, F.lit("null"), o, _L.false)
+        sdef = _struct_def(t, registry)
+        if sdef is None:
+            return Piece(_L.null_s, F.lit("null"), o, _L.false)
+        w = fixed_width(t, registry)
+        ok = n >= o + w
+        js = _struct_js(sdef, raw, n, o, registry)
+        return _guard(n, o, Piece(F.when(ok, js), F.when(ok, js).otherwise(F.lit("null")),
+                                  F.when(ok, o + w).otherwise(o), ~ok))
     if "vec" in t:
-        return _guard(n, o, _vec(t["vec"], raw, n, o))
+        return _guard(n, o, _vec(t["vec"], raw, n, o, registry))
     if "array" in t:
         elem, count = t["array"]
         return _guard(n, o, _array(elem, int(count), raw, n, o))
@@ -225,7 +302,8 @@ def field_piece(t: IdlType, raw: Column, n: Column, o: Column) -> Piece:
 
 
 def decode_fields(df: DataFrame, raw_col: str, fields: list[Field] | tuple[Field, ...],
-                  out_names: list[str], start: int = 8, js_col: str | None = None) -> DataFrame:
+                  out_names: list[str], start: int = 8, js_col: str | None = None,
+                  registry=None) -> DataFrame:
     """Add one stored-text column per field, decoded from BINARY ``raw_col``.
 
     ``js_col`` optionally adds the JSON object text of all fields in order
@@ -242,7 +320,7 @@ def decode_fields(df: DataFrame, raw_col: str, fields: list[Field] | tuple[Field
     df = df.withColumn(off, F.lit(start).cast("bigint"))
     js_parts: list[Column] = []
     for i, (f, name) in enumerate(zip(fields, out_names)):
-        p = field_piece(f.type, raw, n, F.col(off))
+        p = field_piece(f.type, raw, n, F.col(off), registry)
         jcol = f"__fj{i}"
         cols = {
             name: F.when(p.threw, _L.null_s).otherwise(p.text),
@@ -297,10 +375,10 @@ def spark_type(t: IdlType, types_registry=None) -> T.DataType:
     raise ValueError(f"unsupported IDL type {t!r}")
 
 
-def typed_column(stored: Column, t: IdlType) -> Column:
+def typed_column(stored: Column, t: IdlType, registry=None) -> Column:
     """Convert a stored-text value to its typed Spark value (``try_cast``: dirty text -> NULL)."""
-    st = spark_type(t)
-    if isinstance(st, T.ArrayType):
+    st = spark_type(t, registry)
+    if isinstance(st, (T.ArrayType, T.StructType)):
         return F.from_json(stored, st)
     if isinstance(st, T.BooleanType):
         return stored == F.lit("true")
