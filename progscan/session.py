@@ -20,6 +20,35 @@ DEFAULT_CONF = {
 }
 
 
+# Starting points for a large cluster (about 100 TB of nested transaction
+# Parquet). AQE re-plans at run time; these settings give it its targets.
+#  * input: 256 MB splits -> ~400k scan tasks for 100 TB;
+#  * the insert-ignore shuffle carries the decoded rows (tens of TB): start with
+#    64k shuffle partitions (~0.5 GB each at 30 TB) and let AQE coalesce small ones;
+#  * a skewed partition is split once it is 5x the median and over 512 MB;
+#  * broadcast only below a measured 64 MB (AQE promotes/demotes at run time).
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.shuffle.partitions": "65536",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.optimizer.nestedSchemaPruning.enabled": "true",
+    "spark.sql.parquet.enableNestedColumnVectorizedReader": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_cluster_conf(spark: SparkSession) -> None:
+    """Apply ``CLUSTER_CONF`` (runtime SQL settings) to an existing session."""
+    for k, v in CLUSTER_CONF.items():
+        spark.conf.set(k, v)
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "progscan") -> SparkSession:
     """Build (or reuse) a session with the settings the jobs assume.
