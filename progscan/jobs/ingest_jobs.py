@@ -192,7 +192,8 @@ def ix_dedup(spark, sf):
     """
     d = decoded(spark, sf).where(F.col("ix_name") == "settle")
     order = ["slot", "id"] + [c for c in d.columns if c not in ("ix_name", "signature", "slot", "id")]
-    existing = S.insert_ignore(d.where(F.col("slot") < CHECKPOINT), ["ix_name", "signature"], order)
+    # what an earlier run stored: the stored table below the checkpoint (read, not recomputed)
+    existing = stored(spark, sf).where((F.col("ix_name") == "settle") & (F.col("slot") < CHECKPOINT))
     new = S.insert_ignore(d, ["ix_name", "signature"], order, existing=existing)
     return new.select(*_SETTLE_COLS)
 
