@@ -18,7 +18,8 @@ from progscan.session import scratch_dir
 from progscan.sources import derived as D
 from progscan.streaming import pipelines as P
 
-FILES = 4
+FILES = 6
+FILES_PER_TRIGGER = 2
 BACKFILL_BELOW = 5000
 _COLS = ["ix_name", "id", "signature", "slot", "block_time", "cpi_depth", "parent_ix_index", "account_user",
          "account_authority", "account_order", "account_supplier", "arg_amount", "arg_k", "arg_userid",
@@ -31,7 +32,7 @@ def _run_tx_stream(spark, tx, base, backfill=None):
     sink = f"{base}/sink"
     if backfill is not None:
         P.backfill(backfill, sink, IDL, PID)
-    q = P.start_transactions(spark, src, sink, f"{base}/offsets", IDL, PID, files_per_trigger=1)
+    q = P.start_transactions(spark, src, sink, f"{base}/offsets", IDL, PID, files_per_trigger=FILES_PER_TRIGGER)
     q.awaitTermination()
     return P.read_stored(spark, sink).select(*_COLS)
 
@@ -51,7 +52,7 @@ def stream_dedup(spark, sf):
     tx.repartition(FILES, "slot").write.mode("overwrite").parquet(src)
     tx.repartition(FILES, "slot").write.mode("append").parquet(src)  # replayed copies
     sink = f"{base}/sink"
-    q = P.start_transactions(spark, src, sink, f"{base}/offsets", IDL, PID, files_per_trigger=1)
+    q = P.start_transactions(spark, src, sink, f"{base}/offsets", IDL, PID, files_per_trigger=FILES_PER_TRIGGER)
     q.awaitTermination()
     return P.read_stored(spark, sink).select(*_COLS)
 
@@ -71,7 +72,7 @@ def stream_accounts(spark, sf):
     src = f"{base}/source"
     account_updates(spark, sf).repartition(FILES, "slot").write.mode("overwrite").parquet(src)
     sink = f"{base}/sink"
-    q = P.start_accounts(spark, src, sink, f"{base}/offsets", IDL, files_per_trigger=1)
+    q = P.start_accounts(spark, src, sink, f"{base}/offsets", IDL, files_per_trigger=FILES_PER_TRIGGER)
     q.awaitTermination()
     hist = P.read_stored(spark, sink, "history")
     return A.snapshot(hist).select(*_CUST_COLS)

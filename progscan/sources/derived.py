@@ -33,7 +33,7 @@ from progscan.plans.idl import Idl
 
 PROGRAM_ID = "ActivityProg11111111111111111111111111111111"
 ROUTER_ID = "RouterProg111111111111111111111111111111111"
-BUDGET_ID = "ComputeBudget111111111111111111111111111111"
+BUDGET_ID = "FeeBudgetProg1111111111111111111111111111111"
 
 EVENT_TYPES = ("view", "click", "signup", "purchase", "error")
 
