@@ -39,8 +39,17 @@ def arrival_order(df: DataFrame) -> list[str]:
     return ["slot", "id"] + [c for c in df.columns if c not in ("ix_name", "signature", "slot", "id")]
 
 
-def process_transactions(batch: DataFrame, batch_id: int, sink: str, idl: Idl, program_id: str) -> None:
-    """One micro-batch: decode, insert-ignore instructions, append events, checkpoint."""
+# Fixed value that must equal the reference's: gap check on every 6th cycle.
+GAP_CHECK_EVERY = 6
+
+
+def process_transactions(batch: DataFrame, batch_id: int, sink: str, idl: Idl, program_id: str,
+                         listing: DataFrame | None = None, gap_every: int = GAP_CHECK_EVERY) -> None:
+    """One micro-batch: decode, insert-ignore instructions, append events, checkpoint.
+
+    With a ``listing`` (what the chain lists for the program), every
+    ``gap_every``-th batch also writes the gap check (listed signatures whose
+    slot was never processed, H-2/J-1) and the slot lag (J-7) for that batch."""
     spark = batch.sparkSession
     dec = I.decode_instructions(batch, idl, program_id)
     existing = _previous(spark, f"{sink}/instructions", batch_id)
@@ -68,6 +77,16 @@ def process_transactions(batch: DataFrame, batch_id: int, sink: str, idl: Idl, p
     counts = {**ob_ix.get, **(ob_ev.get if idl.events else {"events_decoded": 0})}
     state = state.withColumns({k: F.lit(int(v)).cast("bigint") for k, v in counts.items()})
     S.overwrite_batch(state, f"{sink}/state", batch_id)
+    if listing is not None:
+        # J-5: the seen-slot set is a table (distinct slots of processed transactions),
+        # not driver memory, so it needs no eviction
+        S.overwrite_batch(I.ok_transactions(batch).select("slot").distinct(), f"{sink}/seen", batch_id)
+        if batch_id >= 0 and batch_id % gap_every == 0:
+            from progscan.operators import quality as Qa
+
+            seen = spark.read.parquet(f"{sink}/seen").where(F.col("batch_id") <= batch_id).select("slot")
+            S.overwrite_batch(Qa.gaps(listing, seen, on="slot"), f"{sink}/gaps", batch_id)
+            S.overwrite_batch(Qa.slot_lag(listing, seen), f"{sink}/lag", batch_id)
 
 
 def process_accounts(batch: DataFrame, batch_id: int, sink: str, idl: Idl) -> None:
@@ -78,7 +97,8 @@ def process_accounts(batch: DataFrame, batch_id: int, sink: str, idl: Idl) -> No
 
 def start_transactions(spark: SparkSession, source: str, sink: str, checkpoint: str, idl: Idl, program_id: str,
                        fmt: str = "parquet", files_per_trigger: int | None = None,
-                       available_now: bool = True, processing_time: str | None = None):
+                       available_now: bool = True, processing_time: str | None = None,
+                       listing: DataFrame | None = None, gap_every: int = GAP_CHECK_EVERY):
     """J-1 / A-6: stream transactions into the stored tables.
 
     ``available_now`` drains what is there (batch mode J-2 and tests);
@@ -87,7 +107,8 @@ def start_transactions(spark: SparkSession, source: str, sink: str, checkpoint:
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
     src = r.load(source)
-    w = src.writeStream.foreachBatch(lambda df, bid: process_transactions(df, bid, sink, idl, program_id)) \
+    w = src.writeStream.foreachBatch(
+        lambda df, bid: process_transactions(df, bid, sink, idl, program_id, listing, gap_every)) \
         .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "5 seconds")
     return w.start()

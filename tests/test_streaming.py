@@ -45,3 +45,27 @@ def test_partitioned_transactions_prune_by_slot_bucket(spark, sf_small):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan or "slot_bucket" in plan
     assert q.count() == B.transactions(spark, sf_small).where(F.col("slot").between(100, 200)).count()
+
+
+def test_periodic_gap_check_and_lag(spark, sf_small):
+    from progscan.operators import quality as Qa
+
+    base = tempfile.mkdtemp(prefix="gapck-", dir="/tmp")
+    tx = B.transactions(spark, sf_small)
+    tx.repartition(4, "slot").write.parquet(f"{base}/src")
+    listing = tx.select("signature", "slot")
+    q = P.start_transactions(spark, f"{base}/src", f"{base}/sink", f"{base}/ck", B.IDL, B.PID,
+                             files_per_trigger=1, listing=listing, gap_every=3)
+    q.awaitTermination()
+    gaps = spark.read.parquet(f"{base}/sink/gaps")
+    batches = sorted(r[0] for r in gaps.select("batch_id").distinct().collect())
+    assert batches and all(b % 3 == 0 for b in batches)
+    # the last check equals the batch gap job over what was stored by then
+    last = batches[-1]
+    seen = spark.read.parquet(f"{base}/sink/seen").where(F.col("batch_id") <= last).select("slot")
+    want = Qa.gaps(listing, seen, on="slot")
+    assert want.count() > 0  # failed transactions are never seen
+    got = gaps.where(F.col("batch_id") == last).drop("batch_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    lag = spark.read.parquet(f"{base}/sink/lag").collect()
+    assert all(r["slot_lag"] is None or r["slot_lag"] >= 0 for r in lag)
