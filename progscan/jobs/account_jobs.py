@@ -128,3 +128,23 @@ def acc_changes(spark, sf):
 def acc_retention(spark, sf):
     """L-5: history retention by whole slot buckets."""
     return A.retention(history(spark, sf), RETENTION_FROM, RETENTION_BUCKET).select(*_CUST_COLS)
+
+
+@job("acc_merge_pg", f"""
+SELECT pubkey, MAX(slot) AS slot,
+       arg_max(custkey, slot) FILTER (WHERE custkey IS NOT NULL) AS custkey,
+       arg_max(nationkey, slot) FILTER (WHERE nationkey IS NOT NULL) AS nationkey,
+       arg_max(balance, slot) FILTER (WHERE balance IS NOT NULL) AS balance,
+       arg_max(segment, slot) FILTER (WHERE segment IS NOT NULL) AS segment
+FROM (SELECT pubkey, slot, custkey, nationkey, balance,
+             CASE WHEN segment = 'view' THEN NULL ELSE segment END AS segment FROM ({_HIST_SQL}) h) x
+GROUP BY pubkey""")
+def acc_merge_pg(spark, sf):
+    """B-5 (Postgres variant): a field absent from an observation keeps its previous value.
+    Here ``view`` observations carry no segment."""
+    from progscan.operators import store as S
+
+    h = history(spark, sf).withColumn("segment", F.when(F.col("segment") == "view", F.lit(None))
+                                      .otherwise(F.col("segment")))
+    m = S.merge_present(h, ["pubkey"], ["slot", "seq"], ["custkey", "nationkey", "balance", "segment"])
+    return m.select(*_CUST_COLS)

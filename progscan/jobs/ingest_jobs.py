@@ -298,3 +298,12 @@ def ix_typed(spark, sf):
     """Typed mode: stored text converted to the IDL types (u64 -> decimal(20,0), u8 -> smallint)."""
     t = I.instruction_table(stored(spark, sf), IDL, "settle", mode="typed")
     return t.select("id", "signature", "slot", "arg_quantity", "arg_price", "arg_discount")
+
+
+@job("tx_scan_json", f"SELECT * FROM ({TX}) t")
+def tx_scan_json(spark, sf):
+    """A-1 on the JSON format: transactions written as JSON lines and read back with the
+    fixed nested schema (no inference)."""
+    path = scratch_dir(spark, "tx_json")
+    transactions(spark, sf).write.json(path)
+    return X.flat(X.read_transactions(spark, path, fmt="json"))
