@@ -9,6 +9,7 @@ from progscan.operators import accounts as A
 from progscan.operators import query as Q
 from progscan.operators.ingest import decode_accounts
 from progscan.sources import derived as D
+from progscan.sources.staging import staged
 
 _CUST_COLS = ["pubkey", "slot", "custkey", "nationkey", "balance", "segment"]
 
@@ -41,12 +42,17 @@ HISTORY_KEY, HISTORY_LIMIT, HISTORY_OFFSET = "c42", 20, 5
 RETENTION_BUCKET, RETENTION_FROM = 1000, 6500
 
 
-def history(spark, sf):
-    """B-6 / A-10: decoded account-change observations (append-only)."""
+def decode_history(spark, sf):
+    """B-6 / A-10: decode account-change observations (the append step)."""
     h = decode_accounts(account_updates(spark, sf), IDL, ["Customer"])
     return h.select("pubkey", "slot", "seq", "custkey", "nationkey", "balance", "segment")
 
 
+def history(spark, sf):
+    """The stored (append-only) history table, sorted by (slot, seq)."""
+    return staged(spark, sf, "acc_history", lambda: decode_history(spark, sf), sort_by=["slot", "seq"])
+
+
 @job("acc_scan_type", _CUST_SQL)
 def acc_scan_type(spark, sf):
     """A-7 + E-22: accounts of one type by 8-byte prefix, decoded."""
@@ -79,7 +85,7 @@ def acc_reindex(spark, sf):
 @job("acc_history", _HIST_SQL)
 def acc_history(spark, sf):
     """B-6: every observation appended, unchanged ones included."""
-    return history(spark, sf).select(*_CUST_COLS)
+    return decode_history(spark, sf).select(*_CUST_COLS)
 
 
 _SNAP_SQL = f"""
