@@ -157,3 +157,13 @@ def idl_extract(spark, sf):
     acc = docs.select("program_id", "slot", data.alias("data"))
     out = extract_idl(acc, ["program_id", "slot"])
     return out.select("program_id", "slot", idl_hash_hex(F.col("idl_json")).alias("idl_hash"))
+
+
+@job("idl_upgrades", f"""
+SELECT program_id, slot, idl_hash, prev_hash FROM (
+  SELECT program_id, slot, idl_hash, lag(idl_hash) OVER (PARTITION BY program_id ORDER BY slot) AS prev_hash
+  FROM (SELECT program_id, slot, substr(sha256(idl_json), 1, 16) AS idl_hash FROM ({_DOCS}) d) h
+) x WHERE prev_hash IS NULL OR prev_hash <> idl_hash""")
+def idl_upgrades(spark, sf):
+    """I-4: upgrade detection -- a deployment whose hash differs from the current one."""
+    return V.upgrades(D.idl_deployments(spark, sf)).select("program_id", "slot", "idl_hash", "prev_hash")

@@ -43,6 +43,15 @@ def register(docs: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     return insert_ignore(d, ["program_id", "idl_hash"], ["slot", "idl_json"], existing)
 
 
+def upgrades(docs: DataFrame) -> DataFrame:
+    """I-4: deployments whose document hash differs from the program's previous deployment
+    (the first deployment of a program counts as an upgrade from nothing)."""
+    w = Window.partitionBy("program_id").orderBy("slot")
+    d = with_hash(docs).select("program_id", "slot", "idl_hash")
+    d = d.withColumn("prev_hash", F.lag("idl_hash").over(w))
+    return d.where(F.col("prev_hash").isNull() | (F.col("prev_hash") != F.col("idl_hash")))
+
+
 def history(registry: DataFrame) -> DataFrame:
     """I-6: versions of each program in registration order, numbered."""
     w = Window.partitionBy("program_id").orderBy("slot", "idl_hash")
