@@ -8,7 +8,6 @@ from progscan.jobs._base import ACT, IDL, account_updates, job, raw_accounts
 from progscan.operators import accounts as A
 from progscan.operators import query as Q
 from progscan.operators.ingest import decode_accounts
-from progscan.sources import derived as D
 from progscan.sources.staging import staged
 
 _CUST_COLS = ["pubkey", "slot", "custkey", "nationkey", "balance", "segment"]

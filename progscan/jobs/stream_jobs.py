@@ -15,7 +15,6 @@ from progscan.jobs._base import IDL, IX_ACT, IX_ALL, PID, account_updates, activ
 from progscan.jobs.account_jobs import _CUST_COLS, _SNAP_SQL
 from progscan.operators import accounts as A
 from progscan.session import scratch_dir
-from progscan.sources import derived as D
 from progscan.streaming import pipelines as P
 
 FILES = 6

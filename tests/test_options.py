@@ -4,7 +4,6 @@ import json
 import struct
 import zlib
 
-from pyspark.sql import functions as F
 
 from helpers import disc, u64
 from progscan.functions import base58

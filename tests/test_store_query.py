@@ -1,9 +1,8 @@
 """Write semantics and queries (the reference's repository cases), on small frames."""
 
 import pytest
-from pyspark.sql import functions as F
 
-from helpers import b64, disc, string, u16, u64
+from helpers import b64, disc, u16, u64
 from progscan.functions.codec import cursor_decode_py
 from progscan.operators import accounts as A
 from progscan.operators import ingest as I
