@@ -185,3 +185,24 @@ def test_account_decode_by_type(spark):
     assert len(d) == 1 and d[0]["totalliquidity"] == "6000" and d[0]["fee"] == "30"
     assert A.scan_type(acc, "PoolState").count() == 1
     assert A.scan_type(A.with_disc(acc), "PoolState").count() == 1
+
+
+def test_aggregate_options(spark):
+    s = _stored(spark, [_swap_tx("a", 9000, 2 ** 60, block_time=None), _swap_tx("b", 18000, 3, block_time=7200),
+                        _swap_tx("c", 18001, 2 ** 60 + 1, block_time=7300)])
+    rows = {(r["bucket"], r["basis"]): r["count"] for r in Q.aggregate(s, "hour", bucket_basis=True).collect()}
+    assert rows == {(1, "slot"): 1, (2, "time"): 2}
+    exact = Q.aggregate(s, "total", "sum", "arg_amountin", numeric_type="decimal").first()["value"]
+    assert int(exact) == 2 ** 61 + 4  # a double sum would lose the low bits
+
+
+def test_since_checkpoint_and_poll(spark):
+    from progscan.sources import transactions as X
+
+    tx = spark.createDataFrame([_swap_tx(f"s{i}", i, 1) for i in range(1, 301)], TX_SCHEMA)
+    assert X.since_checkpoint(tx, 100).count() == 200
+    capped = X.since_checkpoint(tx, 0, max_rows=200)
+    assert [r["slot"] for r in capped.collect()] == list(range(101, 301))  # newest 200, oldest first
+    polled = [r["slot"] for r in X.poll_latest(tx, 290).collect()]
+    assert polled == list(range(291, 301))  # newest 20 listed, then above the checkpoint
+    assert [r["slot"] for r in X.poll_latest(tx, 0, listed=5).collect()] == list(range(296, 301))
