@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from progscan.functions.codec import EVENT_LOG_PREFIX, lenient_unbase64
-from progscan.plans.decode import decode_fields
+from progscan.plans.decode import decode_fields, json_object
 from progscan.plans.idl import Field, Idl, column_name
 
 # Ordering key inside a slot: transaction, depth, outer position, inner position.
@@ -118,22 +118,22 @@ def decode_by_definition(df: DataFrame, name_col: str, defs: "OrderedDict[str, l
     for name, fields in defs.items():
         layouts.setdefault(json.dumps([f.type for f in fields], sort_keys=True), []).append(name)
     out_cols: "OrderedDict[str, list[tuple[str, str]]]" = OrderedDict()
-    js_parts: list[tuple[list[str], str]] = []
+    objects: list[tuple[str, Column]] = []
     for li, (key, names) in enumerate(layouts.items()):
         fields = defs[names[0]]
         tmp = [f"__l{li}_{i}" for i in range(len(fields))]
+        frags = [f"__lj{li}_{i}" for i in range(len(fields))] if js_col else None
         gate = F.col(name_col).isin(names)
         raw_tmp = f"__raw{li}"
         df = df.withColumn(raw_tmp, F.when(gate, F.col("raw")))
-        df = decode_fields(df, raw_tmp, fields, tmp, js_col=(f"__js{li}" if js_col else None), registry=registry)
+        df = decode_fields(df, raw_tmp, fields, tmp, registry=registry, js_values=frags)
         df = df.drop(raw_tmp)
         for nm in names:
             for f, t in zip(defs[nm], tmp):
                 out_cols.setdefault(column_name(prefix, f.name), []).append((nm, t))
-        if js_col:
-            # the JSON object keys are per definition; rebuild when names differ
-            for nm in names:
-                js_parts.append(([nm], _rekey_js(f"__js{li}", fields, defs[nm])))
+            if js_col:
+                # same layout, own field names: each definition builds its own object
+                objects.append((nm, json_object([f.name for f in defs[nm]], frags)))
     final = {}
     for col, srcs in out_cols.items():
         expr = None
@@ -143,24 +143,14 @@ def decode_by_definition(df: DataFrame, name_col: str, defs: "OrderedDict[str, l
         final[col] = expr
     if js_col:
         expr = None
-        for names, c in js_parts:
-            expr = F.when(F.col(name_col).isin(names), c) if expr is None else expr.when(F.col(name_col).isin(names), c)
+        for nm, c in objects:
+            expr = F.when(F.col(name_col) == nm, c) if expr is None else expr.when(F.col(name_col) == nm, c)
         final[js_col] = expr if expr is not None else F.lit(None).cast("string")
     df = df.withColumns(final) if final else df
-    drop = [c for c in df.columns if c.startswith("__l") or c.startswith("__js")]
+    drop = [c for c in df.columns if c.startswith("__l")]
     return df.drop(*drop), list(out_cols.keys())
 
 
-def _rekey_js(js_col: str, layout_fields: list[Field], fields: list[Field]) -> Column:
-    """Same layout, other field names: replace the JSON keys in order."""
-    if [f.name for f in layout_fields] == [f.name for f in fields]:
-        return F.col(js_col)
-    c = F.col(js_col)
-    for a, b in zip(layout_fields, fields):
-        c = F.regexp_replace(c, json.dumps(a.name), json.dumps(b.name).replace("\\", "\\\\"))
-    return c
-
-
 def decode_instructions(tx: DataFrame, idl: Idl, program_id: str, accounts: str = "transaction",
                         encoding: str = "base64", name_case: str = "as_is", mode: str = "stored") -> DataFrame:
     """Instruction rows of ``program_id`` decoded with ``idl`` (all types in one frame).

@@ -303,43 +303,44 @@ def field_piece(t: IdlType, raw: Column, n: Column, o: Column, registry=None) ->
 
 def decode_fields(df: DataFrame, raw_col: str, fields: list[Field] | tuple[Field, ...],
                   out_names: list[str], start: int = 8, js_col: str | None = None,
-                  registry=None) -> DataFrame:
+                  registry=None, js_values: list[str] | None = None) -> DataFrame:
     """Add one stored-text column per field, decoded from BINARY ``raw_col``.
 
     ``js_col`` optionally adds the JSON object text of all fields in order
-    (the event payload form). Temporary offset columns are dropped.
+    (the event payload form); ``js_values`` instead keeps each field's JSON
+    fragment in the named columns, for callers that assemble objects
+    themselves. Temporary offset columns are dropped.
     """
     fields = list(fields)
     if not all(is_native(f.type) for f in fields):
         from progscan.plans.decode_fallback import decode_with_python
 
-        return decode_with_python(df, raw_col, fields, out_names, start, js_col)
+        return decode_with_python(df, raw_col, fields, out_names, start, js_col, js_values)
     raw = F.col(raw_col)
     n = F.length(raw).cast("bigint")
     off = "__off"
     df = df.withColumn(off, F.lit(start).cast("bigint"))
-    js_parts: list[Column] = []
+    jnames = js_values or ([f"__fj{i}" for i in range(len(fields))] if js_col else None)
     for i, (f, name) in enumerate(zip(fields, out_names)):
         p = field_piece(f.type, raw, n, F.col(off), registry)
-        jcol = f"__fj{i}"
-        cols = {
-            name: F.when(p.threw, _L.null_s).otherwise(p.text),
-            off: F.when(p.threw, F.col(off)).otherwise(p.end).cast("bigint"),
-        }
-        if js_col:
-            cols[jcol] = F.when(p.threw, F.lit("null")).otherwise(p.js)
-            js_parts.append(F.concat(F.lit(_json_key(f.name) + ":"), F.col(jcol)))
         # value first (it reads the old offset), then move the offset
-        df = df.withColumn(name, cols[name])
-        if js_col:
-            df = df.withColumn(jcol, cols[jcol])
-        df = df.withColumn(off, cols[off])
+        df = df.withColumn(name, F.when(p.threw, _L.null_s).otherwise(p.text))
+        if jnames:
+            df = df.withColumn(jnames[i], F.when(p.threw, F.lit("null")).otherwise(p.js))
+        df = df.withColumn(off, F.when(p.threw, F.col(off)).otherwise(p.end).cast("bigint"))
     if js_col:
-        df = df.withColumn(js_col, F.concat(F.lit("{"), F.concat_ws(",", *js_parts), F.lit("}")))
-        df = df.drop(*[f"__fj{i}" for i in range(len(fields))])
+        df = df.withColumn(js_col, json_object([f.name for f in fields], jnames))
+        if not js_values:
+            df = df.drop(*jnames)
     return df.drop(off)
 
 
+def json_object(keys: list[str], value_cols: list[str]) -> Column:
+    """``{"k1":v1,...}`` from columns that hold JSON fragments."""
+    parts = [F.concat(F.lit(_json_key(k) + ":"), F.col(c)) for k, c in zip(keys, value_cols)]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
 def _json_key(name: str) -> str:
     import json
 

@@ -61,3 +61,21 @@ def test_failed_transaction_has_no_events(spark):
     rows = [("s", 1, 0, None, ('{"err":1}', ["Program data: " + b64(TRADE)], []), (([], []),))]
     tx = spark.createDataFrame(rows, TX_SCHEMA)
     assert I.decode_events(tx, IDL_EVENTS).count() == 0
+
+
+def test_same_layout_events_keep_their_own_keys(spark):
+    import struct
+
+    from helpers import string
+
+    idl = Idl.from_dict({"name": "p", "instructions": [], "events": [
+        {"name": "A", "fields": [{"name": "memo", "type": "string"}, {"name": "x", "type": "u8"}]},
+        {"name": "B", "fields": [{"name": "note", "type": "string"}, {"name": "y", "type": "u8"}]},
+        {"name": "C", "fields": [{"name": "tags", "type": {"vec": "string"}}, {"name": "z", "type": "u8"}]},
+    ]})
+    a = disc("event:", "A") + string('"note"') + u8(1)
+    b = disc("event:", "B") + string('{"memo":1}') + u8(2)
+    c = disc("event:", "C") + struct.pack("<I", 2) + string("p") + string('q"') + u8(3)
+    out = I.decode_events(_tx(spark, [["Program data: " + b64(x) for x in (a, b, c)]]), idl).orderBy("id").collect()
+    assert [json.loads(r["data"]) for r in out] == [{"memo": '"note"', "x": 1}, {"note": '{"memo":1}', "y": 2},
+                                                    {"tags": '["p","q\\""]', "z": 3}]
