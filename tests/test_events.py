@@ -79,3 +79,13 @@ def test_same_layout_events_keep_their_own_keys(spark):
     out = I.decode_events(_tx(spark, [["Program data: " + b64(x) for x in (a, b, c)]]), idl).orderBy("id").collect()
     assert [json.loads(r["data"]) for r in out] == [{"memo": '"note"', "x": 1}, {"note": '{"memo":1}', "y": 2},
                                                     {"tags": '["p","q\\""]', "z": 3}]
+
+
+def test_definitions_without_fields(spark):
+    idl = Idl.from_dict({"name": "p", "instructions": [{"name": "initialize", "accounts": [], "args": []}],
+                         "events": [{"name": "Ping", "fields": []}]})
+    out = I.decode_events(_tx(spark, [["Program data: " + b64(disc("event:", "Ping"))]]), idl).collect()
+    assert [(r["event_name"], r["data"]) for r in out] == [("Ping", "{}")]
+    rows = [("s", 1, 0, None, (None, [], []), (([("P", b64(disc("global:", "initialize")), None)], []),))]
+    d = I.decode_instructions(spark.createDataFrame(rows, TX_SCHEMA), idl, "P").collect()
+    assert [r["ix_name"] for r in d] == ["initialize"]
