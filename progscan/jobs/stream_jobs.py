@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from progscan.jobs._base import IDL, IX_ACT, IX_ALL, PID, account_updates, activity_transactions, job, transactions
+from progscan.jobs._base import (
+    IDL, IX_ACT, IX_ALL, PID, TX, account_updates, activity_transactions, job, transactions,
+)
 from progscan.jobs.account_jobs import _CUST_COLS, _SNAP_SQL
 from progscan.operators import accounts as A
 from progscan.session import scratch_dir
@@ -75,3 +77,22 @@ def stream_accounts(spark, sf):
     q.awaitTermination()
     hist = P.read_stored(spark, sink, "history")
     return A.snapshot(hist).select(*_CUST_COLS)
+
+
+@job("stream_gap_check", f"""
+SELECT signature, slot FROM ({TX}) t WHERE slot NOT IN (SELECT slot FROM ({TX}) s WHERE ok)""")
+def stream_gap_check(spark, sf):
+    """J-1 + H-2 + J-5: the realtime loop's gap check, run inside the micro-batches against
+    the seen-slot table; the result after the last batch (listing = every transaction)."""
+    base = scratch_dir(spark, "stream_gaps")
+    tx = transactions(spark, sf)
+    src = f"{base}/source"
+    tx.repartition(FILES, "slot").write.mode("overwrite").parquet(src)
+    sink = f"{base}/sink"
+    listing = tx.select("signature", "slot")
+    q = P.start_transactions(spark, src, sink, f"{base}/offsets", IDL, PID, files_per_trigger=FILES_PER_TRIGGER,
+                             listing=listing, gap_every=1)
+    q.awaitTermination()
+    gaps = spark.read.parquet(f"{sink}/gaps")
+    last = gaps.agg(F.max("batch_id")).first()[0]
+    return gaps.where(F.col("batch_id") == last).select("signature", "slot")
