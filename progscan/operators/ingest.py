@@ -237,3 +237,36 @@ def decode_accounts(accounts: DataFrame, idl: Idl, type_names: list[str] | None
     m, cols = decode_by_definition(m, "account_type", accs, "", js_col="data")
     keep = [c for c in accounts.columns if c not in ("data",)]
     return m.select("account_type", *keep, *cols, "data")
+
+
+def event_table(events: DataFrame, idl: Idl, event_name: str, mode: str = "stored") -> DataFrame:
+    """D-8: the rows of one event type; ``mode="typed"`` parses the JSON payload into a
+    struct of the event's fields (u64 stays text, as in the payload)."""
+    from pyspark.sql import types as T
+
+    ev = next(e for e in idl.events if e.name == event_name)
+    rows = events.where(F.col("event_name") == event_name)
+    if mode != "typed":
+        return rows
+    from progscan.plans.decode import spark_type
+
+    def json_type(t):
+        st = spark_type(t, idl.type_def)
+        # 64/128-bit integers and keys are JSON strings in the payload
+        return T.StringType() if isinstance(st, T.DecimalType) or t in ("i64", "u128", "i128") else st
+
+    schema = T.StructType([T.StructField(f.name, json_type(f.type)) for f in ev.fields])
+    return rows.withColumn("data", F.from_json("data", schema))
+
+
+def account_table(decoded: DataFrame, idl: Idl, type_name: str, mode: str = "stored") -> DataFrame:
+    """Snapshot/history table of one account type (``acc_<program>_<type>`` columns)."""
+    from progscan.plans.decode import typed_column
+
+    acc = idl.account(type_name)
+    keep = [c for c in ("pubkey", "slot", "seq") if c in decoded.columns]
+    cols = [F.col(c) for c in keep]
+    for f in acc.fields:
+        c = column_name("", f.name)
+        cols.append(typed_column(F.col(c), f.type, idl.type_def).alias(c) if mode == "typed" else F.col(c))
+    return decoded.where(F.col("account_type") == type_name).select(*cols)

@@ -384,3 +384,21 @@ def typed_column(stored: Column, t: IdlType, registry=None) -> Column:
     if isinstance(st, T.BooleanType):
         return stored == F.lit("true")
     return stored.try_cast(st)
+
+
+def instruction_table_schema(idl, ix_name: str, mode: str = "stored") -> T.StructType:
+    """I-1 as a Spark schema: the columns of ``ix_<program>_<instruction>``.
+
+    ``stored`` keeps the reference's text storage for arguments; ``typed`` uses
+    the Spark type of each IDL type."""
+    from progscan.plans.idl import column_name
+
+    ix = idl.instruction(ix_name)
+    fields = [T.StructField("id", T.LongType(), False), T.StructField("signature", T.StringType(), False),
+              T.StructField("slot", T.LongType(), False), T.StructField("block_time", T.LongType()),
+              T.StructField("cpi_depth", T.IntegerType(), False), T.StructField("parent_ix_index", T.IntegerType())]
+    fields += [T.StructField(column_name("account_", a.name), T.StringType()) for a in ix.accounts]
+    for f in ix.args:
+        t = spark_type(f.type, idl.type_def) if mode == "typed" else T.StringType()
+        fields.append(T.StructField(column_name("arg_", f.name), t))
+    return T.StructType(fields)

@@ -102,3 +102,23 @@ def test_defined_stored_parity_and_typed(spark):
     short = disc("global:", "route") + struct.pack("<I", 3) + step(1)
     d2 = I.decode_instructions(_tx(spark, base64.b64encode(short).decode()), IDL_ROUTE, "P", mode="typed").first()
     assert d2["arg_routeplan"] is None
+
+
+def test_typed_event_account_tables_and_schema(spark):
+    from pyspark.sql import types as T
+
+    from progscan.jobs import _base as B
+    from progscan.plans.decode import instruction_table_schema
+
+    ev = I.event_table(B.events(spark, "/root/testdata/sf0.001"), B.IDL, "PurchaseMade", mode="typed")
+    r = ev.first()
+    assert isinstance(r["data"]["amount"], str) and r["data"]["memo"].startswith("order-")
+    acc = I.decode_accounts(B.raw_accounts(spark, "/root/testdata/sf0.001"), B.IDL)
+    sup = I.account_table(acc, B.IDL, "Supplier", mode="typed")
+    assert sup.columns == ["pubkey", "slot", "suppkey", "nationkey", "balance"]
+    assert sup.schema["balance"].dataType == T.LongType() and sup.count() > 0
+    sch = instruction_table_schema(B.IDL, "settle", mode="typed")
+    assert [f.name for f in sch.fields][-3:] == ["arg_quantity", "arg_price", "arg_discount"]
+    assert sch["arg_quantity"].dataType == T.DecimalType(20, 0)
+    stored = B.ix_table(spark, "/root/testdata/sf0.001", "settle")
+    assert [f.name for f in instruction_table_schema(B.IDL, "settle").fields] == stored.columns
