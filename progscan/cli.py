@@ -18,17 +18,21 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+if __package__ in (None, ""):  # run as a script (spark-submit progscan/cli.py ...)
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from progscan.operators import ingest as I
-from progscan.operators import query as Q
-from progscan.plans.idl import Idl
-from progscan.sources import transactions as X
-from progscan.sources.staging import path_exists
-from progscan.streaming import pipelines as P
+from pyspark.sql import SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from progscan.operators import ingest as I  # noqa: E402
+from progscan.operators import query as Q  # noqa: E402
+from progscan.plans.idl import Idl  # noqa: E402
+from progscan.sources import transactions as X  # noqa: E402
+from progscan.sources.staging import path_exists  # noqa: E402
+from progscan.streaming import pipelines as P  # noqa: E402
 
 
 def _idl(path: str) -> Idl:
