@@ -69,3 +69,17 @@ def test_periodic_gap_check_and_lag(spark, sf_small):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     lag = spark.read.parquet(f"{base}/sink/lag").collect()
     assert all(r["slot_lag"] is None or r["slot_lag"] >= 0 for r in lag)
+
+
+def test_bounded_dedup_within_watermark(spark, sf_small):
+    base = tempfile.mkdtemp(prefix="wm-", dir="/tmp")
+    tx = B.activity_transactions(spark, sf_small)
+    tx.repartition(2, "slot").write.parquet(f"{base}/src")
+    tx.repartition(2, "slot").write.mode("append").parquet(f"{base}/src")  # every transaction twice
+    src = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/src")
+    out = P.dedup_within_watermark(src, "1 hour").select("signature")
+    q = (out.writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.read.parquet(f"{base}/out")
+    assert got.count() == got.distinct().count() == tx.count()
