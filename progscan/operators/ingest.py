@@ -151,22 +151,50 @@ def decode_by_definition(df: DataFrame, name_col: str, defs: "OrderedDict[str, l
     return df.drop(*drop), list(out_cols.keys())
 
 
+# More distinct argument layouts than this are decoded in groups (see below).
+MAX_LAYOUTS_PER_PROJECTION = 12
+
+
 def decode_instructions(tx: DataFrame, idl: Idl, program_id: str, accounts: str = "transaction",
-                        encoding: str = "base64", name_case: str = "as_is", mode: str = "stored") -> DataFrame:
+                        encoding: str = "base64", name_case: str = "as_is", mode: str = "stored",
+                        max_layouts: int = MAX_LAYOUTS_PER_PROJECTION) -> DataFrame:
     """Instruction rows of ``program_id`` decoded with ``idl`` (all types in one frame).
 
     Columns: ix_name, id, signature, slot, block_time, cpi_depth, parent_ix_index,
     account_* (positional, D-4), arg_* (stored text, E-19/D-5).
     ``accounts="instruction"`` maps the instruction's own key list instead of the
     transaction-level keys (Q-2).
+
+    An IDL with many distinct argument layouts would make one huge projection
+    (generated code past the JIT's limits). Beyond ``max_layouts`` the matched
+    rows are written once, partitioned by instruction, to the shared checkpoint
+    folder; each group of layouts then decodes only its own partitions and the
+    groups are unioned -- one extra write, still one read of every row.
     """
     spark = tx.sparkSession
     rows = program_instructions(tx, program_id)
     defs = definitions(spark, idl.instruction_discriminators(name_case))
     m = match_definitions(rows, F.col("data"), defs, "ix_name", encoding)
-    m, arg_cols = decode_by_definition(
-        m, "ix_name", OrderedDict((ix.name, list(ix.args)) for ix in idl.instructions), "arg_",
-        registry=idl.type_def if mode == "typed" else None)
+    registry = idl.type_def if mode == "typed" else None
+    all_defs = OrderedDict((ix.name, list(ix.args)) for ix in idl.instructions)
+    groups = _layout_groups(all_defs, max_layouts)
+    if len(groups) == 1:
+        m, arg_cols = decode_by_definition(m, "ix_name", all_defs, "arg_", registry=registry)
+    else:
+        from progscan.session import scratch_dir
+
+        path = scratch_dir(spark, "matched_ix")
+        m.write.partitionBy("ix_name").parquet(path)
+        parts, arg_cols = [], []
+        for names in groups:
+            sub = spark.read.parquet(path).where(F.col("ix_name").isin(names))  # partition pruning
+            d, cols = decode_by_definition(sub, "ix_name", OrderedDict((n, all_defs[n]) for n in names), "arg_",
+                                           registry=registry)
+            parts.append(d)
+            arg_cols += [c for c in cols if c not in arg_cols]
+        m = parts[0]
+        for p in parts[1:]:
+            m = m.unionByName(p, allowMissingColumns=True)
     keys = F.col("account_keys") if accounts == "transaction" else F.coalesce(F.col("ix_accounts"), F.col("account_keys"))
     acct: "OrderedDict[str, list[tuple[str, int]]]" = OrderedDict()
     for ix in idl.instructions:
@@ -184,6 +212,15 @@ def decode_instructions(tx: DataFrame, idl: Idl, program_id: str, accounts: str
     return m.select(*base, *acc_exprs.keys(), *arg_cols)
 
 
+def _layout_groups(defs: "OrderedDict[str, list[Field]]", max_layouts: int) -> list[list[str]]:
+    """Definition names grouped so that each group holds at most ``max_layouts`` layouts."""
+    by_layout: "OrderedDict[str, list[str]]" = OrderedDict()
+    for name, fields in defs.items():
+        by_layout.setdefault(json.dumps([f.type for f in fields], sort_keys=True), []).append(name)
+    layouts = list(by_layout.values())
+    return [sum(layouts[i:i + max_layouts], []) for i in range(0, len(layouts), max(1, max_layouts))] or [[]]
+
+
 def instruction_table(decoded: DataFrame, idl: Idl, ix_name: str, mode: str = "stored") -> DataFrame:
     """D-6: the stored table of one instruction (its own columns only).
 

@@ -122,3 +122,29 @@ def test_typed_event_account_tables_and_schema(spark):
     assert sch["arg_quantity"].dataType == T.DecimalType(20, 0)
     stored = B.ix_table(spark, "/root/testdata/sf0.001", "settle")
     assert [f.name for f in instruction_table_schema(B.IDL, "settle").fields] == stored.columns
+
+
+def test_many_layouts_decode_in_groups(spark):
+    import base64
+
+    types = ["u8", "u16", "u32", "u64", "i8", "i16", "i32", "i64", "bool", "string"]
+    ixs = [{"name": f"ix{i}", "accounts": [{"name": "a"}],
+            "args": [{"name": f"f{j}", "type": types[(i + j) % len(types)]} for j in range(1 + i % 4)]}
+           for i in range(16)]
+    idl = Idl.from_dict({"name": "wide", "instructions": ixs})
+    import random
+
+    rnd = random.Random(11)
+    rows = []
+    for k in range(160):
+        ix = ixs[k % 16]
+        payload = disc("global:", ix["name"]) + rnd.randbytes(rnd.randrange(0, 30))
+        rows.append((f"s{k}", k, 0, None, (None, [], []),
+                     (([("P", base64.b64encode(payload).decode(), None)], [("k",)]),)))
+    tx = spark.createDataFrame(rows, TX_SCHEMA)
+    one = I.decode_instructions(tx, idl, "P", max_layouts=1000)
+    grouped = I.decode_instructions(tx, idl, "P", max_layouts=4)
+    cols = sorted(one.columns)
+    assert sorted(grouped.columns) == cols
+    norm = lambda df: sorted(tuple(str(v) for v in r) for r in df.select(*cols).collect())
+    assert norm(one) == norm(grouped) and len(norm(one)) == 160
