@@ -50,19 +50,12 @@ class Piece:
     threw: Column    # the read failed: value NULL, offset unchanged
 
 
-class _Lazy:
-    """Module-level literals, built on first use (a session must exist)."""
+def _false() -> Column:
+    return F.lit(False)
 
-    @property
-    def false(self) -> Column:
-        return F.lit(False)
 
-    @property
-    def null_s(self) -> Column:
-        return F.lit(None).cast("string")
-
-
-_L = _Lazy()
+def _null_s() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _quote(s: Column) -> Column:
@@ -74,7 +67,7 @@ def _quote(s: Column) -> Column:
 def _js_number_text(v: Column) -> Column:
     """Text of a double the way JavaScript's ``String(number)`` prints common values."""
     integral = (v == F.floor(v)) & (F.abs(v) < F.lit(1e15))
-    return (F.when(v.isNull(), _L.null_s)
+    return (F.when(v.isNull(), _null_s())
             .when(F.isnan(v), F.lit("NaN"))
             .when(v == F.lit(float("inf")), F.lit("Infinity"))
             .when(v == F.lit(float("-inf")), F.lit("-Infinity"))
@@ -103,10 +96,10 @@ def _guard(n: Column, o: Column, p: Piece) -> Piece:
     """Apply the ``len <= offset`` rule in front of a decoded piece."""
     g = n <= o
     return Piece(
-        text=F.when(g, _L.null_s).otherwise(p.text),
+        text=F.when(g, _null_s()).otherwise(p.text),
         js=F.when(g, F.lit("null")).otherwise(p.js),
         end=F.when(g, o).otherwise(p.end),
-        threw=F.when(g, _L.false).otherwise(p.threw),
+        threw=F.when(g, _false()).otherwise(p.threw),
     )
 
 
@@ -115,7 +108,7 @@ def _scalar(t: str, raw: Column, n: Column, o: Column) -> Piece:
     w = FIXED_WIDTH.get(t)
     if t == "bool":
         v = F.when(B.slice_bytes(raw, o, 1) != F.lit(bytearray(b"\x00")), F.lit("true")).otherwise(F.lit("false"))
-        return Piece(v, v, o + 1, _L.false)
+        return Piece(v, v, o + 1, _false())
     if t in ("u8", "u16", "u32"):
         v = B.read_unsigned(raw, o, w).cast("string")
         return Piece(v, v, o + w, n < o + w)
@@ -130,7 +123,7 @@ def _scalar(t: str, raw: Column, n: Column, o: Column) -> Piece:
         return Piece(v, F.concat(F.lit('"'), v, F.lit('"')), o + 8, n < o + 8)
     if t in ("u128", "i128"):
         v = F.concat(F.lit("0x"), F.lower(B.le_hex_of(raw, o, 16)))
-        return Piece(v, F.concat(F.lit('"'), v, F.lit('"')), o + 16, _L.false)
+        return Piece(v, F.concat(F.lit('"'), v, F.lit('"')), o + 16, _false())
     if t in ("f32", "f64"):
         d = B.read_float(raw, o, w)
         v = _js_number_text(d)
@@ -138,16 +131,16 @@ def _scalar(t: str, raw: Column, n: Column, o: Column) -> Piece:
         return Piece(v, js, o + w, n < o + w)
     if t == "publicKey":
         v = F.base64(B.slice_bytes(raw, o, 32))
-        return Piece(v, F.concat(F.lit('"'), v, F.lit('"')), o + 32, _L.false)
+        return Piece(v, F.concat(F.lit('"'), v, F.lit('"')), o + 32, _false())
     if t == "string":
         ln = B.read_unsigned(raw, o, 4)
         ok = (n >= o + 4) & (n >= o + 4 + ln)
         s = F.make_valid_utf8(B.slice_bytes(raw, o + 4, ln).cast("string"))
         v = F.when(ok, s)
         return Piece(v, F.when(ok, _quote(s)).otherwise(F.lit("null")),
-                     F.when(ok, o + 4 + ln).otherwise(o), _L.false)
+                     F.when(ok, o + 4 + ln).otherwise(o), _false())
     # unknown scalar names: NULL, nothing consumed
-    return Piece(_L.null_s, F.lit("null"), o, _L.false)
+    return Piece(_null_s(), F.lit("null"), o, _false())
 
 
 def _fixed_elem_js(t: str, raw: Column, n: Column, cur: Column) -> Column:
@@ -169,19 +162,19 @@ def _vec(elem: IdlType, raw: Column, n: Column, o: Column, registry=None) -> Pie
                                         F.lit("]"))).otherwise(F.lit("[]"))
         text = F.when(ok, body)
         return Piece(text, F.when(ok, body).otherwise(F.lit("null")), F.when(ok, start + cnt * w).otherwise(o),
-                     F.when(short, _L.false).otherwise(~ok))
+                     F.when(short, _false()).otherwise(~ok))
     if isinstance(elem, dict) and "defined" in elem:
         # items are read while the cursor is inside the data; it never moves
         k = F.when(n > o + 4, F.least(cnt, F.lit(MAX_ZERO_WIDTH_ITEMS))).otherwise(F.lit(0))
         body = F.when(k > 0, F.concat(F.lit("["), F.repeat(F.lit("null,"), k - 1), F.lit("null]"))) \
             .otherwise(F.lit("[]"))
-        text = F.when(short, _L.null_s).otherwise(body)
+        text = F.when(short, _null_s()).otherwise(body)
         return Piece(text, F.when(short, F.lit("null")).otherwise(_quote(body)),
-                     F.when(short, o).otherwise(o + 4), _L.false)
+                     F.when(short, o).otherwise(o + 4), _false())
     w = FIXED_WIDTH[elem]
     avail = n - (o + 4)
     k = F.least(cnt, F.greatest(F.ceil(avail / F.lit(w)).cast("bigint"), F.lit(0)))
-    partial = (k * w > avail) if elem not in NEVER_FAILS else _L.false
+    partial = (k * w > avail) if elem not in NEVER_FAILS else _false()
     start = o + 4
     items = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(k, F.lit(1)) - 1),
                         lambda i: _fixed_elem_js(elem, raw, n, start + i * w))
@@ -190,18 +183,18 @@ def _vec(elem: IdlType, raw: Column, n: Column, o: Column, registry=None) -> Pie
     ok = ~short & ~partial
     text = F.when(ok, body)
     return Piece(text, F.when(ok, _quote(body)).otherwise(F.lit("null")),
-                 F.when(ok, o + 4 + k * w).otherwise(o), F.when(short, _L.false).otherwise(partial))
+                 F.when(ok, o + 4 + k * w).otherwise(o), F.when(short, _false()).otherwise(partial))
 
 
 def _array(elem: IdlType, count: int, raw: Column, n: Column, o: Column) -> Piece:
     if isinstance(elem, dict) and "defined" in elem:
         body = F.lit("[" + ",".join(["null"] * count) + "]")
-        return Piece(body, _quote(body), o, _L.false)
+        return Piece(body, _quote(body), o, _false())
     w = FIXED_WIDTH[elem]
     avail = n - o
     if elem in NEVER_FAILS:
         k = F.least(F.lit(count), F.ceil(avail / F.lit(w)).cast("bigint"))
-        threw = _L.false
+        threw = _false()
     else:
         full = F.floor(avail / F.lit(w)).cast("bigint")
         k = F.least(F.lit(count), full)
@@ -209,7 +202,7 @@ def _array(elem: IdlType, count: int, raw: Column, n: Column, o: Column) -> Piec
     parts = [F.when(F.lit(i) < k, _fixed_elem_js(elem, raw, n, o + i * w)).otherwise(F.lit("null"))
              for i in range(count)]
     body = F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")) if count else F.lit("[]")
-    text = F.when(threw, _L.null_s).otherwise(body)
+    text = F.when(threw, _null_s()).otherwise(body)
     return Piece(text, F.when(threw, F.lit("null")).otherwise(_quote(body)), o + k * w, threw)
 
 
@@ -278,16 +271,16 @@ def field_piece(t: IdlType, raw: Column, n: Column, o: Column, registry=None) ->
         inner = field_piece(t["option"], raw, n, o + 1, registry)
         none = B.slice_bytes(raw, o, 1) == F.lit(bytearray(b"\x00"))
         p = Piece(
-            text=F.when(none, _L.null_s).otherwise(inner.text),
+            text=F.when(none, _null_s()).otherwise(inner.text),
             js=F.when(none, F.lit("null")).otherwise(inner.js),
             end=F.when(none, o + 1).otherwise(inner.end),
-            threw=F.when(none, _L.false).otherwise(inner.threw),
+            threw=F.when(none, _false()).otherwise(inner.threw),
         )
         return _guard(n, o, p)
     if "defined" in t:
         sdef = _struct_def(t, registry)
         if sdef is None:
-            return Piece(_L.null_s, F.lit("null"), o, _L.false)
+            return Piece(_null_s(), F.lit("null"), o, _false())
         w = fixed_width(t, registry)
         ok = n >= o + w
         js = _struct_js(sdef, raw, n, o, registry)
@@ -298,7 +291,7 @@ def field_piece(t: IdlType, raw: Column, n: Column, o: Column, registry=None) ->
     if "array" in t:
         elem, count = t["array"]
         return _guard(n, o, _array(elem, int(count), raw, n, o))
-    return Piece(_L.null_s, F.lit("null"), o, _L.false)
+    return Piece(_null_s(), F.lit("null"), o, _false())
 
 
 def decode_fields(df: DataFrame, raw_col: str, fields: list[Field] | tuple[Field, ...],
@@ -324,7 +317,7 @@ def decode_fields(df: DataFrame, raw_col: str, fields: list[Field] | tuple[Field
     for i, (f, name) in enumerate(zip(fields, out_names)):
         p = field_piece(f.type, raw, n, F.col(off), registry)
         # value first (it reads the old offset), then move the offset
-        df = df.withColumn(name, F.when(p.threw, _L.null_s).otherwise(p.text))
+        df = df.withColumn(name, F.when(p.threw, _null_s()).otherwise(p.text))
         if jnames:
             df = df.withColumn(jnames[i], F.when(p.threw, F.lit("null")).otherwise(p.js))
         df = df.withColumn(off, F.when(p.threw, F.col(off)).otherwise(p.end).cast("bigint"))
