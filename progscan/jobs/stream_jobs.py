@@ -91,7 +91,7 @@ def stream_gap_check(spark, sf):
     sink = f"{base}/sink"
     listing = tx.select("signature", "slot")
     q = P.start_transactions(spark, src, sink, f"{base}/offsets", IDL, PID, files_per_trigger=FILES_PER_TRIGGER,
-                             listing=listing, gap_every=1)
+                             listing=listing, gap_every=1, gap_requires_progress=False)
     q.awaitTermination()
     gaps = spark.read.parquet(f"{sink}/gaps")
     last = gaps.agg(F.max("batch_id")).first()[0]

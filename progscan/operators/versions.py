@@ -137,10 +137,37 @@ def schema_tables(docs: DataFrame) -> DataFrame:
                 "c.column_name", "c.storage_type")
 
 
-def evolve(registry: DataFrame) -> DataFrame:
+ACC_FIXED_HEAD = [("id", "INTEGER"), ("pubkey", "TEXT"), ("slot", "INTEGER")]
+ACC_FIXED_TAIL = [("updated_at", "INTEGER")]
+
+
+def account_schema_tables(docs: DataFrame) -> DataFrame:
+    """I-1 for account types: ``acc_<program>_<type>`` columns (id, pubkey, slot,
+    the type's fields, updated_at). Same columns as ``schema_tables``."""
+    p = parse(docs)
+    acc = p.select("program_id", "slot", F.col("doc.name").alias("prog"), F.explode("doc.accounts").alias("acc"))
+    table = normalise_name(F.concat(F.lit("acc_"), F.col("prog"), F.lit("_"), F.col("acc.name")))
+    flds = F.coalesce(F.col("acc.type.fields"), F.array().cast(_ARGS))
+    head = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column_name"), F.lit(t).alias("storage_type"))
+                     for i, (n, t) in enumerate(ACC_FIXED_HEAD)])
+    body = F.transform(flds, lambda a, i: F.struct(
+        (F.lit(len(ACC_FIXED_HEAD)) + i).alias("ordinal"), F.lower(a["name"]).alias("column_name"),
+        storage_type(a["type"]).alias("storage_type")))
+    tail = F.array(*[F.struct((F.lit(len(ACC_FIXED_HEAD) + i) + F.size(flds)).alias("ordinal"),
+                              F.lit(n).alias("column_name"), F.lit(t).alias("storage_type"))
+                     for i, (n, t) in enumerate(ACC_FIXED_TAIL)])
+    return acc.select("program_id", "slot", table.alias("table_name"), F.explode(F.concat(head, body, tail)).alias("c")) \
+        .select("program_id", "slot", "table_name", F.col("c.ordinal").cast("int").alias("ordinal"),
+                "c.column_name", "c.storage_type")
+
+
+def evolve(registry: DataFrame, include_accounts: bool = True) -> DataFrame:
     """I-5: additive migration -- every (table, column) ever declared, with the slot of
     the version that first declared it; nothing is dropped."""
     t = schema_tables(registry)
+    if include_accounts:
+        # unlike the reference's migration (instructions only), account fields evolve too
+        t = t.unionByName(account_schema_tables(registry))
     return t.groupBy("program_id", "table_name", "column_name").agg(
         F.min("slot").alias("first_slot"), F.min("storage_type").alias("storage_type"))
 

@@ -44,7 +44,8 @@ GAP_CHECK_EVERY = 6
 
 
 def process_transactions(batch: DataFrame, batch_id: int, sink: str, idl: Idl, program_id: str,
-                         listing: DataFrame | None = None, gap_every: int = GAP_CHECK_EVERY) -> None:
+                         listing: DataFrame | None = None, gap_every: int = GAP_CHECK_EVERY,
+                         gap_requires_progress: bool = True) -> None:
     """One micro-batch: decode, insert-ignore instructions, append events, checkpoint.
 
     With a ``listing`` (what the chain lists for the program), every
@@ -81,7 +82,8 @@ def process_transactions(batch: DataFrame, batch_id: int, sink: str, idl: Idl, p
         # J-5: the seen-slot set is a table (distinct slots of processed transactions),
         # not driver memory, so it needs no eviction
         S.overwrite_batch(I.ok_transactions(batch).select("slot").distinct(), f"{sink}/seen", batch_id)
-        if batch_id >= 0 and batch_id % gap_every == 0:
+        due = batch_id >= 0 and batch_id % gap_every == 0
+        if due and (not gap_requires_progress or _checkpoint_moved(spark, sink, batch_id)):
             from progscan.operators import quality as Qa
 
             seen = spark.read.parquet(f"{sink}/seen").where(F.col("batch_id") <= batch_id).select("slot")
@@ -89,6 +91,17 @@ def process_transactions(batch: DataFrame, batch_id: int, sink: str, idl: Idl, p
             S.overwrite_batch(Qa.slot_lag(listing, seen), f"{sink}/lag", batch_id)
 
 
+def _checkpoint_moved(spark: SparkSession, sink: str, batch_id: int) -> bool:
+    """H-2: the gap check runs only when the checkpoint moved since the previous check."""
+    state = spark.read.parquet(f"{sink}/state")
+    now = state.where(F.col("batch_id") <= batch_id).agg(F.max("last_processed_slot")).first()[0] or 0
+    if not path_exists(spark, f"{sink}/lag"):
+        return True
+    checked = (spark.read.parquet(f"{sink}/lag").where(F.col("batch_id") < batch_id)
+               .agg(F.max("last_processed_slot")).first()[0])
+    return checked is None or now > checked
+
+
 def process_accounts(batch: DataFrame, batch_id: int, sink: str, idl: Idl) -> None:
     """One micro-batch of account changes: decode and append to history (B-6)."""
     hist = I.decode_accounts(batch, idl)
@@ -98,7 +111,8 @@ def process_accounts(batch: DataFrame, batch_id: int, sink: str, idl: Idl) -> No
 def start_transactions(spark: SparkSession, source: str, sink: str, checkpoint: str, idl: Idl, program_id: str,
                        fmt: str = "parquet", files_per_trigger: int | None = None,
                        available_now: bool = True, processing_time: str | None = None,
-                       listing: DataFrame | None = None, gap_every: int = GAP_CHECK_EVERY):
+                       listing: DataFrame | None = None, gap_every: int = GAP_CHECK_EVERY,
+                       gap_requires_progress: bool = True):
     """J-1 / A-6: stream transactions into the stored tables.
 
     ``available_now`` drains what is there (batch mode J-2 and tests);
@@ -108,7 +122,8 @@ def start_transactions(spark: SparkSession, source: str, sink: str, checkpoint:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
     src = r.load(source)
     w = src.writeStream.foreachBatch(
-        lambda df, bid: process_transactions(df, bid, sink, idl, program_id, listing, gap_every)) \
+        lambda df, bid: process_transactions(df, bid, sink, idl, program_id, listing, gap_every,
+                                             gap_requires_progress)) \
         .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "5 seconds")
     return w.start()
