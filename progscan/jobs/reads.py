@@ -178,3 +178,20 @@ def recent_activity(spark, sf):
     """G-5: first three types, five rows each from their first page, newest first."""
     names = [ix.name for ix in IDL.instructions]
     return Q.recent_activity(stored(spark, sf), names).select("id", "ix_name", "signature", "slot")
+
+
+@job("agg_sum_total_decimal",
+     f"SELECT SUM(TRY_CAST({AGG_FIELD} AS DECIMAL(38,0))) AS value, COUNT(*) AS total_calls, MIN(slot) AS first_slot, "
+     f"MAX(slot) AS last_slot FROM {ix_sql(AGG_TABLE)} t")
+def agg_sum_total_decimal(spark, sf):
+    """Q-11 option: exact integer sums (decimal) instead of the reference's REAL."""
+    return Q.aggregate(ix_table(spark, sf, AGG_TABLE), "total", "sum", AGG_FIELD, numeric_type="decimal")
+
+
+@job("agg_count_hour_basis",
+     f"SELECT COALESCE(block_time // 3600, slot // 9000) AS bucket, "
+     f"CASE WHEN block_time IS NULL THEN 'slot' ELSE 'time' END AS basis, CAST(COUNT(*) AS DOUBLE) AS value, "
+     f"COUNT(*) AS count FROM {ix_sql(AGG_TABLE)} t GROUP BY 1, 2 ORDER BY bucket DESC LIMIT 168")
+def agg_count_hour_basis(spark, sf):
+    """Q-9 option: buckets derived from block time and from slots are told apart."""
+    return Q.aggregate(ix_table(spark, sf, AGG_TABLE), "hour", "count", bucket_basis=True)
