@@ -46,3 +46,14 @@ def base58_decode(col: Column) -> Column:
     from pyspark.sql import types as T
 
     return F.pandas_udf(_b58, T.BinaryType())(col)
+
+
+def _b58_encode(s: pd.Series) -> pd.Series:
+    return s.map(lambda b: None if b is None else encode_py(bytes(b)))
+
+
+def base58_encode(col: Column) -> Column:
+    """Bytes -> base58 text (the form parsed-transaction RPC returns instruction data in)."""
+    from pyspark.sql import types as T
+
+    return F.pandas_udf(_b58_encode, T.StringType())(col)

@@ -307,3 +307,24 @@ def tx_scan_json(spark, sf):
     path = scratch_dir(spark, "tx_json")
     transactions(spark, sf).write.json(path)
     return X.flat(X.read_transactions(spark, path, fmt="json"))
+
+
+_ARG_COLS = ["ix_name", "signature", "arg_amount", "arg_k", "arg_userid", "arg_quantity", "arg_price", "arg_discount"]
+
+
+@job("decode_ix_base58", f"SELECT {', '.join(_ARG_COLS)} FROM ({_DECODED_SQL}) d")
+def decode_ix_base58(spark, sf):
+    """Q-1 option: the same instructions with base58 payload text, decoded with
+    ``encoding="base58"`` (Arrow-batched helper; no SQL base58)."""
+    from collections import OrderedDict
+
+    from progscan.functions.base58 import base58_encode
+    from progscan.functions.codec import lenient_unbase64
+
+    rows = I.program_instructions(transactions(spark, sf), PID)
+    rows = rows.withColumn("data", base58_encode(lenient_unbase64(F.col("data"))))
+    defs = I.definitions(spark, IDL.instruction_discriminators())
+    m = I.match_definitions(rows, F.col("data"), defs, "ix_name", encoding="base58")
+    m, _ = I.decode_by_definition(m, "ix_name", OrderedDict((ix.name, list(ix.args)) for ix in IDL.instructions),
+                                  "arg_")
+    return m.select(*_ARG_COLS)
