@@ -328,3 +328,16 @@ def decode_ix_base58(spark, sf):
     m, _ = I.decode_by_definition(m, "ix_name", OrderedDict((ix.name, list(ix.args)) for ix in IDL.instructions),
                                   "arg_")
     return m.select(*_ARG_COLS)
+
+
+@job("ix_accounts_instruction", f"""
+SELECT ix_name, signature,
+       CASE WHEN ix_name = 'settle' THEN account_user ELSE account_authority END AS account_user,
+       CASE WHEN ix_name = 'settle' THEN account_authority ELSE account_user END AS account_authority,
+       account_order, account_supplier
+FROM ({_DECODED_SQL}) d""")
+def ix_accounts_instruction(spark, sf):
+    """Q-2 option: map accounts from the instruction's own list (inner instructions carry
+    none in this data and fall back to the transaction keys)."""
+    d = I.decode_instructions(transactions(spark, sf), IDL, PID, accounts="instruction")
+    return d.select("ix_name", "signature", "account_user", "account_authority", "account_order", "account_supplier")

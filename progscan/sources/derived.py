@@ -179,8 +179,9 @@ def activity_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(
             F.struct(F.lit(BUDGET_ID).alias("programId"), F.lit("AsBcFQA=").alias("data"),
                      F.array().cast("array<string>").alias("accounts")),
+            # the instruction lists its accounts in its own order (Q-2)
             F.struct(F.lit(PROGRAM_ID).alias("programId"), b64(ix_hex).alias("data"),
-                     F.array(user, auth).alias("accounts")),
+                     F.array(auth, user).alias("accounts")),
         ).alias("instructions"),
         F.array(F.struct(user.alias("pubkey")), F.struct(auth.alias("pubkey")),
                 F.struct(F.lit(PROGRAM_ID).alias("pubkey"))).alias("accountKeys"),

@@ -21,8 +21,20 @@ from progscan import __version__
 from progscan.session import ensure_checkpoint_dir
 
 
+def _code_digest() -> str:
+    """Digest of the code that derives staged tables, so a changed derivation
+    never reuses tables written by an older one (the checkpoint dir is shared)."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for rel in ("sources/derived.py", "operators/ingest.py", "operators/store.py", "plans/decode.py",
+                "functions/binary.py", "functions/codec.py"):
+        with open(os.path.join(here, rel), "rb") as fh:
+            h.update(fh.read())
+    return h.hexdigest()[:12]
+
+
 def _source_key(sf_dir: str) -> str:
-    parts = [os.path.abspath(sf_dir), __version__]
+    parts = [os.path.abspath(sf_dir), __version__, _code_digest()]
     if os.path.isdir(sf_dir):
         for n in sorted(os.listdir(sf_dir)):
             st = os.stat(os.path.join(sf_dir, n))
