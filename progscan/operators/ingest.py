@@ -266,13 +266,14 @@ def decode_accounts(accounts: DataFrame, idl: Idl, type_names: list[str] | None
     pairs = [(n, d) for n, d in idl.account_discriminators() if type_names is None or n in type_names]
     defs = definitions(spark, pairs)
     raw = accounts.withColumnRenamed("data", "raw_bytes")
-    raw = raw.where(F.length("raw_bytes") >= 8)
-    raw = raw.withColumn("disc", F.lower(F.hex(F.substring("raw_bytes", 1, 8))))
+    if "disc" not in raw.columns:  # stored dumps carry it (see accounts.with_disc)
+        raw = raw.where(F.length("raw_bytes") >= 8)
+        raw = raw.withColumn("disc", F.lower(F.hex(F.substring("raw_bytes", 1, 8))))
     m = raw.join(F.broadcast(defs.withColumnRenamed("name", "account_type")), "disc", "inner").drop("disc")
     m = m.withColumnRenamed("raw_bytes", "raw")
     accs = OrderedDict((a.name, list(a.fields)) for a in idl.accounts if a.name in dict(pairs))
     m, cols = decode_by_definition(m, "account_type", accs, "", js_col="data")
-    keep = [c for c in accounts.columns if c not in ("data",)]
+    keep = [c for c in accounts.columns if c not in ("data", "disc")]
     return m.select("account_type", *keep, *cols, "data")
 
 
