@@ -47,3 +47,8 @@ def test_aggregates_are_partial(jobs):
 def test_definition_join_is_broadcast(jobs):
     p = _final_plan(jobs["decode_ix"])
     assert "BroadcastHashJoin" in p
+
+
+def test_account_scan_by_type_is_pushed(jobs):
+    p = _final_plan(jobs["acc_scan_type"])
+    assert "EqualTo(disc," in p
