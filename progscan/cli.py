@@ -70,6 +70,15 @@ def cmd_stream(spark: SparkSession, a) -> dict:
     return {"query_id": str(q.id), "active": q.isActive}
 
 
+def cmd_stream_accounts(spark: SparkSession, a) -> dict:
+    """A-10: account changes (pubkey, data, slot, seq) streamed into the append-only
+    history; snapshots and as-of views are queries over it."""
+    idl = _idl(a.idl)
+    q = P.start_accounts(spark, a.source, a.sink, a.checkpoint, idl, a.files_per_trigger, a.available_now)
+    q.awaitTermination(a.timeout)
+    return {"query_id": str(q.id), "active": q.isActive}
+
+
 def cmd_query(spark: SparkSession, a) -> dict:
     """G-1 page of one instruction table: rows, total, nextCursor."""
     idl = _idl(a.idl)
@@ -127,6 +136,13 @@ def build_parser() -> argparse.ArgumentParser:
     s.add_argument("--files-per-trigger", type=int)
     s.add_argument("--listing", help="parquet table (signature, slot) for the periodic gap check")
     s.add_argument("--timeout", type=float, default=None)
+    s = sub.add_parser("stream-accounts")
+    common(s, source=False)
+    s.add_argument("--source", required=True)
+    s.add_argument("--checkpoint", required=True)
+    s.add_argument("--available-now", action="store_true")
+    s.add_argument("--files-per-trigger", type=int)
+    s.add_argument("--timeout", type=float, default=None)
     for name in ("query", "aggregate"):
         s = sub.add_parser(name)
         common(s, source=False)
@@ -146,8 +162,8 @@ def build_parser() -> argparse.ArgumentParser:
     return p
 
 
-COMMANDS = {"ingest": cmd_ingest, "stream": cmd_stream, "query": cmd_query, "aggregate": cmd_aggregate,
-            "stats": cmd_stats}
+COMMANDS = {"ingest": cmd_ingest, "stream": cmd_stream, "stream-accounts": cmd_stream_accounts, "query": cmd_query,
+            "aggregate": cmd_aggregate, "stats": cmd_stats}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> dict:

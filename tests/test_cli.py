@@ -32,3 +32,20 @@ def test_cli_batch_ingest_and_queries(spark, sf_small, capsys):
     stats = cli.main(["stats", *common], spark)
     assert stats["instructions"]["error"]["total"] == 0 and stats["events"]["ValueRecorded"] > 0
     capsys.readouterr()
+
+
+def test_cli_stream_accounts(spark, sf_small, capsys):
+    from progscan.operators import accounts as A
+
+    base = tempfile.mkdtemp(prefix="cli-acc-", dir="/tmp")
+    B.account_updates(spark, sf_small).repartition(3, "slot").write.parquet(f"{base}/src")
+    with open(f"{base}/idl.json", "w") as fh:
+        json.dump(ACTIVITY_IDL_DOC, fh)
+    out = cli.main(["stream-accounts", "--idl", f"{base}/idl.json", "--sink", f"{base}/store", "--source",
+                    f"{base}/src", "--checkpoint", f"{base}/ck", "--available-now", "--files-per-trigger", "1"], spark)
+    assert out["active"] is False
+    hist = spark.read.parquet(f"{base}/store/history")
+    assert hist.count() == B.account_updates(spark, sf_small).count()
+    snap = A.snapshot(hist.drop("batch_id", "data", "account_type"))
+    assert snap.count() == hist.select("pubkey").distinct().count()
+    capsys.readouterr()
