@@ -10,7 +10,8 @@ from tools.check_oracle import TABLES, _rows
 
 SAMPLE = ["agg_sum_hour", "stats_instructions", "ix_dedup", "ev_decode", "decode_scalars", "decode_vec",
           "acc_changes", "acc_snapshot", "gap_by_slot", "late_rows", "idl_diff", "idl_as_of", "schema_tables",
-          "metric_histogram", "recent_activity", "ix_page_next"]
+          "metric_histogram", "recent_activity", "ix_page_next", "decode_defined_typed", "idl_upgrades",
+          "agg_count_hour_basis", "agg_sum_total_decimal", "acc_merge_pg", "ix_accounts_instruction", "idl_extract"]
 
 
 def test_entry_smoke(spark):
