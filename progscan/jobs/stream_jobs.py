@@ -1,8 +1,10 @@
-"""Jobs: streaming ingest, dedup, backfill-then-stream, account stream (J-1..J-4, A-6, A-10).
+"""Jobs: streaming ingest, dedup, backfill-then-stream, gap check, account stream
+(J-1..J-5, A-6, A-10).
 
 Each job writes the derived input as several files into a fresh folder under
 the shared checkpoint dir, drains it with ``trigger(availableNow=True)`` and
-one file per micro-batch, and returns the sink read back as a batch frame.
+``FILES_PER_TRIGGER`` files per micro-batch, and returns the sink read back as
+a batch frame.
 All copies of a signature live in one file (the input is partitioned by
 slot), so "first wins" is the same whether decided in one batch or many.
 """
