@@ -81,7 +81,8 @@ def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "sourc
     odds = (F.col("p") / (1 - F.col("p"))) * F.col("imp")
     r = rows.join(targets, "sk").withColumn(
         "q", F.when((F.col("p") > 0) & (F.col("size") > 0) & (odds > 0), (u / (1 - u)) / odds))
-    r = r.withColumn("cell", F.coalesce(F.floor(F.col("q") / (1 + F.col("q")) * cells), F.lit(cells)))
+    # documents that cannot be drawn need no order; they are spread over cells behind the others
+    r = r.withColumn("cell", F.coalesce(F.floor(F.col("q") / (1 + F.col("q")) * cells), cells + F.floor(u * cells)))
     start = Window.partitionBy("sk").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     before = (r.groupBy("sk", "cell").agg(F.sum("size").alias("cell_size"))
               .select("sk", "cell", F.coalesce(F.sum("cell_size").over(start), F.lit(0)).alias("start")))
