@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 #: One module per operator, in the order of the operator list.
-MODULES = ["sharding", "mixing", "fingerprints", "quality_rules", "line_dedup", "pieces"]
+MODULES = ["lsh_forest", "quality_rules", "line_dedup", "mixing", "fingerprints", "pieces", "sharding"]
 
 
 def job(name: str, sql: str | None = None):
