@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from progscan.llm.common import table, text_or_empty, written
+from progscan.llm.common import table, temp_names, text_or_empty, written
 from progscan.llm.components import components
 from progscan.llm.registry import job
 
@@ -232,21 +232,19 @@ def _verified(threshold: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
-                    n: int = NGRAM, trees: int = TREES, target: float = TARGET_RECALL) -> DataFrame:
-    """(k, c, class_id, n_links, n_text_links, n_copies) of every row of docs.
+def _text_id(text: str):
+    return F.unhex(F.md5(text_or_empty(text).cast("binary")))
 
-    c names the text (equal texts: equal c). class_id is the smallest key of
-    the similarity class: texts connected by links of Jaccard similarity >=
-    threshold over word n-grams. n_links counts the other rows that are linked
-    directly, copies included; n_text_links the other texts; n_copies the rows
-    with the same text. Texts of fewer than n words have one shingle, all their
-    words. A text without words has no links but to its copies; null counts as
-    empty. Null keys are never the smallest unless a class has no other
-    (class_id null). An empty table gives an empty result.
+
+def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
+                 n: int = NGRAM, trees: int = TREES, target: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame]:
+    """(k, c) of every row of docs, and (c, rep, root, weight, links, copies) of every text c.
+
+    See ``near_duplicates``; rep is the text's smallest key, root names its
+    similarity class.
     """
     d = prefix_length(threshold, trees, DEPTH, target)
-    base = docs.select(F.col(key).alias("k"), F.unhex(F.md5(text_or_empty(text).cast("binary"))).alias("c"),
+    base = docs.select(F.col(key).alias("k"), _text_id(text).alias("c"),
                        text_or_empty(text).alias("t"))
     k_type = base.schema["k"].dataType.simpleString()
     signed = written(base.mapInPandas(_signatures(d, trees, n), f"k {k_type}, c binary, nodes array<long>"), "signatures")
@@ -276,11 +274,43 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     labelled = (classes.select("c", "rep", "weight").join(stars.select(F.col("a").alias("c"), F.col("b").alias("root")),
                                                           "c", "left")
                 .join(counts, "c", "left").withColumn("root", F.coalesce("root", "c")))
+    return signed.select("k", "c"), labelled
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(k, c, class_id, n_links, n_text_links, n_copies) of every row of docs.
+
+    c names the text (equal texts: equal c). class_id is the smallest key of
+    the similarity class: texts connected by links of Jaccard similarity >=
+    threshold over word n-grams. n_links counts the other rows that are linked
+    directly, copies included; n_text_links the other texts; n_copies the rows
+    with the same text. Texts of fewer than n words have one shingle, all their
+    words. A text without words has no links but to its copies; null counts as
+    empty. Null keys are never the smallest unless a class has no other
+    (class_id null). An empty table gives an empty result.
+    """
+    signed, labelled = text_classes(docs, key, text, **options)
     smallest = labelled.groupBy("root").agg(F.min("rep").alias("class_id"))
     labelled = labelled.join(smallest, "root").select(
         "c", "class_id", (F.coalesce("copies", F.lit(0)) + F.col("weight") - 1).alias("n_links"),
         F.coalesce("links", F.lit(0)).alias("n_text_links"), F.col("weight").alias("n_copies"))
-    return signed.select("k", "c").join(labelled, "c")
+    return signed.join(labelled, "c")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs without near duplicates: of each similarity class the row with the smallest key stays.
+
+    Null keys count as the largest; among equal keys the text decides, and of
+    rows equal in both one stays. All columns are kept.
+    """
+    _, texts = text_classes(docs, key, text, **options)
+    c, rep, rn = temp_names(docs, "c", "rep", "rn")
+    stay = (texts.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "c")).alias("s"))
+            .select(F.col("s.c").alias(c), F.col("s.rep").alias(rep)))
+    named = docs.withColumn(c, _text_id(text))
+    found = named.join(stay, (named[c] == stay[c]) & named[key].eqNullSafe(stay[rep]), "left_semi")
+    twins = Window.partitionBy(c, key).orderBy(*[x for x in docs.columns if x not in (key, text)] or [c])
+    return found.withColumn(rn, F.row_number().over(twins)).where(F.col(rn) == 1).select(*docs.columns)
 
 
 @job("op3_lsh_forest")

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from progscan.llm.common import hash_unit, n_words, table, text_or_empty
+from progscan.llm.common import hash_unit, n_words, table, temp_names, text_or_empty
 from progscan.llm.registry import job
 
 MAX_COPIES = 3
@@ -60,8 +60,8 @@ def source_targets(sizes: DataFrame, cycle=WEIGHT_CYCLE, max_copies: int = MAX_C
 
 
 def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "source", importance: Column | None = None,
-        max_copies: int = MAX_COPIES, cycle=WEIGHT_CYCLE, seed: str = "mix") -> DataFrame:
-    """(key, size, source_size, target, copies) of every document.
+        max_copies: int = MAX_COPIES, cycle=WEIGHT_CYCLE, seed: str = "mix", tie: Column | None = None) -> DataFrame:
+    """(key, size, source_size, target, copies, tie) of every document.
 
     ``importance`` (default 1 everywhere) scales a document's odds inside its
     source. Null sources form a source of their own, ordered last; documents of
@@ -70,7 +70,8 @@ def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "sourc
     """
     sk = F.coalesce(F.concat(F.lit("0"), F.col(source)), F.lit("1")).alias("sk")
     imp = (F.lit(1.0) if importance is None else importance.cast("double")).alias("imp")
-    rows = docs.select(F.col(key).alias("k"), sk, size.cast("long").alias("size"), imp)
+    tie = (F.lit(0).cast("long") if tie is None else tie).alias("tie")
+    rows = docs.select(F.col(key).alias("k"), sk, size.cast("long").alias("size"), imp, tie)
     targets = source_targets(rows.groupBy("sk").agg(F.sum("size").alias("source_size")), cycle, max_copies)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = (targets.withColumn("whole", F.floor(rate))
@@ -86,14 +87,33 @@ def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "sourc
     start = Window.partitionBy("sk").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     before = (r.groupBy("sk", "cell").agg(F.sum("size").alias("cell_size"))
               .select("sk", "cell", F.coalesce(F.sum("cell_size").over(start), F.lit(0)).alias("start")))
-    inside = (Window.partitionBy("sk", "cell").orderBy("q", "k", "size")
+    inside = (Window.partitionBy("sk", "cell").orderBy("q", "k", "size", "tie")
               .rowsBetween(Window.unboundedPreceding, -1))
     taken = r.join(before, ["sk", "cell"]).withColumn(
         "at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     # twice the distance to the end: whichever of "with" and "without" the document is nearer
     extra = F.col("q").isNotNull() & (2 * F.col("at") + F.col("size") <= 2 * F.col("rest"))
     return taken.select(F.col("k").alias(key), "size", "source_size", "target",
-                        (F.col("whole") + extra.cast("long")).alias("copies"))
+                        (F.col("whole") + extra.cast("long")).alias("copies"), "tie")
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The mix itself: every row of docs as often as ``mix`` takes it, with all its columns; sizes are words.
+
+    The decisions are made on narrow rows and joined back by key, text and, for
+    repeated rows, their number among their equals.
+    """
+    tie, rn, copies, k = temp_names(docs, "tie", "rn", "copies", "k")
+    t = F.xxhash64(text_or_empty(text))
+    twins = lambda a, b: Window.partitionBy(a, b).orderBy(b)
+    m = mix(docs.select(key, source, text), n_words(text_or_empty(text)), key, source, tie=t, **options)
+    m = m.select(F.col(key).alias(k), F.col("tie").alias(tie), F.col("copies").alias(copies))
+    m = m.withColumn(rn, F.row_number().over(twins(k, tie))).where(F.col(copies) > 0)
+    d = docs.withColumn(tie, t)
+    d = d.withColumn(rn, F.row_number().over(twins(key, tie)))
+    on = d[key].eqNullSafe(m[k]) & (d[tie] == m[tie]) & (d[rn] == m[rn])
+    return (d.join(m.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), copies))), on)
+            .select(*[d[c] for c in docs.columns]))
 
 
 _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"

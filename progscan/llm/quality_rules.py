@@ -54,24 +54,26 @@ def repeat_words(w: Column, n: int = NGRAM) -> Column:
     return let(grams, covered)
 
 
-def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of statistics per document, from its whole text; null text: all 0. Nothing is shuffled."""
+def statistics_of(text: Column) -> Column:
+    """struct of the statistics of a whole text; null text: all 0."""
     t = text_or_empty(text)
     has_word = lambda line: line.rlike("[^\\x20\\x09-\\x0D]")
     lines = let(F.filter(F.split(t, "\n"), has_word),
                 lambda x: F.struct(F.size(x).cast("long").alias("n"),
                                    (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
     per_words = let(words(t), lambda w: F.struct(
-        F.size(w).cast("long").alias("n"), repeat_words(w).alias("repeated"),
-        F.size(F.array_distinct(w)).cast("long").alias("distinct")))
+        F.size(w).cast("long").alias("n"), repeat_words(w).alias("repeated")))
     count = lambda pattern: F.char_length(F.regexp_replace(t, pattern, "")).cast("long")
-    return (docs.select(F.col(key).alias("k"), lines.alias("l"), per_words.alias("w"),
-                        count(SPACES + "+").alias("word_chars"),
-                        count("[^#*$%&|<>]+").alias("n_symbols"),
-                        count("[^\\p{Lu}]+").alias("n_upper"), count("[^!?]+").alias("n_shouts"))
-            .select("k", F.col("w.n").alias("n_words"), "word_chars", "n_symbols",
-                    F.col("l.dup").alias("n_dup_lines"), F.col("w.repeated").alias("n_repeat_words"),
-                    F.col("l.n").alias("n_lines"), F.col("w.distinct").alias("n_distinct"), "n_upper", "n_shouts"))
+    return let(F.struct(lines.alias("l"), per_words.alias("w")), lambda x: F.struct(
+        x["w"]["n"].alias("n_words"), count(SPACES + "+").alias("word_chars"),
+        count("[^#*$%&|<>]+").alias("n_symbols"), x["l"]["dup"].alias("n_dup_lines"),
+        x["w"]["repeated"].alias("n_repeat_words"), x["l"]["n"].alias("n_lines"),
+        count("[^\\p{Lu}]+").alias("n_upper"), count("[^!?]+").alias("n_shouts")))
+
+
+def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(k, statistics) of every document. Nothing is shuffled."""
+    return docs.select(F.col(key).alias("k"), statistics_of(F.col(text)).alias("s")).select("k", "s.*")
 
 
 def _vote(ratio: Column, junk_over: float, good_to: float | None) -> Column:
@@ -84,18 +86,18 @@ KINDS = {"symbols": "symbols", "capitals": "shouting", "shouts": "shouting", "du
          "repeats": "repetition", "word_length": "words"}
 
 
-def default_rules() -> dict[str, Column]:
-    """Vote columns over the statistics, named as in ``KINDS``."""
-    w = F.greatest(F.col("n_words"), F.lit(1))
-    chars = F.greatest(F.col("word_chars"), F.lit(1))
-    lines = F.greatest(F.col("n_lines"), F.lit(1))
+def default_rules(of=F.col) -> dict[str, Column]:
+    """Vote columns over the statistics (``of(name)``), named as in ``KINDS``."""
+    w = F.greatest(of("n_words"), F.lit(1))
+    chars = F.greatest(of("word_chars"), F.lit(1))
+    lines = F.greatest(of("n_lines"), F.lit(1))
     mean = chars / w
     return {
-        "symbols": _vote(F.col("n_symbols") / w, 0.1, 0.02),
-        "capitals": _vote(F.col("n_upper") / chars, 0.3, 0.15),
-        "shouts": _vote(F.col("n_shouts") / w, 0.3, 0.1),
-        "dup_lines": F.when(F.col("n_lines") >= 3, _vote(F.col("n_dup_lines") / lines, 0.4, 0.34)).otherwise(0),
-        "repeats": _vote(F.col("n_repeat_words") / w, 0.2, 0.2),
+        "symbols": _vote(of("n_symbols") / w, 0.1, 0.02),
+        "capitals": _vote(of("n_upper") / chars, 0.3, 0.15),
+        "shouts": _vote(of("n_shouts") / w, 0.3, 0.1),
+        "dup_lines": F.when(of("n_lines") >= 3, _vote(of("n_dup_lines") / lines, 0.4, 0.34)).otherwise(0),
+        "repeats": _vote(of("n_repeat_words") / w, 0.2, 0.2),
         "word_length": F.when((mean < 2.5) | (mean > 15), -1).when((mean > 3.5) & (mean < 10), 1).otherwise(0),
     }
 
@@ -173,13 +175,14 @@ def fit(stats: DataFrame, rules: dict[str, Column] | None = None, kinds: dict[st
     return expectation_maximisation({r: kinds[r] for r in rules}, sorted(patterns, key=str))
 
 
-def judge(stats: DataFrame, model: Model, rules: dict[str, Column] | None = None,
-          threshold: float = THRESHOLD) -> DataFrame:
+def base_failed(of=F.col) -> Column:
+    return (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > MAX_REPEAT_PERCENT * of("n_words"))
+
+
+def judge(stats: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The statistics with base_failed, quality (posterior of good) and kept."""
-    failed = ((F.col("n_words") < MIN_WORDS)
-              | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    return (stats.withColumn("base_failed", failed)
-            .withColumn("quality", model.posterior(rules or default_rules()))
+    return (stats.withColumn("base_failed", base_failed())
+            .withColumn("quality", model.posterior(default_rules()))
             .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)))
 
 
@@ -195,6 +198,21 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return judge(stats, fit(stats))
 
 
+def keep_good(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that ``quality`` keeps, with all their columns.
+
+    One pass fits the model, a second one computes the verdict of each row where
+    it stands: nothing is shuffled or joined, so keys may be null or repeat.
+    """
+    model = fit(docs.select(statistics_of(F.col(text)).alias("s")).select("s.*"))
+
+    def verdict(s: Column) -> Column:
+        of = lambda n: s[n]
+        return ~base_failed(of) & (model.posterior(default_rules(of)) >= threshold)
+
+    return docs.where(let(statistics_of(F.col(text)), verdict))
+
+
 @job("op4_weak_supervision")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select(
