@@ -11,7 +11,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 #: One module per operator, in the order of the operator list.
-MODULES = ["lsh_forest", "quality_rules", "surrogates", "line_dedup", "mixing", "fingerprints", "pieces", "sharding"]
+MODULES = ["licenses", "lsh_forest", "quality_rules", "surrogates", "line_dedup", "mixing", "fingerprints", "pieces",
+           "sharding"]
 
 
 def job(name: str, sql: str | None = None):
