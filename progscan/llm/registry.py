@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 #: One module per operator, in the order of the operator list.
-MODULES = ["licenses", "lsh_forest", "quality_rules", "surrogates", "line_dedup", "mixing", "fingerprints", "pieces",
+MODULES = ["suffix_dedup", "licenses", "lsh_forest", "quality_rules", "surrogates", "line_dedup", "mixing", "fingerprints", "pieces",
            "sharding"]
 
 
