@@ -63,9 +63,8 @@ def cmd_ingest(spark: SparkSession, a) -> dict:
 def cmd_stream(spark: SparkSession, a) -> dict:
     """J-1 realtime mode (processing-time trigger) or drain-and-exit (``--available-now``)."""
     idl = _idl(a.idl)
-    listing = spark.read.parquet(a.listing).select("signature", "slot") if a.listing else None
     q = P.start_transactions(spark, a.source, a.sink, a.checkpoint, idl, a.program, a.format,
-                             a.files_per_trigger, a.available_now, a.trigger, listing)
+                             a.files_per_trigger, a.available_now, a.trigger, a.listing)
     q.awaitTermination(a.timeout)
     return {"query_id": str(q.id), "active": q.isActive}
 

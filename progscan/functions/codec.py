@@ -76,8 +76,10 @@ def cursor_encode(slot, id_) -> Column:
     return F.regexp_replace(F.translate(F.base64(F.encode(js, "UTF-8")), "+/", "-_"), "=+$", "")
 
 
-def cursor_encode_py(slot: int, id_: int) -> str:
-    raw = json.dumps({"slot": slot, "id": id_}, separators=(",", ":")).encode()
+def cursor_encode_py(slot: int, id_: int, signature: str | None = None) -> str:
+    """Cursor text; a signature is only added where the next row has the same (slot, id)."""
+    at = {"slot": slot, "id": id_} | ({} if signature is None else {"sig": signature})
+    raw = json.dumps(at, separators=(",", ":")).encode()
     return base64.urlsafe_b64encode(raw).decode().rstrip("=")
 
 
@@ -93,6 +95,13 @@ def cursor_decode_py(cursor: str | None):
         return None
 
 
+def cursor_signature_py(cursor: str | None) -> str | None:
+    """The signature a cursor carries, if any."""
+    if cursor_decode_py(cursor) is None:
+        return None
+    return json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4))).get("sig")
+
+
 def idl_hash_hex(json_text) -> Column:
     """Document hash: first 16 hex digits of sha256 over the JSON text."""
     return F.substring(F.sha2(_c(json_text), 256), 1, 16)

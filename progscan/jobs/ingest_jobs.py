@@ -173,7 +173,7 @@ def ix_fanout(spark, sf):
     agg = s.groupBy("ix_name").agg(F.count(F.lit(1)).alias("n_rows"))
     names = spark.createDataFrame([(IDL.instruction_table(ix.name), ix.name) for ix in IDL.instructions],
                                   "table_name string, ix_name string")
-    return F.broadcast(names).join(agg, "ix_name", "left").select(
+    return names.join(agg, "ix_name", "left").select(
         "table_name", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 

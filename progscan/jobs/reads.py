@@ -14,7 +14,7 @@ RANGE_FROM, RANGE_TO = 2000, 7000
 
 
 def _agg_sql(group_by: str, op: str, where: str = "") -> str:
-    value = "CAST(COUNT(*) AS DOUBLE)" if op == "count" else f"{op.upper()}(TRY_CAST({AGG_FIELD} AS DOUBLE))"
+    value = "COUNT(*)" if op == "count" else f"{op.upper()}(TRY_CAST({AGG_FIELD} AS DOUBLE))"
     src = ix_sql(AGG_TABLE)
     if group_by == "total":
         return (f"SELECT {value} AS value, COUNT(*) AS total_calls, MIN(slot) AS first_slot, "
@@ -190,7 +190,7 @@ def agg_sum_total_decimal(spark, sf):
 
 @job("agg_count_hour_basis",
      f"SELECT COALESCE(block_time // 3600, slot // 9000) AS bucket, "
-     f"CASE WHEN block_time IS NULL THEN 'slot' ELSE 'time' END AS basis, CAST(COUNT(*) AS DOUBLE) AS value, "
+     f"CASE WHEN block_time IS NULL THEN 'slot' ELSE 'time' END AS basis, COUNT(*) AS value, "
      f"COUNT(*) AS count FROM {ix_sql(AGG_TABLE)} t GROUP BY 1, 2 ORDER BY bucket DESC LIMIT 168")
 def agg_count_hour_basis(spark, sf):
     """Q-9 option: buckets derived from block time and from slots are told apart."""

@@ -103,4 +103,4 @@ def retention(history: DataFrame, keep_from_slot: int, bucket_slots: int = CHANG
     keep = keep_from_slot // bucket_slots
     if "slot_bucket" in history.columns:
         return history.where(F.col("slot_bucket") >= F.lit(keep))
-    return history.where(F.floor(F.col("slot") / bucket_slots) >= F.lit(keep))
+    return history.where(F.col("slot") >= F.lit(keep * bucket_slots))

@@ -35,46 +35,63 @@ def _keys(tx_col: str = "transaction") -> Column:
     return F.transform(F.col(f"{tx_col}.message.accountKeys"), lambda k: F.coalesce(k["pubkey"], F.lit("")))
 
 
-def _row_id(tx_index: Column, depth: int, pos1: Column, pos2: Column) -> Column:
-    return (((F.coalesce(tx_index, F.lit(0)).cast("bigint") * 2 + depth) * POS_RADIX + pos1) * POS_RADIX + pos2)
+def _tx_order(tx_index: str = "tx_index", signature: str = "signature") -> Column:
+    """Place of a transaction in its slot. Records without one (plain RPC records) get 37 bits of
+    the signature's hash, which needs no shuffle and is the same in every batch; two of a slot may
+    still meet, which pages resolve by signature (see ``query.page``)."""
+    return F.coalesce(F.col(tx_index).cast("bigint"), F.pmod(F.xxhash64(signature), F.lit(1 << 37)))
 
 
-def top_level_instructions(tx: DataFrame, program_id: str) -> DataFrame:
-    """D-1 + C-2: top-level instructions of ``program_id`` with non-empty data."""
-    base = tx.select("signature", "slot", "tx_index", F.col("blockTime").alias("block_time"),
-                     _keys().alias("account_keys"),
-                     F.posexplode(F.col("transaction.message.instructions")).alias("pos", "ix"))
-    base = base.where((F.col("ix.programId") == F.lit(program_id)) & (F.col("ix.data") != F.lit("")))
+def _row_id(tx_order: Column, depth, pos1: Column, pos2: Column) -> Column:
+    """Positions beyond the radix (far more than a transaction can hold) are an error, not a wrong id."""
+    fits = (pos1 < POS_RADIX) & (pos2 < POS_RADIX)
+    return F.when(fits, ((tx_order * 2 + depth) * POS_RADIX + pos1) * POS_RADIX + pos2).otherwise(
+        F.raise_error(F.lit("instruction position beyond the id radix")).cast("bigint"))
+
+
+def program_instructions(tx: DataFrame, program_id: str) -> DataFrame:
+    """D-1, D-2, C-2, H-4: top-level and inner (CPI) rows of the ok transactions, in one scan.
+
+    Both levels are concatenated inside the row and filtered to the program's
+    non-empty instructions before anything is exploded; the account keys are
+    attached to the rows that remain. Inner rows carry ``sig:cpi:<index>`` and
+    their own account list where the record has one.
+    """
+    own = lambda x: (x["programId"] == F.lit(program_id)) & (x["data"] != F.lit(""))
+    inner_fields = tx.schema["meta"].dataType["innerInstructions"].dataType.elementType["instructions"] \
+        .dataType.elementType.names
+
+    def row(x: Column, depth: int, pos1: Column, pos2: Column, index: Column, accounts: Column) -> Column:
+        return F.struct(F.lit(depth).alias("cpi_depth"), index.cast("int").alias("parent_ix_index"),
+                        pos1.cast("int").alias("pos1"), pos2.cast("int").alias("pos2"),
+                        x["programId"].alias("programId"), x["data"].alias("data"), accounts.alias("ix_accounts"))
+
+    none = F.lit(None).cast("array<string>")
+    top = F.transform(F.col("transaction.message.instructions"),
+                      lambda x, i: row(x, 0, i, F.lit(0), F.lit(None), x["accounts"]))
+    inner = F.flatten(F.transform(F.col("meta.innerInstructions"), lambda g, gi: F.transform(
+        g["instructions"], lambda x, i: row(x, 1, gi, i, g["index"],
+                                            x["accounts"] if "accounts" in inner_fields else none))))
+    both = F.concat(*[F.coalesce(F.filter(a, own), F.filter(top, lambda x: F.lit(False))) for a in (top, inner)])
+    base = ok_transactions(tx).select("signature", "slot", "tx_index", F.col("blockTime").alias("block_time"),
+                                      _keys().alias("account_keys"), F.explode(both).alias("ix"))
+    depth = F.col("ix.cpi_depth")
     return base.select(
-        "signature", "slot", "tx_index", "block_time",
-        F.lit(0).alias("cpi_depth"), F.lit(None).cast("int").alias("parent_ix_index"),
-        _row_id(F.col("tx_index"), 0, F.col("pos"), F.lit(0)).alias("id"),
-        F.col("ix.data").alias("data"), "account_keys",
-        F.col("ix.accounts").alias("ix_accounts"),
-    )
+        F.when(depth == 0, F.col("signature")).otherwise(
+            F.concat(F.col("signature"), F.lit(":cpi:"), F.col("ix.parent_ix_index").cast("string"))).alias("signature"),
+        "slot", "tx_index", "block_time", depth.alias("cpi_depth"), F.col("ix.parent_ix_index").alias("parent_ix_index"),
+        _row_id(_tx_order(), depth, F.col("ix.pos1"), F.col("ix.pos2")).alias("id"),
+        F.col("ix.data").alias("data"), "account_keys", F.col("ix.ix_accounts").alias("ix_accounts"))
 
 
-def inner_instructions(tx: DataFrame, program_id: str) -> DataFrame:
-    """D-2: inner (CPI) instructions; signature ``sig:cpi:<index>``, depth 1."""
-    g = tx.select("signature", "slot", "tx_index", F.col("blockTime").alias("block_time"),
-                  _keys().alias("account_keys"),
-                  F.posexplode(F.col("meta.innerInstructions")).alias("gpos", "grp"))
-    x = g.select("*", F.posexplode(F.col("grp.instructions")).alias("ipos", "ix"))
-    x = x.where((F.col("ix.programId") == F.lit(program_id)) & (F.col("ix.data") != F.lit("")))
-    return x.select(
-        F.concat(F.col("signature"), F.lit(":cpi:"), F.col("grp.index").cast("string")).alias("signature"),
-        "slot", "tx_index", "block_time",
-        F.lit(1).alias("cpi_depth"), F.col("grp.index").cast("int").alias("parent_ix_index"),
-        _row_id(F.col("tx_index"), 1, F.col("gpos"), F.col("ipos")).alias("id"),
-        F.col("ix.data").alias("data"), "account_keys",
-        F.lit(None).cast("array<string>").alias("ix_accounts"),
-    )
+def top_level_instructions(tx: DataFrame, program_id: str) -> DataFrame:
+    """D-1: the top-level rows of ``program_instructions``."""
+    return program_instructions(tx, program_id).where("cpi_depth = 0")
 
 
-def program_instructions(tx: DataFrame, program_id: str) -> DataFrame:
-    """H-4: top-level and inner rows of the ok transactions, in one frame."""
-    ok = ok_transactions(tx)
-    return top_level_instructions(ok, program_id).unionByName(inner_instructions(ok, program_id))
+def inner_instructions(tx: DataFrame, program_id: str) -> DataFrame:
+    """D-2: the inner rows of ``program_instructions``."""
+    return program_instructions(tx, program_id).where("cpi_depth = 1")
 
 
 def definitions(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -247,13 +264,13 @@ def decode_events(tx: DataFrame, idl: Idl) -> DataFrame:
     logs = ok.select("signature", "slot", "tx_index", F.col("blockTime").alias("block_time"),
                      F.posexplode(F.col("meta.logMessages")).alias("pos", "log"))
     logs = logs.where(F.col("log").startswith(EVENT_LOG_PREFIX))
-    payload = F.trim(F.substring(F.col("log"), len(EVENT_LOG_PREFIX) + 1, 1 << 30))
+    payload = F.trim(F.substr(F.col("log"), F.lit(len(EVENT_LOG_PREFIX) + 1)))
     defs = definitions(spark, idl.event_discriminators())
     m = match_definitions(logs, payload, defs, "event_name")
     m, _ = decode_by_definition(m, "event_name", OrderedDict((e.name, list(e.fields)) for e in idl.events),
                                 "f_", js_col="data")
     return m.select(
-        (F.coalesce(F.col("tx_index"), F.lit(0)).cast("bigint") * (POS_RADIX * POS_RADIX) + F.col("pos")).alias("id"),
+        (_tx_order() * (POS_RADIX * POS_RADIX) + F.col("pos")).alias("id"),
         "event_name", "signature", "slot", "block_time", "data")
 
 

@@ -22,8 +22,7 @@ def gaps(listing: DataFrame, processed: DataFrame, on: str = "slot") -> DataFram
     that was seen stays missed); ``on="signature"`` closes that hole. At scale
     this is a shuffled anti join on the key (AQE may broadcast a small side).
     """
-    seen = processed.select(on).distinct()
-    return listing.join(seen, on, "left_anti")
+    return listing.join(processed.select(on), on, "left_anti")
 
 
 def slot_lag(listing: DataFrame, processed: DataFrame) -> DataFrame:

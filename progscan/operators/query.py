@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from progscan.functions.codec import SAFE_COLUMN_PATTERN, cursor_decode_py, cursor_encode_py
+from progscan.functions.codec import SAFE_COLUMN_PATTERN, cursor_decode_py, cursor_encode_py, cursor_signature_py
 
 # Fixed values that must equal the reference's for the same results.
 DEFAULT_PAGE = 50
@@ -68,10 +68,20 @@ def equality_filters(df: DataFrame, filters: dict) -> DataFrame:
     return df
 
 
-def keyset_predicate(slot: int, id_: int, slot_col: str = "slot", id_col: str = "id") -> Column:
-    """C-9: rows after (slot, id), plus ``slot >= s`` for pruning."""
+def keyset_predicate(slot: int, id_: int, slot_col: str = "slot", id_col: str = "id",
+                     signature: str | None = None) -> Column:
+    """C-9: rows after (slot, id), plus ``slot >= s`` for pruning. With a signature, also the rows
+    of the same (slot, id) behind it."""
     s, i = F.lit(slot), F.lit(id_)
-    return (F.col(slot_col) >= s) & ((F.col(slot_col) > s) | ((F.col(slot_col) == s) & (F.col(id_col) > i)))
+    after = F.col(id_col) > i
+    if signature is not None:
+        after = after | ((F.col(id_col) == i) & (F.col("signature") > F.lit(signature)))
+    return (F.col(slot_col) >= s) & ((F.col(slot_col) > s) | ((F.col(slot_col) == s) & after))
+
+
+def _page_order(df: DataFrame) -> list[str]:
+    """(slot, id), and the signature where ids of a slot may meet (records without a transaction order)."""
+    return ["slot", "id", "signature"] if "signature" in df.columns else ["slot", "id"]
 
 
 @dataclass
@@ -89,8 +99,8 @@ def page_frame(df: DataFrame, limit: int | None = None, cursor: str | None = Non
         df = equality_filters(df, filters)
     cur = cursor_decode_py(cursor)
     if cur is not None:
-        df = df.where(keyset_predicate(*cur))
-    return df.orderBy("slot", "id").limit(n + 1), n
+        df = df.where(keyset_predicate(*cur, signature=cursor_signature_py(cursor)))
+    return df.orderBy(*_page_order(df)).limit(n + 1), n
 
 
 def page(df: DataFrame, limit: int | None = None, cursor: str | None = None, filters: dict | None = None,
@@ -100,7 +110,11 @@ def page(df: DataFrame, limit: int | None = None, cursor: str | None = None, fil
     rows = probe.collect()
     has_more = len(rows) > n
     kept = rows[:n]
-    nxt = cursor_encode_py(kept[-1]["slot"], kept[-1]["id"]) if has_more and kept else None
+    nxt = None
+    if has_more and kept:
+        last, peek = kept[-1], rows[n]
+        tie = "signature" in probe.columns and (last["slot"], last["id"]) == (peek["slot"], peek["id"])
+        nxt = cursor_encode_py(last["slot"], last["id"], last["signature"] if tie else None)
     spark = df.sparkSession
     out = spark.createDataFrame(kept, probe.schema)
     total = filtered_total(df, filters).collect()[0][0] if with_total else len(kept)
@@ -123,12 +137,18 @@ def history_page(history: DataFrame, pubkey: str, limit: int | None = None, offs
 
 # -------------------------------------------------------------- aggregates --
 
+def _floor_div(col: str, by: int) -> Column:
+    """Integer division that rounds down, also below zero; no detour over doubles."""
+    c = F.col(col).cast("bigint")
+    return F.call_function("div", c - F.pmod(c, F.lit(by).cast("bigint")), F.lit(by).cast("bigint"))
+
+
 def bucket_column(group_by: str) -> Column:
     """E-28: epoch-time bucket, or slot bucket when the block time is missing (Q-9)."""
     if group_by == "hour":
-        return F.coalesce(F.floor(F.col("block_time") / HOUR_SECONDS), F.floor(F.col("slot") / HOUR_SLOTS)).cast("bigint")
+        return F.coalesce(_floor_div("block_time", HOUR_SECONDS), _floor_div("slot", HOUR_SLOTS))
     if group_by == "day":
-        return F.coalesce(F.floor(F.col("block_time") / DAY_SECONDS), F.floor(F.col("slot") / DAY_SLOTS)).cast("bigint")
+        return F.coalesce(_floor_div("block_time", DAY_SECONDS), _floor_div("slot", DAY_SLOTS))
     raise ValueError(group_by)
 
 
@@ -151,7 +171,7 @@ def aggregate(df: DataFrame, group_by: str = "total", op: str = "count", field:
         raise ValueError(f"unknown op {op}")
     df = slot_range(df, slot_from, slot_to, zero_is_absent=True)
     if op == "count" or not field:
-        value = F.count(F.lit(1)).cast("double")
+        value = F.count(F.lit(1))
     else:
         if not _SAFE.match(field):
             raise UnsafeName(f"Unsafe field name: {field}")
@@ -165,6 +185,10 @@ def aggregate(df: DataFrame, group_by: str = "total", op: str = "count", field:
     if bucket_basis:
         keys.append(F.when(F.col("block_time").isNull(), F.lit("slot")).otherwise(F.lit("time")).alias("basis"))
     out = df.groupBy(*keys).agg(value.alias("value"), F.count(F.lit(1)).alias("count"))
+    if bucket_basis:
+        # the newest buckets, each with both its rows: a bounded list of bucket numbers
+        newest = out.select("bucket").distinct().orderBy(F.col("bucket").desc()).limit(limit)
+        return out.join(newest, "bucket", "left_semi").orderBy(F.col("bucket").desc(), "basis")
     return out.orderBy(F.col("bucket").desc()).limit(limit)
 
 
@@ -174,7 +198,7 @@ def instruction_stats(decoded: DataFrame, names: list[str]) -> DataFrame:
     agg = decoded.groupBy("ix_name").agg(F.count(F.lit(1)).alias("total"), F.min("slot").alias("first_slot"),
                                          F.max("slot").alias("last_slot"))
     idl_names = spark.createDataFrame([(n,) for n in names], "ix_name string")
-    out = F.broadcast(idl_names).join(agg, "ix_name", "left")
+    out = idl_names.join(agg, "ix_name", "left")
     return out.select("ix_name", F.coalesce("total", F.lit(0)).alias("total"), "first_slot", "last_slot")
 
 

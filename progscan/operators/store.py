@@ -4,33 +4,26 @@ No MERGE-capable table format is assumed. History (append-only) is the
 source of truth; the snapshot is an aggregate over it; insert-ignore is
 "first row per key" followed by an anti join against what is stored.
 
-Skew: every "one row per key" step is an aggregate with ``min_by``/``max_by``
-over a struct, which Spark evaluates partially before the shuffle. A key that
-holds a third of the rows is first reduced inside each map task, so no single
-task receives all its copies.
+Skew: every "one row per key" step is a ``row_number() = 1``, which Spark plans
+with a group limit before the shuffle. A key that holds a third of the rows is
+first reduced inside each map task, so no single task receives all its copies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _struct_of(df: DataFrame, exclude=()) -> Column:
-    return F.struct(*[F.col(c) for c in df.columns if c not in exclude])
-
-
 def first_per_key(df: DataFrame, key: list[str], order: list[str], last: bool = False) -> DataFrame:
-    """One row per ``key``: the smallest (or largest) by ``order``.
+    """One row per ``key``: the smallest (or largest) by ``order``, NULL counting as smallest.
 
-    Planned as partial + final aggregation (map-side combine), not as a
-    window that would sort every copy of a hot key in one task.
+    ``row_number() = 1`` is planned with a group limit below the exchange: every
+    map task sends at most one row per key, and each row is carried once.
     """
-    pick = F.max_by if last else F.min_by
-    row = _struct_of(df)
-    ordk = F.struct(*[F.col(c) for c in order])
-    agg = df.groupBy(*key).agg(pick(row, ordk).alias("__row"))
-    return agg.select("__row.*")
+    by = [F.col(c).desc_nulls_last() if last else F.col(c).asc_nulls_first() for c in order]
+    w = Window.partitionBy(*key).orderBy(*by)
+    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
 def insert_ignore(new: DataFrame, key: list[str], order: list[str], existing: DataFrame | None = None) -> DataFrame:
@@ -41,7 +34,7 @@ def insert_ignore(new: DataFrame, key: list[str], order: list[str], existing: Da
     """
     first = first_per_key(new, key, order)
     if existing is not None:
-        first = first.join(existing.select(*key).distinct(), key, "left_anti")
+        first = first.join(existing.select(*key), key, "left_anti")
     return first
 
 
@@ -90,15 +83,12 @@ def overwrite_batch(df: DataFrame, path: str, batch_id: int, partition_by: list[
 
 
 def read_table(spark, path: str, schema=None) -> DataFrame | None:
-    """Read a parquet table with schema merge (additive evolution), or None if absent."""
-    import os
+    """Read a parquet table with schema merge (additive evolution), or None if it holds no data yet.
 
-    if path.startswith("/") and not os.path.exists(path):
+    Only absence is None: a store that cannot be read raises."""
+    from progscan.sources.staging import has_data
+
+    if not has_data(spark, path):
         return None
     r = spark.read.option("mergeSchema", "true")
-    if schema is not None:
-        r = r.schema(schema)
-    try:
-        return r.parquet(path)
-    except Exception:
-        return None
+    return (r.schema(schema) if schema is not None else r).parquet(path)

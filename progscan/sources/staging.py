@@ -33,25 +33,35 @@ def _code_digest() -> str:
     return h.hexdigest()[:12]
 
 
-def _source_key(sf_dir: str) -> str:
-    parts = [os.path.abspath(sf_dir), __version__, _code_digest()]
-    if os.path.isdir(sf_dir):
-        for n in sorted(os.listdir(sf_dir)):
-            st = os.stat(os.path.join(sf_dir, n))
-            parts.append(f"{n}:{st.st_size}:{int(st.st_mtime)}")
-    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+def _source_key(spark: SparkSession, sf_dir: str) -> str:
+    """Names the inputs as they are now: every file's path, length and time, on any file system."""
+    p, fs = _fs(spark, sf_dir)
+    parts = [str(fs.makeQualified(p)), __version__, _code_digest()]
+    files, found = fs.listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha1("|".join(parts + sorted(found)).encode()).hexdigest()[:16]
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence test through Hadoop's FileSystem API (local, HDFS, object stores)."""
-    if path.startswith("/"):
-        return os.path.exists(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Existence test through Hadoop's FileSystem API (the session's default one for plain paths)."""
+    p, fs = _fs(spark, path)
     return bool(fs.exists(p))
 
 
+def has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a table folder exists and holds a Parquet file; a failing store raises."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return False
+    files = fs.listFiles(p, True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(".parquet"):
+            return True
+    return False
+
+
 def _complete(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, path.rstrip("/") + "/_SUCCESS")
 
@@ -73,9 +83,7 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     import uuid
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    if base.startswith("file:"):
-        base = base[5:]
-    path = f"{base}/staged/{_source_key(sf_dir)}/{name}"
+    path = f"{base}/staged/{_source_key(spark, sf_dir)}/{name}"
     if not _complete(spark, path):
         df = build()
         if partition_by:

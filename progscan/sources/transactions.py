@@ -56,7 +56,7 @@ def by_signatures(tx: DataFrame, signatures: DataFrame) -> DataFrame:
     A semi join: Spark broadcasts the list when its measured size is under
     the broadcast threshold (AQE re-plans at run time), else shuffles both.
     """
-    return tx.join(signatures.select("signature").distinct(), "signature", "left_semi")
+    return tx.join(signatures.select("signature"), "signature", "left_semi")
 
 
 def since_checkpoint(tx: DataFrame, last_slot: int, max_rows: int | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ which replaces the reference's key/value state table for recovery.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +26,24 @@ from progscan.sources.derived import RAW_ACCOUNT_SCHEMA, TX_SCHEMA
 from progscan.sources.staging import path_exists
 
 
-def _previous(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    if not path_exists(spark, path):
-        return None
-    try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - folder without data files yet
+#: Buckets of the signature hash that the instruction table is partitioned by, besides its type.
+SIG_BUCKETS = 16
+
+
+def _sig_bucket():
+    return F.pmod(F.xxhash64("signature"), F.lit(SIG_BUCKETS)).cast("int")
+
+
+def stored_keys(spark: SparkSession, path: str, batch_id: int, buckets: list[int]) -> DataFrame | None:
+    """Keys of the batches before ``batch_id`` whose signatures fall into the given buckets.
+
+    A signature decides its bucket, so no earlier copy of it, at whatever slot,
+    is outside them; the other buckets' files are not opened."""
+    df = S.read_table(spark, path)
+    if df is None:
         return None
-    return df.where(F.col("batch_id") < F.lit(batch_id)).drop("batch_id")
+    return (df.where(F.col("batch_id") < F.lit(batch_id)).where(F.col("sig_bucket").isin(buckets))
+            .select("ix_name", "signature"))
 
 
 def arrival_order(df: DataFrame) -> list[str]:
@@ -44,28 +55,27 @@ GAP_CHECK_EVERY = 6
 
 
 def process_transactions(batch: DataFrame, batch_id: int, sink: str, idl: Idl, program_id: str,
-                         listing: DataFrame | None = None, gap_every: int = GAP_CHECK_EVERY,
+                         listing: DataFrame | str | None = None, gap_every: int = GAP_CHECK_EVERY,
                          gap_requires_progress: bool = True) -> None:
     """One micro-batch: decode, insert-ignore instructions, append events, checkpoint.
 
-    With a ``listing`` (what the chain lists for the program), every
+    With a ``listing`` (what the chain lists for the program; a path is read anew each time), every
     ``gap_every``-th batch also writes the gap check (listed signatures whose
     slot was never processed, H-2/J-1) and the slot lag (J-7) for that batch."""
     spark = batch.sparkSession
     dec = I.decode_instructions(batch, idl, program_id)
-    existing = _previous(spark, f"{sink}/instructions", batch_id)
-    keys = None
-    if existing is not None:
-        # a replayed signature carries its original slot: only stored rows inside the
-        # batch's slot range can collide (files are slot-sorted, so row groups are skipped)
-        lo, hi = batch.agg(F.min("slot"), F.max("slot")).first()
-        if lo is not None:
-            keys = existing.where(F.col("slot").between(lo, hi)).select("ix_name", "signature")
-    new = S.insert_ignore(dec, ["ix_name", "signature"], arrival_order(dec), keys)
+    dec = dec.withColumn("sig_bucket", _sig_bucket())
+    # the batch is read by several writes below: its matched, decoded rows are computed once
+    dec = dec.persist(StorageLevel.DISK_ONLY)
+    buckets = [r[0] for r in dec.select("sig_bucket").distinct().collect()]  # at most SIG_BUCKETS
+    keys = stored_keys(spark, f"{sink}/instructions", batch_id, buckets)
+    new = S.insert_ignore(dec, ["ix_name", "signature"], arrival_order(dec.drop("sig_bucket")), keys)
     # F-13 per micro-batch: counters ride along with the writes (no extra job)
     ob_ix = Observation(f"ix_{batch_id}")
     new = new.observe(ob_ix, F.count(F.lit(1)).alias("instructions_stored"))
-    S.overwrite_batch(new.sortWithinPartitions("slot", "id"), f"{sink}/instructions", batch_id)
+    S.overwrite_batch(new.sortWithinPartitions("ix_name", "sig_bucket", "slot", "id"), f"{sink}/instructions", batch_id,
+                      ["ix_name", "sig_bucket"])
+    dec.unpersist()
     ob_ev = Observation(f"ev_{batch_id}")
     if idl.events:
         ev = I.decode_events(batch, idl).observe(ob_ev, F.count(F.lit(1)).alias("events_decoded"))
@@ -86,6 +96,8 @@ def process_transactions(batch: DataFrame, batch_id: int, sink: str, idl: Idl, p
         if due and (not gap_requires_progress or _checkpoint_moved(spark, sink, batch_id)):
             from progscan.operators import quality as Qa
 
+            if isinstance(listing, str):  # listed anew at each check: files added later count
+                listing = spark.read.parquet(listing).select("signature", "slot")
             seen = spark.read.parquet(f"{sink}/seen").where(F.col("batch_id") <= batch_id).select("slot")
             S.overwrite_batch(Qa.gaps(listing, seen, on="slot"), f"{sink}/gaps", batch_id)
             S.overwrite_batch(Qa.slot_lag(listing, seen), f"{sink}/lag", batch_id)
@@ -111,7 +123,7 @@ def process_accounts(batch: DataFrame, batch_id: int, sink: str, idl: Idl) -> No
 def start_transactions(spark: SparkSession, source: str, sink: str, checkpoint: str, idl: Idl, program_id: str,
                        fmt: str = "parquet", files_per_trigger: int | None = None,
                        available_now: bool = True, processing_time: str | None = None,
-                       listing: DataFrame | None = None, gap_every: int = GAP_CHECK_EVERY,
+                       listing: DataFrame | str | None = None, gap_every: int = GAP_CHECK_EVERY,
                        gap_requires_progress: bool = True):
     """J-1 / A-6: stream transactions into the stored tables.
 
@@ -143,7 +155,11 @@ def start_accounts(spark: SparkSession, source: str, sink: str, checkpoint: str,
 
 
 def read_stored(spark: SparkSession, sink: str, table: str = "instructions") -> DataFrame:
-    return spark.read.parquet(f"{sink}/{table}").drop("batch_id")
+    """A stored table; columns that later IDL versions added are NULL in older batches."""
+    df = S.read_table(spark, f"{sink}/{table}")
+    if df is None:
+        raise FileNotFoundError(f"{sink}/{table} holds no data")
+    return df.drop("batch_id", "sig_bucket")
 
 
 BACKFILL_BATCH = -1
