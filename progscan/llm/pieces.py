@@ -15,20 +15,22 @@ in one boundary; what lies before it can no longer change, its ids are
 committed and its nodes forgotten. A text of any length so needs a window, not
 a lattice. Where no piece contains two adjacent characters (in the models at
 hand: any character before a space, and line feeds) all paths meet by
-construction, and what lies between such places is remembered in a bounded
-cache.
+construction (as before signs that no piece joins to letters), and what lies
+between such places is remembered in a bounded cache.
 
 Work is spread by Spark: one Arrow batch of whole texts at a time, no shuffle.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import OrderedDict
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
@@ -42,6 +44,8 @@ SPACE = "▁"
 MAX_MODEL_BYTES = 64 << 20
 #: Encoded stretches a Python worker remembers, in each of two generations; longer stretches are not remembered.
 CACHE_ITEMS, CACHE_CHARS = 200_000, 40
+#: Texts encoded before their ids are handed back to Spark.
+SLICE = 256
 UNKNOWN_PENALTY = 10.0
 
 
@@ -86,6 +90,13 @@ class Vocabulary:
         inner = {p[i:i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.breaks_at_space = not any(x[1] == SPACE != x[0] for x in inner)
         self.breaks_at_lines = not any("\n" in p for p in self.pieces)
+        # signs: ASCII characters that are no letters, and what stands before them inside pieces; a small class,
+        # and no piece goes on from any other character to one
+        signs = {c for p in self.pieces for c in p if c < "\x80" and not c.isalpha()} - {"\n"}
+        while more := {x[0] for x in inner if x[1] in signs} - signs - {SPACE}:
+            signs |= more
+        letters = any(unicodedata.category(c)[0] in "LM" for c in signs)
+        self.signs = "" if letters else "".join(sorted(signs))
 
     def ids_of(self, piece: str) -> list[int]:
         """The id of a piece; an unknown character becomes its UTF-8 bytes, or the unknown id."""
@@ -97,62 +108,106 @@ class Vocabulary:
         return [self.unknown]
 
 
+class Piece:
+    """A piece (or a character that is none): its text, score, and the two pieces that merge into it last."""
+
+    __slots__ = ("text", "score", "left", "right", "stable")
+
+    def __init__(self, text: str, score: float):
+        self.text, self.score = text, score
+        self.left = self.right = None
+        self.stable = None  # not yet known whether, encoded alone, it comes out as itself
+
+
 class StreamingViterbi:
     """Encodes normalised text piece by piece; ``commits`` tells where paths met, for tests."""
 
     def __init__(self, vocab: Vocabulary):
         self.v = vocab
-        self.stable: OrderedDict[tuple[str, str], bool] = OrderedDict()
+        self.table = {text: Piece(text, score) for text, score in vocab.scores.items()}
+        self.others: dict[str, Piece] = {}  # single characters that are no pieces
+        self.fitting: dict[tuple[Piece, Piece], bool] = {}
 
-    def _merged(self, text: str) -> list[str]:
-        """Byte-pair merges of a short string: best score first, leftmost on ties."""
+    def _piece(self, text: str) -> Piece:
+        """The piece of this text, or of a single character that is none, with its parts."""
+        got = self.table.get(text) or self.others.get(text)
+        if got is None:
+            if len(self.others) >= CACHE_ITEMS:
+                self.others = {}
+            got = self.others[text] = Piece(text, self.v.least)
+        if got.stable is None:
+            got.stable = True
+            if len(text) > 1 and self.v.kind == "bpe":
+                got.stable, got.left, got.right = self._merged(text)
+        return got
+
+    def _merged(self, text: str) -> tuple[bool, Piece | None, Piece | None]:
+        """Whether byte-pair merges (best score first, leftmost on ties) make one piece of a text, and its last two parts."""
         parts, scores = list(text), self.v.scores
-        while len(parts) > 1:
+        while True:
             best = max(((scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in scores),
                        default=None)
             if best is None:
-                break
+                return False, None, None
             i = -best[1]
+            if len(parts) == 2:
+                return True, self._piece(parts[0]), self._piece(parts[1])
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return parts
 
-    def _fits(self, left: str, right: str) -> bool:
-        """Whether two neighbours, encoded alone, stay these two (left may be empty)."""
-        key = (left, right)
-        got = self.stable.get(key)
-        if got is None:
-            got = self._merged(left + right) == ([left, right] if left else [right])
-            if len(self.stable) >= CACHE_ITEMS:
-                self.stable.popitem(last=False)
-            self.stable[key] = got
-        return got
+    def _fits(self, left: Piece, right: Piece) -> bool:
+        """Whether two stable neighbours, encoded together, stay these two.
+
+        The merges are undone, the later of the two sides' first. At every step
+        the parts that touch at the border could have merged across it, if the
+        vocabulary has their union and it would have come before the merge
+        undone last (on a tie the merge further left comes first).
+        """
+        scores, limit, before = self.v.scores, -math.inf, False
+        while True:
+            across = scores.get(left.text + right.text)
+            if across is not None and (across > limit or (across == limit and not before)):
+                return False
+            if left.left is not None and (right.left is None or left.score < right.score):
+                limit, before, left = left.score, True, left.right
+            elif right.left is not None:
+                limit, before, right = right.score, False, right.left
+            else:
+                return True
 
     def pieces(self, text: str, commits: list[int] | None = None) -> Iterator[str]:
         """The pieces of a normalised text, each as soon as no later character can change it."""
-        v, longest = self.v, self.v.longest
-        root = (0, None, "", 0.0)  # boundary, backpointer, piece that ends here, score
+        longest, find, bpe, fitting = self.v.longest, self.table.get, self.v.kind == "bpe", self.fitting
+        root = (0, None, None, 0.0)  # boundary, backpointer, piece that ends here, score
         alive = [root]
         for end in range(1, len(text) + 1):
             best = None
-            for node in reversed(alive):  # short pieces first
-                start = node[0]
-                piece = text[start:end]
-                score = v.scores.get(piece)
-                if score is None:
-                    if end - start > 1:
+            for node in alive:  # long pieces first
+                piece = find(text[node[0]:end])
+                if piece is None:
+                    if end - node[0] > 1:
                         continue
-                    score = v.least
-                if v.kind == "bpe":
-                    if not self._fits(node[2], piece):
+                    piece = self._piece(text[node[0]:end])
+                if piece.stable is None:
+                    self._piece(piece.text)
+                if bpe:
+                    if not piece.stable:
                         continue
+                    if node[2] is not None:
+                        fits = fitting.get((node[2], piece))
+                        if fits is None:
+                            if len(fitting) >= 2 * CACHE_ITEMS:
+                                fitting.clear()
+                            fits = fitting[node[2], piece] = self._fits(node[2], piece)
+                        if not fits:
+                            continue
                     best = (end, node, piece, 0.0)
                     break
-                if best is None or node[3] + score > best[3]:
-                    best = (end, node, piece, node[3] + score)
+                elif best is None or node[3] + piece.score >= best[3]:
+                    best = (end, node, piece, node[3] + piece.score)
             if best is not None:
                 alive.append(best)
-            while alive[0][0] <= end - longest and len(alive) > 1:
-                alive.pop(0)
+            if alive[0][0] <= end - longest and len(alive) > 1:
+                del alive[0]
             if end % longest == 0:
                 met = self._meet(alive)
                 if met is not root:
@@ -163,8 +218,7 @@ class StreamingViterbi:
                     if commits is not None:
                         commits.append(root[0])
         if text:
-            last = alive[-1]
-            yield from self._path(last, root)
+            yield from self._path(alive[-1], root)
 
     @staticmethod
     def _meet(nodes: list) -> tuple:
@@ -192,7 +246,7 @@ class StreamingViterbi:
     def _path(node: tuple, root: tuple) -> list[str]:
         out = []
         while node is not root:
-            out.append(node[2])
+            out.append(node[2].text)
             node = node[1]
         return out[::-1]
 
@@ -204,10 +258,15 @@ class Codec:
         self.v = Vocabulary(model)
         self.viterbi = StreamingViterbi(self.v)
         space, line = (SPACE if self.v.breaks_at_space else ""), ("\n" if self.v.breaks_at_lines else "")
-        # a stretch: spaces, then anything up to the next sure meeting point
-        stops = re.escape(space + line)
-        parts = ([f"{line}+"] if line else []) + ([f"{space}*[^{stops}]+", f"{space}+"] if space else
-                                                  [f"[^{stops}]+"] if stops else [".+"])
+        # a stretch: spaces, signs, then letters and the rest, up to the next sure meeting point
+        signs, stops = re.escape(self.v.signs), re.escape(space + line)
+        parts = [f"{line}+"] if line else []
+        lead = f"{space}*" if space else ""
+        if signs:
+            parts += [f"{lead}[{signs}]*[^{signs}{stops}]+", f"{lead}[{signs}]+"]
+        else:
+            parts += [f"{lead}[^{stops}]+"] if stops else [".+"]
+        parts += [f"{space}+"] if space else []
         self.stretches = re.compile("|".join(parts), re.S).findall
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -269,18 +328,22 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", model: str = MOD
     kind = StructType([StructField("ids", ArrayType(IntegerType())), StructField("same", BooleanType())])
     check = round_trip is not None
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(kind)
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(sent.value)
-        for texts in batches:
-            got = [codec.encode(t) for t in texts]
-            same = [codec.decode(i.tolist()) == (t or "") for i, t in zip(got, texts)] if check else None
-            yield pd.DataFrame({"ids": got, "same": same}, columns=["ids", "same"])
+        for batch in batches:
+            for lo in range(0, len(batch), SLICE):
+                texts = batch[lo:lo + SLICE].to_pylist()
+                got = [codec.encode(t) for t in texts]
+                same = [codec.decode(i.tolist()) == (t or "") if check else None for i, t in zip(got, texts)]
+                ends = np.cumsum([0, *map(len, got)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got)))
+                yield pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "same"])
 
-    encoded = F.pandas_udf(run, kind)(F.col(text))
     made = "_encoded"
     while made in df.columns:
         made = "_" + made
-    out = df.withColumn(made, encoded).withColumn(ids, F.col(made)["ids"])
+    out = df.withColumn(made, encoded(F.col(text))).withColumn(ids, F.col(made)["ids"])
     return (out.withColumn(round_trip, F.col(made)["same"]) if check else out).drop(made)
 
 
@@ -288,12 +351,13 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "text", model: str = MOD
     """df with the text of an id column; null ids: null. An id outside the vocabulary is an error."""
     sent = df.sparkSession.sparkContext.broadcast(read_model(model))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(StringType())
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = _codec(sent.value)
         for rows in batches:
             yield pd.Series([None if i is None else codec.decode(i) for i in rows], dtype=object)
 
-    return df.withColumn(text, F.pandas_udf(run, StringType())(F.col(ids)))
+    return df.withColumn(text, decoded(F.col(ids)))
 
 
 @job("op9_streaming_viterbi")
