@@ -12,7 +12,7 @@ filled, to the nearest whole document. With a column of relative importance the
 inclusion probabilities differ inside a source; the order makes the sizes fixed
 all the same. The random numbers are hashes of the document key, so reruns agree.
 
-No source is ordered by one task: q is cut into cells by q / (1 + q), sizes are
+No source is ordered by one task: the order is cut into cells of even numbers, sizes are
 summed per (source, cell), a running sum over the cells of a source says where
 the sample ends, and exact order only matters inside a cell.
 """
@@ -82,8 +82,11 @@ def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "sourc
     odds = (F.col("p") / (1 - F.col("p"))) * F.col("imp")
     r = rows.join(targets, "sk").withColumn(
         "q", F.when((F.col("p") > 0) & (F.col("size") > 0) & (odds > 0), (u / (1 - u)) / odds))
-    # documents that cannot be drawn need no order; they are spread over cells behind the others
-    r = r.withColumn("cell", F.coalesce(F.floor(F.col("q") / (1 + F.col("q")) * cells), cells + F.floor(u * cells)))
+    # within a source, q orders like v = (u / (1 - u)) / importance, whose v / (1 + v) fills the cells evenly;
+    # documents that cannot be drawn need no order and are spread over cells behind the others
+    v = (u / (1 - u)) / F.col("imp")
+    r = r.withColumn("cell", F.when(F.col("q").isNotNull(), F.floor(v / (1 + v) * cells))
+                     .otherwise(cells + F.floor(u * cells)))
     start = Window.partitionBy("sk").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     before = (r.groupBy("sk", "cell").agg(F.sum("size").alias("cell_size"))
               .select("sk", "cell", F.coalesce(F.sum("cell_size").over(start), F.lit(0)).alias("start")))
