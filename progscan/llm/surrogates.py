@@ -2,12 +2,15 @@
 
 Detected: e-mail addresses, phone numbers, payment card numbers, IPv4 addresses,
 US social security numbers, IBANs, long hexadecimal secrets, and names after a
-title (Mrs., Herr, Señora, г-н, ...). Each entity is replaced by one of its own
-type, made by a keyed hash of its normal form: letters stay letters of their
-script and case, digits digits, separators and lengths stay; a card number
-stays valid if it was; a given name keeps the gender that its title tells. The
-same entity has the same surrogate in every document and spelling (phone and
-card numbers are known by their digits, addresses without case).
+title (Mrs., Herr, Señora, г-н, ...) of up to five parts, with hyphens,
+apostrophes, particles and initials (particles and initials stay as they are);
+in a document that titles a name, its bare mentions too. Each entity is replaced
+by one of its own type, made by a keyed hash of its normal form: letters stay
+letters of their script and case, digits digits, separators and lengths stay; a
+card number stays valid if it was; a given name keeps the gender that its titles
+tell, if they agree. The same entity has the same surrogate in every document
+and spelling (phone and card numbers are known by their digits, IBANs without
+spaces, addresses without case, names whatever their title and place).
 
 Collision checks make that one-to-one: a surrogate that equals another one of
 its type, or any entity really found, is made anew with the next attempt number
@@ -33,7 +36,19 @@ FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mademoiselle", "Seño
           "Госпожа", "Г-жа", "г-жа", "Κυρία"]
 NEUTRAL = ["Dr", "Prof", "Professor"]
 _TITLE = "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + ")"
-_NAME = "\\p{Lu}[\\p{L}\\p{M}]{1,30}+"
+_NAME = "\\p{Lu}(?:[\\p{L}\\p{M}]|['’-](?=\\p{Lu})){1,30}+"
+_PARTICLE = "(?:von|van|vom|zu|zur|de|del|della|der|den|da|di|do|dos|du|la|le|el|al|bin|ibn|ter|y)"
+#: What may stand between a title and a part of the name: other parts, initials, particles.
+_ONE = f"(?:\\p{{Lu}}[\\p{{L}}\\p{{M}}'’-]{{1,30}}|\\p{{Lu}}\\.|{_PARTICLE}) "
+_BEFORE = "(?:" + "|".join(_ONE * k for k in range(5)) + ")"
+#: Length of an IBAN -> countries; these may be written in groups.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC"}
+_IBAN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[ -]?[A-Z0-9]){{{n - 4}}}(?![0-9A-Za-z])"
+                 for n, c in IBAN_COUNTRIES.items())
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 #: Entity type -> pattern, tried in this order. Runs of name or digit characters are entered at their start only,
@@ -41,15 +56,15 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 PATTERNS = {
     "email": "(?<![\\p{L}\\p{N}._%+-])[\\p{L}\\p{N}._%+-]++@[\\p{L}\\p{N}-]++(?:\\.[\\p{L}\\p{N}-]++)+",
     "secret": "(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
-    "iban": "(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![0-9A-Za-z])",
+    "iban": f"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}+(?![0-9A-Za-z]))",
     "phone": ("(?<![0-9])(?:\\+1[ .-]?\\(?[0-9]{3}\\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
               "|\\+[2-9][0-9]{0,2}(?:[ .-]?\\(?[0-9]{2,4}\\)?){2,4}"
-              "|\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"),
-    "card": "(?<![0-9])(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|[0-9]{13,19})(?![0-9])",
+              "|\\([0-9]{3}\\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"),
+    "card": ("(?<![0-9])(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5}"
+             "|3[0689][0-9]{2}[ -][0-9]{6}[ -][0-9]{4}|[0-9]{13,19})(?![0-9])"),
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": f"(?<![0-9.]){_OCTET}(?:\\.{_OCTET}){{3}}(?![0-9])(?!\\.[0-9])",
-    "name": (f"(?<=(?<![\\p{{L}}]){_TITLE}\\.? ){_NAME}"
-             f"|(?<=(?<![\\p{{L}}]){_TITLE}\\.? \\p{{Lu}}[\\p{{L}}\\p{{M}}]{{1,30}} ){_NAME}"),
+    "name": (f"(?=\\p{{Lu}})(?<= )(?!{_TITLE}(?![\\p{{L}}]))(?<=(?<![\\p{{L}}]){_TITLE}\\.? {_BEFORE}){_NAME}"),
 }
 ANY = "|".join(PATTERNS.values())
 #: No entity without one of these: a quick look before the full patterns.
@@ -65,6 +80,7 @@ ENDINGS = {"given_f": [("abcdefghijklmnopqrstuvwxyzàáâäçèéêëìíîïñ
 DIGITS = "0123456789"
 HEX = "0123456789abcdef"
 MAX_ROUNDS = 64
+NAMES = ("given_m", "given_f", "given_n", "family")
 
 
 def _type(raw: Column) -> Column:
@@ -75,8 +91,24 @@ def _type(raw: Column) -> Column:
     return out.otherwise("name")
 
 
+def _by_pattern(text: Column, body) -> Column:
+    """``body(pattern)`` with ANY, or with ANY and the bare mentions of the names that the text has a title for."""
+    def mentions(names: Column) -> Column:
+        longest = F.array_sort(F.transform(names, lambda n: F.struct((-F.char_length(n)).alias("l"), n.alias("n"))))["n"]
+        return F.when(F.size(names) == 0, body(F.lit(ANY))).otherwise(let(
+            F.concat(F.lit(ANY + "|(?=\\p{Lu})(?<![\\p{L}\\p{M}])(?:"), F.array_join(longest, "|"),
+                     F.lit(")(?![\\p{L}\\p{M}])")), body))
+
+    return let(F.array_distinct(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0))), mentions)
+
+
+def gaps(text: Column) -> Column:
+    """What stands before, between and behind the entities of a text."""
+    return _by_pattern(text, lambda p: F.split(text, p, -1))
+
+
 def occurrences(text: Column) -> Column:
-    """array<struct<raw, type, norm>> of a text's entities in order; [] for none.
+    """array<struct<raw, type, norm>> of a text's entities in order; [] for none. Between them stand its ``gaps``.
 
     Types: those of PATTERNS, with name told apart as given_m, given_f, given_n
     (a title before it and a name behind it) and family.
@@ -84,24 +116,25 @@ def occurrences(text: Column) -> Column:
     ends = lambda titles: "(?:" + "|".join(titles) + ")\\.? $"
 
     def name_type(gap: Column, then: Column, following: Column) -> Column:
-        given = (then == " ") & following.rlike("^\\p{L}")
+        given = then.rlike(f"^ (?:(?:\\p{{Lu}}\\.|{_PARTICLE}) )*$") & following.rlike("^\\p{Lu}")
         return (F.when(gap.rlike(ends(MALE)) & given, "given_m").when(gap.rlike(ends(FEMALE)) & given, "given_f")
                 .when(gap.rlike(ends(NEUTRAL)) & given, "given_n").otherwise("family"))
 
     def norm(kind: Column, raw: Column) -> Column:
         return (F.when(kind.isin("phone", "card"), F.regexp_replace(raw, "[^0-9]", ""))
-                .when(kind.isin("ip", "ssn", "iban"), raw).otherwise(F.lower(raw)))
+                .when(kind == "iban", F.regexp_replace(raw, "[ -]", ""))
+                .when(kind.isin("ip", "ssn"), raw).otherwise(F.lower(raw)))
 
-    def all_of(raws: Column, gaps: Column) -> Column:
+    def all_of(raws: Column, between: Column) -> Column:
         def one(raw: Column, i: Column) -> Column:
             kind = let(_type(raw), lambda t: F.when(t == "name", name_type(
-                F.get(gaps, i), F.get(gaps, i + 1), F.coalesce(F.get(raws, i + 1), F.lit("")))).otherwise(t))
+                F.get(between, i), F.get(between, i + 1), F.coalesce(F.get(raws, i + 1), F.lit("")))).otherwise(t))
             return let(kind, lambda k: F.struct(raw.alias("raw"), k.alias("type"), norm(k, raw).alias("norm")))
 
         return F.transform(raws, one)
 
-    found = let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)),
-                lambda raws: F.when(F.size(raws) > 0, let(F.split(text, ANY, -1), lambda gaps: all_of(raws, gaps))))
+    found = let(_by_pattern(text, lambda p: F.regexp_extract_all(text, p, F.lit(0))),
+                lambda raws: F.when(F.size(raws) > 0, let(gaps(text), lambda g: all_of(raws, g))))
     none = F.array().cast("array<struct<raw:string,type:string,norm:string>>")
     return F.when(text.rlike(HINT), F.coalesce(found, none)).otherwise(none)
 
@@ -193,43 +226,55 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
 
 def spelled(raw: Column, kind: Column, made: Column) -> Column:
     """A surrogate in the spelling of an occurrence: its separators, its capitals."""
-    def digits_in_place() -> Column:
+    def in_place(sort: str) -> Column:
         def one(ch: Column, i: Column) -> Column:
-            before = F.char_length(F.regexp_replace(F.substring(raw, F.lit(1), i), "[^0-9]", ""))
-            return F.when(ch.rlike("[0-9]"), F.substring(made, before + 1, F.lit(1))).otherwise(ch)
+            before = F.char_length(F.regexp_replace(F.substring(raw, F.lit(1), i), f"[^{sort}]", ""))
+            return F.when(ch.rlike(f"[{sort}]"), F.substring(made, before + 1, F.lit(1))).otherwise(ch)
 
         return F.array_join(F.transform(F.split(raw, ""), one), "")
 
+    def capital(ch: Column, i: Column) -> Column:
+        return F.when(F.substring(raw, i + 1, F.lit(1)).rlike("\\p{Lu}"), F.upper(ch)).otherwise(ch)
+
     shouted = (raw == F.upper(raw)) & (raw != F.lower(raw)) & (F.char_length(raw) > 1)
-    named = F.concat(F.upper(F.substring(made, 1, 1)), _from(made, 2))
-    return (F.when(kind.isin("phone", "card"), digits_in_place()).when(kind.isin("ip", "ssn", "iban"), made)
+    named = F.array_join(F.transform(F.split(made, ""), capital), "")
+    return (F.when(kind.isin("phone", "card"), in_place("0-9")).when(kind == "iban", in_place("0-9A-Z"))
+            .when(kind.isin("ip", "ssn"), made)
             .when(shouted, F.upper(made)).when(kind.isin("email", "secret"), made).otherwise(named))
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(type, norm, made) for distinct (type, norm): one-to-one within a type, and no surrogate is an entity.
 
+    The types of names are one type here: a name has one surrogate, of the gender
+    that its titles tell if they tell one.
+
     Round by round, contested surrogates are made anew by all but one holder:
     that of the earliest attempt and smallest hash; by all, if an entity of the
     corpus has that form. Only the question whether any is left comes to the
     driver; each round is written to the shared folder.
     """
-    fresh = surrogate(F.col("type"), F.col("norm"), F.col("attempt"), key)
-    made = written(entities.select("type", "norm", F.lit(0).alias("attempt")).withColumn("made", fresh), "surrogates")
+    entities = entities.withColumn("space", F.when(F.col("type").isin(*NAMES), "name").otherwise(F.col("type")))
+    tells = lambda t: F.max((F.col("type") == t).cast("int")) == 1
+    one = (entities.groupBy("space", "norm").agg(tells("given_m").alias("m"), tells("given_f").alias("f"))
+           .withColumn("kind", F.when(F.col("space") != "name", F.col("space")).when(F.col("m") & ~F.col("f"), "given_m")
+                       .when(F.col("f") & ~F.col("m"), "given_f").otherwise("given_n")))
+    fresh = surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key)
+    made = written(one.select("space", "kind", "norm", F.lit(0).alias("attempt")).withColumn("made", fresh), "surrogates")
     order = F.struct("attempt", F.xxhash64(F.lit(key), F.col("norm")).alias("h"), "norm")
-    real = entities.select("type", F.col("norm").alias("made"), F.lit(True).alias("real"))
+    real = made.select("space", F.col("norm").alias("made"), F.lit(True).alias("real"))
     for _ in range(MAX_ROUNDS):
-        held = made.groupBy("type", "made").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-        contested = (held.join(real, ["type", "made"], "left").where("n > 1 or real")
-                     .select("type", "made", F.when(F.col("real").isNull(), F.col("first.norm")).alias("keeper"),
+        held = made.groupBy("space", "made").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+        contested = (held.join(real, ["space", "made"], "left").where("n > 1 or real")
+                     .select("space", "made", F.when(F.col("real").isNull(), F.col("first.norm")).alias("keeper"),
                              F.lit(True).alias("hit")))
-        redo = (made.join(contested, ["type", "made"], "left")
+        redo = (made.join(contested, ["space", "made"], "left")
                 .withColumn("redo", F.col("hit").isNotNull() & ~F.col("norm").eqNullSafe(F.col("keeper"))))
-        redo = written(redo.select("type", "norm", (F.col("attempt") + F.col("redo").cast("int")).alias("attempt"),
+        redo = written(redo.select("space", "kind", "norm", (F.col("attempt") + F.col("redo").cast("int")).alias("attempt"),
                                    "made", "redo"), "surrogates")
         if redo.where("redo").isEmpty():
-            return redo.select("type", "norm", "made")
-        made = written(redo.select("type", "norm", "attempt",
+            return entities.join(redo.select("space", "norm", "made"), ["space", "norm"]).select("type", "norm", "made")
+        made = written(redo.select("space", "kind", "norm", "attempt",
                                    F.when(F.col("redo"), fresh).otherwise(F.col("made")).alias("made")), "surrogates")
     raise RuntimeError("surrogates still collide: an entity type has too few forms")
 
@@ -256,8 +301,7 @@ def replace_entities(docs: DataFrame, key_secret: str, key: str = "doc_id", text
            .select("o", "tid", "pos", spelled(F.col("raw"), F.col("type"), F.col("made")).alias("new"))
            .groupBy("o", "tid").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("got"))
            .select(F.col("o").alias(o), F.col("tid").alias(tid), F.col("got.new").alias(got)))
-    gaps = F.split(F.col(text), ANY, -1)
-    filled = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(F.col(got), i), F.lit("")))), "")
+    filled = F.array_join(F.transform(gaps(F.col(text)), lambda g, i: F.concat(g, F.coalesce(F.get(F.col(got), i), F.lit("")))), "")
     changed = (mine.join(new, [o, tid], "left")
                .withColumn(text, F.when(F.col(got).isNotNull(), filled).otherwise(F.col(text)))
                .withColumn(n_entities, F.coalesce(F.size(got), F.lit(0)).cast("long")))

@@ -106,3 +106,35 @@ def test_long_text_without_spaces_is_linear(spark):
     rows = [(0, "ab" * 300_000), (1, "1" * 300_000), (2, "a." * 200_000 + "x@y.example.com")]
     got = run(spark, rows)
     assert got[0].text == rows[0][1] and got[1].text == rows[1][1] and got[2].n_entities == 1
+
+
+FORMS = ["GB29 NWBK 6016 1331 9268 19", "DE89 3704 0044 0532 0130 00", "BE68 5390 0754 7034", "3782 822463 10005",
+         "555 123 4567", "(555) 123 4567", "378282246310005", "GB29NWBK60161331926819", "(555) 123-4567"]
+
+
+def test_ordinary_forms(spark):
+    """Grouped IBANs, 4-6-5 cards, phones with spaces: replaced whole, known in each spelling."""
+    got = run(spark, [(i, f"It is {t} HERE") for i, t in enumerate(FORMS)])
+    new = [re.fullmatch("It is (.*) HERE", got[i].text).group(1) for i in range(len(FORMS))]
+    bare = lambda s: re.sub("[^0-9A-Z]", "", s)
+    assert all(got[i].n_entities == 1 for i in range(len(FORMS)))
+    assert all(shape(a) == shape(b) and a != b for a, b in zip(FORMS, new))
+    assert bare(new[0]) == bare(new[7]) and bare(new[3]) == bare(new[6]) and bare(new[4]) == bare(new[5]) == bare(new[8])
+
+
+def test_names_of_more_parts_and_bare_mentions(spark):
+    got = run(spark, [(0, "Mrs. Mary Ann Smith left. Later Smith and Mary came; Smithson stayed."),
+                      (1, "Mr. O'Brien saw Frau Anne-Marie Müller-Lüdenscheidt and O'Brien's dog."),
+                      (2, "Dr Anna Holt"), (3, "Frau Anna Holt"), (4, "Smith has no title here."),
+                      (5, "Herr Johann von der Heide, Mr. John F. Lake Mr. Bond"), (6, "We met Holt. Dr. Holt smiled.")])
+    first = re.fullmatch(r"Mrs\. (\w+) (\w+) (\w+) left\. Later (\w+) and (\w+) came; Smithson stayed\.", got[0].text)
+    mary, ann, smith, later, again = first.groups()
+    assert later == smith != "Smith" and again == mary != "Mary" and ann != "Ann" and mary.endswith("a")
+    brien, anne, mueller, dog = re.fullmatch(r"Mr\. (\S+) saw Frau (\S+) (\S+) and (\S+)'s dog\.", got[1].text).groups()
+    assert brien == dog and shape(brien) == shape("O'Brien") and brien != "O'Brien"
+    assert shape(anne)[:6] == shape("Anne-M") and not {"Anne", "Marie", "Müller", "Lüdenscheidt"} & set(re.split("[- ]", anne + " " + mueller))
+    assert got[2].text[3:] == got[3].text[5:] and "Anna" not in got[2].text and "Holt" not in got[2].text
+    assert got[4].text == "Smith has no title here."
+    assert not re.search("Johann|Heide|John|Lake|Bond", got[5].text) and re.search(r" von der \w+, Mr\. \w+ F\. \w+ Mr\. ", got[5].text)
+    holt = got[2].text.split()[-1]
+    assert got[6].text == f"We met {holt}. Dr. {holt} smiled."
