@@ -67,12 +67,13 @@ def program_instructions(tx: DataFrame, program_id: str) -> DataFrame:
                         x["programId"].alias("programId"), x["data"].alias("data"), accounts.alias("ix_accounts"))
 
     none = F.lit(None).cast("array<string>")
-    top = F.transform(F.col("transaction.message.instructions"),
+    # a null array has no rows; it must not make flatten() or concat() null, which would lose its neighbours
+    top = F.transform(F.coalesce(F.col("transaction.message.instructions"), F.array()),
                       lambda x, i: row(x, 0, i, F.lit(0), F.lit(None), x["accounts"]))
-    inner = F.flatten(F.transform(F.col("meta.innerInstructions"), lambda g, gi: F.transform(
-        g["instructions"], lambda x, i: row(x, 1, gi, i, g["index"],
-                                            x["accounts"] if "accounts" in inner_fields else none))))
-    both = F.concat(*[F.coalesce(F.filter(a, own), F.filter(top, lambda x: F.lit(False))) for a in (top, inner)])
+    inner = F.flatten(F.transform(F.coalesce(F.col("meta.innerInstructions"), F.array()), lambda g, gi: F.transform(
+        F.coalesce(g["instructions"], F.array()),
+        lambda x, i: row(x, 1, gi, i, g["index"], x["accounts"] if "accounts" in inner_fields else none))))
+    both = F.concat(F.filter(top, own), F.filter(inner, own))
     base = ok_transactions(tx).select("signature", "slot", "tx_index", F.col("blockTime").alias("block_time"),
                                       _keys().alias("account_keys"), F.explode(both).alias("ix"))
     depth = F.col("ix.cpi_depth")
