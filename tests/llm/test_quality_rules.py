@@ -57,3 +57,33 @@ def test_verdicts(spark):
 
 def test_empty(spark):
     assert Q.quality(documents(spark, ODD).where("false")).count() == 0
+
+
+THAI = " ".join("ภาษาไทยเขียนติดกันโดยไม่เว้นวรรค" + str(j) for j in range(14))
+CLEAN = {
+    "list": "# Shopping for {i}\n" + "\n".join(f"* **item** {{i}}x{j} and more" for j in range(7)),
+    "table": "| name | size |\n|------|------|\n" + "\n".join(f"| row{j} of {{i}} | {j} |" for j in range(8)),
+    "html": "\n".join(f"<p class=\"c{j}\">Paragraph{j} tells{j} page{{i}} &amp; <b>others{j}</b></p>" for j in range(5)),
+    "shell": "\n".join(f"export PATH{j}=$HOME/{{i}}/{j} && cd $PATH{j} # step {j}" for j in range(5)),
+    "thai": THAI + " {i}"}
+
+
+def test_clean_markup_code_and_thai_are_kept(spark):
+    """At 5 % of the corpus, beside junk whose symbols are noise."""
+    prose = [(i, f"The river {i} runs through valley {i * 7} and past the mill of {i * 3}.\nNobody came by today.") for i in range(475)]
+    odd = [(1000 + 100 * k + i, t.replace("{i}", f"{i}")) for k, t in enumerate(CLEAN.values()) for i in range(5)]
+    junk = [(5000 + i, " ".join(f"w{i}x{j}$$$" for j in range(40))) for i in range(10)]
+    junk += [(6000 + i, " | ".join(f"m{i}x{j}" for j in range(40))) for i in range(10)]
+    rows = {r.k: r for r in Q.quality(documents(spark, prose + odd + junk)).collect()}
+    assert [(i, rows[i]) for i, _ in prose + odd if not rows[i].kept] == []
+    assert not any(rows[i].kept for i, _ in junk)
+    kept = {r.doc_id for r in Q.keep_good(documents(spark, prose + odd + junk)).collect()}
+    assert kept == {i for i, r in rows.items() if r.kept}
+
+
+def test_one_dissenting_rule_does_not_reject(spark):
+    """5 % of the corpus: a line of signs in otherwise clean prose."""
+    prose = "The river {i} runs through valley {j} and past the mill.\nNobody came by today, and all was well at {i}."
+    rows = [(i, prose.format(i=i, j=i * 7) + ("\nend &&&&&&&" if i % 20 == 0 else "")) for i in range(400)]
+    got = Q.quality(documents(spark, rows)).collect()
+    assert all(r.kept for r in got) and min(r.n_noise for r in got if r.k % 20 == 0) == 7
