@@ -1,8 +1,8 @@
 """Operator 2: licence scans by sentence rules.
 
 A text is cut into sentences, each is normalised (lower case, only letters,
-digits and dots inside numbers), and a sentence that holds a known licence
-sentence gets its identifier. What is left of the text is the sequence of these
+digits and dots inside numbers), and a sentence gets the identifiers of all known
+licence sentences in it. What is left of the text is the sequence of these
 identifiers; ordered rules, most specific first, turn stretches of identifiers
 into licences and use them up. Identifiers that no rule uses are reported as
 unmatched parts, so an incomplete notice is visible.
@@ -119,6 +119,13 @@ HINT = "(?i)licen[cs]e|permission|redistribut|warrant|unencumbered|reserved|copy
 
 _SPACE = "[\\x20\\x09-\\x0D]"
 _BREAK = f"([.!?;]){_SPACE}+|\\n{_SPACE}*\\n"
+#: A sentence also ends at a line of nothing but comment marks, and with the line of an SPDX identifier.
+_COMMENT_LINE = "\\n[\\x20\\x09]*(?:[*#;%]+|//+|--+)[\\x20\\x09\\x0D]*(?=\\n)"
+_SPDX_LINE = "((?i)spdx-license-identifier:[^\\n]*)\\n"
+_ANY = "(?<![^ ])(?:" + "|".join(f"(?:{p})" for _, p in SENTENCES) + ")(?![^ ])"
+#: Before a further identifier of an SPDX expression.
+_SPDX_NEXT = ("(?<=spdx license identifier [a-z0-9. ]{1,200}) (or|and) (?=(?:"
+              + "|".join(x.lower().replace("-", " ") for x in sorted(SPDX, key=len, reverse=True)) + ")(?![^ ]))")
 
 
 def _normalised(sentence: Column) -> Column:
@@ -128,19 +135,28 @@ def _normalised(sentence: Column) -> Column:
 
 
 def identifiers(text: Column) -> Column:
-    """array<struct<pos int, id string>>: the licence sentences of a text in order; pos counts its sentences."""
-    def one(s: Column, i: Column) -> Column:
+    """array<struct<pos int, id string>>: the licence sentences of a text in order; pos counts its sentences.
+
+    A sentence that holds several has all of them, in order of their place; where two begin alike or overlap, the
+    first one stands, then the first of the list.
+    """
+    def name(raw: Column) -> Column:
+        found = F.when(F.lit(False), "")
+        for i, pattern in SENTENCES:
+            found = found.when(raw.rlike(f"^(?:{pattern})$"), i)
+        return found
+
+    def all_of(s: Column, i: Column) -> Column:
         def named(n: Column) -> Column:
-            found = F.when(F.lit(False), "")
-            for name, pattern in SENTENCES:
-                found = found.when(n.rlike(f"(^| )(?:{pattern})( |$)"), name)
-            return F.when(n.rlike(HINT), F.struct(i.cast("int").alias("pos"), found.alias("id")))
+            raws = F.regexp_extract_all(F.regexp_replace(n, _SPDX_NEXT, " $1 spdx license identifier "), F.lit(_ANY), F.lit(0))
+            return F.when(n.rlike(HINT), F.transform(raws, lambda r: F.struct(i.cast("int").alias("pos"), name(r).alias("id"))))
 
-        return let(_normalised(s), named)
+        return F.coalesce(let(_normalised(s), named), none)
 
-    sentences = F.split(F.regexp_replace(text, _BREAK, "$1\u0001"), "\u0001")
-    found = F.filter(F.transform(sentences, one), lambda x: x["id"].isNotNull())
-    return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<struct<pos:int,id:string>>"))
+    none = F.array().cast("array<struct<pos:int,id:string>>")
+    lines = F.regexp_replace(F.regexp_replace(text, _SPDX_LINE, "$1\u0001"), _COMMENT_LINE, "\u0001")
+    sentences = F.split(F.regexp_replace(lines, _BREAK, "$1\u0001"), "\u0001")
+    return F.when(text.rlike(HINT), F.flatten(F.transform(sentences, all_of))).otherwise(none)
 
 
 def recognise(ids: Column) -> Column:

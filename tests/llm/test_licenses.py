@@ -70,3 +70,24 @@ def test_odd(spark):
     got = L.scan_licenses(d).collect()
     assert len(got) == len(ODD) and all(r.licenses == [] == r.sentences for r in got)
     assert L.scan_licenses(d.where("false")).count() == 0
+
+
+def commented(text, mark):
+    return "\n".join(f"{mark} {x}".rstrip() for x in text.split("\n"))
+
+
+HEADER = APACHE.replace("You may obtain", "\nYou may obtain").replace("Unless", "\nUnless")
+
+
+def test_several_notices_in_a_sentence(spark):
+    cases = {
+        1: ("// SPDX-License-Identifier: Apache-2.0 OR MIT\nint x", ["Apache-2.0", "MIT"]),
+        2: ("Released under the MIT License\nLicensed under CC BY-NC 4.0\n", ["MIT", "CC-BY-NC-4.0"]),
+        3: (commented(HEADER, " *"), ["Apache-2.0"]), 4: (commented(HEADER, "#"), ["Apache-2.0"]),
+        5: ("# SPDX-License-Identifier: (MIT AND ISC) OR GPL-2.0-only\n# Released under the BSD license",
+            ["MIT", "ISC", "GPL-2.0-only", "BSD-3-Clause"]),
+        6: ("/* SPDX-License-Identifier: MIT */\nor isc and so on", ["MIT"])}
+    got = {r.doc_id: r for r in L.scan_licenses(documents(spark, [(i, t) for i, (t, _) in cases.items()])).collect()}
+    assert {i: r.licenses for i, r in got.items()} == {i: want for i, (_, want) in cases.items()}
+    assert all(not r.unmatched for r in got.values())
+    assert [x.id for x in got[3].sentences] == ["Apache2", "ApacheUse", "ApacheCopy", "ApacheWarranty", "ApacheSee"]
