@@ -12,7 +12,7 @@ ORACLE: dict[str, str] = {}
 
 #: One module per operator, in the order of the operator list.
 MODULES = ["suffix_dedup", "licenses", "lsh_forest", "quality_rules", "surrogates", "line_dedup", "mixing", "fingerprints", "pieces",
-           "sharding"]
+           "sharding", "decontaminate", "periodic_runs", "whitening"]
 
 
 def job(name: str, sql: str | None = None):
