@@ -52,10 +52,10 @@ def item_windows(items: DataFrame, item: str = "item_id", text: str = "text", wi
     stands in no list.
     """
     w = items.select(F.col(item).cast("string").alias("item"), normalised_words(F.col(text)).alias("w"))
-    w = w.withColumn("size", F.least(F.size("w"), F.lit(window))).where("size > 0")
+    w = w.withColumn("size", F.least(F.size("w"), F.lit(window)))
     hashed = reduce(lambda other, n: F.when(F.col("size") == n, window_hashes(F.col("w"), n)).otherwise(other),
                     range(2, window + 1), window_hashes(F.col("w"), 1))
-    rows = w.select("item", "size", "w", F.posexplode(hashed).alias("at", "h"))
+    rows = w.select("item", "size", "w", F.posexplode_outer(hashed).alias("at", "h")).where(F.col("h").isNotNull())
     words = F.array_compact(F.array(*[F.when(F.lit(j) < F.col("size"), F.get("w", F.col("at") + j))
                                       for j in range(window)]))
     return (rows.select("item", "size", "h", words.alias("words"))
@@ -83,7 +83,8 @@ def hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: str = "
     source = docs.select(F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("fp"),
                          normalised_words(F.col(text)).alias("w"))
     hashes = F.concat(*[window_hashes(F.col("w"), r["size"]) for r in of_size])
-    rows = source.select("k", "fp", "w", hashes.alias("hs")).select("k", "fp", "w", F.posexplode("hs").alias("i", "h"))
+    # outer: the plain one filters on the size of the list first, and computes words and hashes a second time for it
+    rows = source.select("k", "fp", "w", hashes.alias("hs")).select("k", "fp", "w", F.posexplode_outer("hs").alias("i", "h"))
     # windows of the shorter sizes come first; a size's part is as long as the text has windows of it
     first, at = F.lit(0), F.col("i")
     for r in of_size:
