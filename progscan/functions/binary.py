@@ -17,6 +17,11 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def swap_hex(h: Column, nbytes: int) -> Column:
     """Reverse the byte order of a hex string holding ``nbytes`` bytes.
 

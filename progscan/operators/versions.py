@@ -95,18 +95,15 @@ def diff(registry: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def storage_type(t: Column) -> Column:
-    """§1.3 type map on the raw JSON text of an IDL type (options unwrapped once)."""
-    inner = F.coalesce(F.get_json_object(t, "$.option"), t)
+# The scalar types that are stored as TEXT, as are all composite ones; other scalars are INTEGER.
+TEXT_SCALARS = ("string", "publicKey", "u64", "i64", "u128", "i128")
 
-    def base(x: Column) -> Column:
-        return (F.when(x == "bool", F.lit("INTEGER"))
-                .when(x.isin("string", "publicKey"), F.lit("TEXT"))
-                .when(x.isin("u64", "u128", "i64", "i128"), F.lit("TEXT"))
-                .when(x.startswith("{"), F.lit("TEXT"))
-                .otherwise(F.lit("INTEGER")))
 
-    return F.when(t.startswith('{"option"'), base(inner)).otherwise(base(t))
+def storage_type(t: Column) -> Column:
+    """§1.3 storage class of the raw JSON text of an IDL type: that of what its options, however nested, hold."""
+    plain = F.trim(F.regexp_replace(t, r'\{\s*"option"\s*:|\}(?=[\s}]*$)|"', ""))
+    scalar = ~F.regexp_like(F.regexp_replace(t, r'"option"\s*:', ""), F.lit(r'"\s*:'))
+    return F.when(scalar & ~plain.isin(*TEXT_SCALARS), F.lit("INTEGER")).otherwise(F.lit("TEXT"))
 
 
 def schema_tables(docs: DataFrame) -> DataFrame:

@@ -16,8 +16,12 @@ Each field becomes a few staged columns (value, next offset) so the
 expression tree stays linear in the number of fields; Catalyst does not
 collapse the stages because the offsets are referenced more than once.
 Layouts that need a per-element loop over variable-width items (vectors of
-strings, nested vectors, options inside vectors) go through one Arrow-batched
-pandas UDF instead (``decode_fallback``).
+strings, nested vectors, options inside vectors, structs without a fixed width)
+go through one Arrow-batched pandas UDF instead (``plans.readers``).
+
+With a type registry (``typed`` mode) the rules are plain Borsh: ``defined``
+types are read by their definition, every byte of a value must be there, and
+after a field that fails nothing more is read.
 """
 
 from __future__ import annotations
@@ -29,17 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from progscan.functions import binary as B
-from progscan.plans.idl import Field, IdlType
+from progscan.plans.idl import Field, IdlType, defined_name
+from progscan.plans.readers import LEAVES, WRITTEN_OUT, decode_in_batches
 
-FIXED_WIDTH = {
-    "bool": 1, "u8": 1, "i8": 1, "u16": 2, "i16": 2, "u32": 4, "i32": 4,
-    "u64": 8, "i64": 8, "f32": 4, "f64": 8, "u128": 16, "i128": 16, "publicKey": 32,
-}
+FIXED_WIDTH = {name: leaf.width for name, leaf in LEAVES.items()}
 # Fixed-width types whose short read yields a shorter value instead of failing.
-NEVER_FAILS = {"bool", "u128", "i128", "publicKey"}
-# Upper bound on the items of a vector of zero-width elements (``vec<defined>``),
-# whose count comes from the data and consumes no bytes.
-MAX_ZERO_WIDTH_ITEMS = 65536
+NEVER_FAILS = {"bool"} | {name for name, leaf in LEAVES.items() if leaf.cut}
 
 
 @dataclass
@@ -58,38 +57,92 @@ def _null_s() -> Column:
     return F.lit(None).cast("string")
 
 
+# Control characters whose \\u escape holds a hex letter; Spark writes it upper-case, JavaScript lower-case.
+_LETTERED = [f"{c:04X}" for c in range(32) if c not in (8, 9, 10, 12, 13) and f"{c:X}" != f"{c:x}"]
+
+
 def _quote(s: Column) -> Column:
     """JSON string literal of ``s`` (NULL -> ``null``)."""
     q = F.to_json(F.struct(s.alias("v")))  # {"v":"..."}
-    return F.when(s.isNull(), F.lit("null")).otherwise(q.substr(F.lit(6), F.length(q) - 6))
+    q = q.substr(F.lit(6), F.length(q) - 6)
+    lower = q
+    for code in _LETTERED:
+        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}")
+    marked = s.rlike("[\\x0B\\x0E\\x0F\\x1A-\\x1F]")
+    return F.when(s.isNull(), F.lit("null")).when(marked, lower).otherwise(q)
+
+
+def number_text(v: Column) -> Column:
+    """Text of a double as ECMAScript prints it: plain from 1e-6 up to 1e21, else with an exponent.
+
+    Spark's own text (Java 17) has a digit or two too many at times: as long as
+    one digit less reads back as the same double, that is taken.
+    """
+    def digits(text: Column) -> Column:
+        mantissa, power = F.substring_index(text, "E", 1), F.lit(0)
+        power = F.when(F.contains(text, F.lit("E")), F.substring_index(text, "E", -1).cast("int")).otherwise(power)
+        whole = F.substring_index(mantissa, ".", 1)
+        every = F.concat(whole, F.when(F.contains(mantissa, F.lit(".")), F.substring_index(mantissa, ".", -1)).otherwise(""))
+        kept = F.regexp_replace(every, "^0+", "")
+        return F.struct(F.regexp_replace(kept, "0+$", "").alias("d"),
+                        (F.length(whole) + power - (F.length(every) - F.length(kept))).cast("int").alias("at"))
+
+    def shortest(x: Column, own: Column) -> Column:
+        def better(p: Column) -> Column:
+            less = F.printf(F.concat(F.lit("%."), F.length(p["d"]) - 2, F.lit("E")), F.abs(x))
+            return F.when(F.length(p["d"]) < 2, p).otherwise(
+                B.let(less, lambda t: F.when(t.cast("double") == F.abs(x), digits(t)).otherwise(p)))
+
+        return F.aggregate(F.array(*[F.lit(i) for i in range(3)]), digits(own), lambda p, _: better(p))
+
+    def laid_out(p: Column) -> Column:
+        d, at, n = p["d"], p["at"], F.length(p["d"])
+        power = at - 1
+        scientific = F.concat(F.substring(d, 1, 1), F.when(n > 1, F.concat(F.lit("."), d.substr(F.lit(2), n))).otherwise(""),
+                              F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.abs(power).cast("string"))
+        return (F.when((n <= at) & (at <= 21), F.concat(d, F.repeat(F.lit("0"), at - n)))
+                .when((at > 0) & (at <= 21), F.concat(d.substr(F.lit(1), at), F.lit("."), d.substr(at + 1, n)))
+                .when((at > -6) & (at <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -at), d))
+                .otherwise(scientific))
+
+    def text_of(x: Column) -> Column:
+        return (F.when(F.isnan(x), F.lit("NaN"))
+                .when(x == F.lit(float("inf")), F.lit("Infinity"))
+                .when(x == F.lit(float("-inf")), F.lit("-Infinity"))
+                .when(x == 0, F.lit("0"))
+                .otherwise(F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")),
+                                    B.let(shortest(x, F.abs(x).cast("string")), laid_out))))
+
+    return B.let(v, lambda x: F.when(x.isNotNull(), text_of(x)))
+
+
+def _enum_def(t: IdlType, registry):
+    """The registry's enum without fields that a ``defined`` type names, else None."""
+    if registry is None or not (isinstance(t, dict) and "defined" in t):
+        return None
+    td = registry(defined_name(t))
+    return td if td is not None and td.kind == "enum" and not any(td.variant_fields) else None
 
 
-def _js_number_text(v: Column) -> Column:
-    """Text of a double the way JavaScript's ``String(number)`` prints common values."""
-    integral = (v == F.floor(v)) & (F.abs(v) < F.lit(1e15))
-    return (F.when(v.isNull(), _null_s())
-            .when(F.isnan(v), F.lit("NaN"))
-            .when(v == F.lit(float("inf")), F.lit("Infinity"))
-            .when(v == F.lit(float("-inf")), F.lit("-Infinity"))
-            .when(integral, v.cast("bigint").cast("string"))
-            .otherwise(v.cast("string")))
+def _fixed_item(t: IdlType, registry) -> bool:
+    if isinstance(t, str):
+        return t in FIXED_WIDTH
+    return "defined" in t and (registry is None or fixed_width(t, registry) is not None)
 
 
-def is_native(t: IdlType) -> bool:
+def is_native(t: IdlType, registry=None) -> bool:
     """True when ``t`` compiles to built-in expressions."""
     if isinstance(t, str):
-        return t in FIXED_WIDTH or t == "string"
+        return True  # unknown names decode to NULL and consume nothing
     if "option" in t:
-        return is_native(t["option"])
+        return is_native(t["option"], registry)
     if "defined" in t:
-        return True
+        return _fixed_item(t, registry) or _enum_def(t, registry) is not None
     if "vec" in t:
-        e = t["vec"]
-        return (isinstance(e, str) and e in FIXED_WIDTH) or (isinstance(e, dict) and "defined" in e)
+        return _fixed_item(t["vec"], registry)
     if "array" in t:
-        e = t["array"][0]
-        return (isinstance(e, str) and e in FIXED_WIDTH) or (isinstance(e, dict) and "defined" in e)
-    return True  # unknown types decode to NULL and consume nothing
+        return _fixed_item(t["array"][0], registry) or registry is not None and fixed_width(t, registry) is not None
+    return True
 
 
 def _guard(n: Column, o: Column, p: Piece) -> Piece:
@@ -103,9 +156,10 @@ def _guard(n: Column, o: Column, p: Piece) -> Piece:
     )
 
 
-def _scalar(t: str, raw: Column, n: Column, o: Column) -> Piece:
+def _scalar(t: str, raw: Column, n: Column, o: Column, strict: bool = False) -> Piece:
     """Decode a scalar at ``o`` assuming ``n > o`` (the guard is applied by the caller)."""
     w = FIXED_WIDTH.get(t)
+    cut = n < o + w if strict and t in NEVER_FAILS else _false()
     if t == "bool":
         v = F.when(B.slice_bytes(raw, o, 1) != F.lit(bytearray(b"\x00")), F.lit("true")).otherwise(F.lit("false"))
         return Piece(v, v, o + 1, _false())
@@ -123,22 +177,21 @@ def _scalar(t: str, raw: Column, n: Column, o: Column) -> Piece:
         return Piece(v, F.concat(F.lit('"'), v, F.lit('"')), o + 8, n < o + 8)
     if t in ("u128", "i128"):
         v = F.concat(F.lit("0x"), F.lower(B.le_hex_of(raw, o, 16)))
-        return Piece(v, F.concat(F.lit('"'), v, F.lit('"')), o + 16, _false())
+        return Piece(v, F.concat(F.lit('"'), v, F.lit('"')), o + 16, cut)
     if t in ("f32", "f64"):
-        d = B.read_float(raw, o, w)
-        v = _js_number_text(d)
-        js = F.when(F.isnan(d) | (F.abs(d) == F.lit(float("inf"))), F.lit("null")).otherwise(v)
-        return Piece(v, js, o + w, n < o + w)
+        v = number_text(B.read_float(raw, o, w))
+        return Piece(v, B.let(v, lambda x: F.when(x.isin("NaN", "Infinity", "-Infinity"), F.lit("null")).otherwise(x)),
+                     o + w, n < o + w)
     if t == "publicKey":
         v = F.base64(B.slice_bytes(raw, o, 32))
-        return Piece(v, F.concat(F.lit('"'), v, F.lit('"')), o + 32, _false())
+        return Piece(v, F.concat(F.lit('"'), v, F.lit('"')), o + 32, cut)
     if t == "string":
         ln = B.read_unsigned(raw, o, 4)
         ok = (n >= o + 4) & (n >= o + 4 + ln)
         s = F.make_valid_utf8(B.slice_bytes(raw, o + 4, ln).cast("string"))
         v = F.when(ok, s)
         return Piece(v, F.when(ok, _quote(s)).otherwise(F.lit("null")),
-                     F.when(ok, o + 4 + ln).otherwise(o), _false())
+                     F.when(ok, o + 4 + ln).otherwise(o), ~ok if strict else _false())
     # unknown scalar names: NULL, nothing consumed
     return Piece(_null_s(), F.lit("null"), o, _false())
 
@@ -147,61 +200,68 @@ def _fixed_elem_js(t: str, raw: Column, n: Column, cur: Column) -> Column:
     return _scalar(t, raw, n, cur).js
 
 
+def _list_text(count: Column, item) -> Column:
+    """``[item(0),item(1),...]`` of ``count`` items (``sequence`` has no empty form)."""
+    items = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(count, F.lit(1)) - 1), item)
+    return F.when(count > 0, F.concat(F.lit("["), F.array_join(F.slice(items, 1, count.cast("int")), ",", "null"),
+                                      F.lit("]"))).otherwise(F.lit("[]"))
+
+
 def _vec(elem: IdlType, raw: Column, n: Column, o: Column, registry=None) -> Piece:
-    short = n < o + 4
+    start, short = o + 4, n < o + 4
     cnt = B.read_unsigned(raw, o, 4)
-    sdef = _struct_def(elem, registry)
-    if sdef is not None:
-        # typed mode: strict Borsh -- all ``cnt`` items must be present
+    if registry is not None:
+        # typed mode: all ``cnt`` items must be present; items without bytes are counted beyond WRITTEN_OUT
         w = fixed_width(elem, registry)
-        ok = ~short & (n >= o + 4 + cnt * w)
-        start = o + 4
-        items = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(cnt, F.lit(1)) - 1),
-                            lambda i: _struct_js(sdef, raw, n, start + i * w, registry))
-        body = F.when(cnt > 0, F.concat(F.lit("["), F.array_join(F.slice(items, 1, cnt.cast("int")), ","),
-                                        F.lit("]"))).otherwise(F.lit("[]"))
+        ok = ~short & (n >= start + cnt * w)
+        body = _list_text(F.when(ok, cnt) if w else F.least(cnt, F.lit(WRITTEN_OUT + 1)),
+                          lambda i: _strict_js(elem, raw, n, start + i * w, registry))
+        if not w:
+            body = F.when(cnt - 1 > WRITTEN_OUT, F.concat(F.lit('{"item":'), _strict_js(elem, raw, n, start, registry),
+                                                          F.lit(',"count":'), cnt.cast("string"), F.lit("}"))).otherwise(body)
         text = F.when(ok, body)
-        return Piece(text, F.when(ok, body).otherwise(F.lit("null")), F.when(ok, start + cnt * w).otherwise(o),
-                     F.when(short, _false()).otherwise(~ok))
-    if isinstance(elem, dict) and "defined" in elem:
-        # items are read while the cursor is inside the data; it never moves
-        k = F.when(n > o + 4, F.least(cnt, F.lit(MAX_ZERO_WIDTH_ITEMS))).otherwise(F.lit(0))
-        body = F.when(k > 0, F.concat(F.lit("["), F.repeat(F.lit("null,"), k - 1), F.lit("null]"))) \
-            .otherwise(F.lit("[]"))
+        return Piece(text, F.when(ok, body).otherwise(F.lit("null")), F.when(ok, start + cnt * w).otherwise(o), ~ok)
+    if isinstance(elem, dict):
+        # items of a defined type: read while the cursor is inside the data; it never moves
+        k = F.when(n > start, cnt).otherwise(F.lit(0))
+        body = (F.when(k - 1 > WRITTEN_OUT, F.concat(F.lit('{"item":null,"count":'), k.cast("string"), F.lit("}")))
+                .when(k > 0, F.concat(F.lit("["), F.repeat(F.lit("null,"), (k - 1).cast("int")), F.lit("null]")))
+                .otherwise(F.lit("[]")))
         text = F.when(short, _null_s()).otherwise(body)
         return Piece(text, F.when(short, F.lit("null")).otherwise(_quote(body)),
-                     F.when(short, o).otherwise(o + 4), _false())
+                     F.when(short, o).otherwise(start), _false())
     w = FIXED_WIDTH[elem]
-    avail = n - (o + 4)
+    avail = n - start
     k = F.least(cnt, F.greatest(F.ceil(avail / F.lit(w)).cast("bigint"), F.lit(0)))
     partial = (k * w > avail) if elem not in NEVER_FAILS else _false()
-    start = o + 4
-    items = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(k, F.lit(1)) - 1),
-                        lambda i: _fixed_elem_js(elem, raw, n, start + i * w))
-    body = F.when(k > 0, F.concat(F.lit("["), F.array_join(F.slice(items, 1, k.cast("int")), ",", "null"),
-                                  F.lit("]"))).otherwise(F.lit("[]"))
+    body = _list_text(k, lambda i: _fixed_elem_js(elem, raw, n, start + i * w))
     ok = ~short & ~partial
     text = F.when(ok, body)
     return Piece(text, F.when(ok, _quote(body)).otherwise(F.lit("null")),
-                 F.when(ok, o + 4 + k * w).otherwise(o), F.when(short, _false()).otherwise(partial))
+                 F.when(ok, start + k * w).otherwise(o), F.when(short, _false()).otherwise(partial))
 
 
-def _array(elem: IdlType, count: int, raw: Column, n: Column, o: Column) -> Piece:
-    if isinstance(elem, dict) and "defined" in elem:
+def _array(elem: IdlType, count: int, raw: Column, n: Column, o: Column, registry=None) -> Piece:
+    size = F.lit(count).cast("bigint")
+    if registry is not None:
+        w = fixed_width(elem, registry)
+        ok = n >= o + count * w
+        body = _list_text(size, lambda i: _strict_js(elem, raw, n, o + i * w, registry))
+        return Piece(F.when(ok, body), F.when(ok, body).otherwise(F.lit("null")),
+                     F.when(ok, o + count * w).otherwise(o), ~ok)
+    if isinstance(elem, dict):
         body = F.lit("[" + ",".join(["null"] * count) + "]")
         return Piece(body, _quote(body), o, _false())
     w = FIXED_WIDTH[elem]
     avail = n - o
     if elem in NEVER_FAILS:
-        k = F.least(F.lit(count), F.ceil(avail / F.lit(w)).cast("bigint"))
+        k = F.least(size, F.ceil(avail / F.lit(w)).cast("bigint"))
         threw = _false()
     else:
         full = F.floor(avail / F.lit(w)).cast("bigint")
-        k = F.least(F.lit(count), full)
-        threw = (full < F.lit(count)) & (avail % F.lit(w) != 0)
-    parts = [F.when(F.lit(i) < k, _fixed_elem_js(elem, raw, n, o + i * w)).otherwise(F.lit("null"))
-             for i in range(count)]
-    body = F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")) if count else F.lit("[]")
+        k = F.least(size, full)
+        threw = (full < size) & (avail % F.lit(w) != 0)
+    body = _list_text(size, lambda i: F.when(i < k, _fixed_elem_js(elem, raw, n, o + i * w)).otherwise(F.lit("null")))
     text = F.when(threw, _null_s()).otherwise(body)
     return Piece(text, F.when(threw, F.lit("null")).otherwise(_quote(body)), o + k * w, threw)
 
@@ -210,13 +270,8 @@ def _struct_def(t: IdlType, registry):
     """The registry struct of a ``defined`` type in typed mode, else None."""
     if registry is None or not (isinstance(t, dict) and "defined" in t):
         return None
-    name = t["defined"] if isinstance(t["defined"], str) else t["defined"].get("name")
-    td = registry(name)
-    if td is None or td.kind != "struct":
-        return None
-    if fixed_width(t, registry) is None:
-        raise ValueError(f"typed decode of variable-width struct {name!r} is not supported")
-    return td
+    td = registry(defined_name(t))
+    return td if td is not None and td.kind == "struct" else None
 
 
 def fixed_width(t: IdlType, registry=None) -> int | None:
@@ -227,9 +282,8 @@ def fixed_width(t: IdlType, registry=None) -> int | None:
         w = fixed_width(t["array"][0], registry)
         return None if w is None else w * int(t["array"][1])
     if "defined" in t and registry is not None:
-        name = t["defined"] if isinstance(t["defined"], str) else t["defined"].get("name")
-        td = registry(name)
-        if td is None or td.kind != "struct":
+        td = _struct_def(t, registry)
+        if td is None:
             return None
         ws = [fixed_width(f.type, registry) for f in td.fields]
         return None if any(w is None for w in ws) else sum(ws)
@@ -261,12 +315,14 @@ def _struct_js(td, raw: Column, n: Column, o: Column, registry) -> Column:
 def field_piece(t: IdlType, raw: Column, n: Column, o: Column, registry=None) -> Piece:
     """Decode one field of type ``t`` at offset ``o`` (guard included).
 
-    ``registry`` (name -> type definition) switches ``defined`` types to typed
-    mode: fixed-width structs are decoded (strictly: all bytes present) as JSON
-    objects instead of the stored mode's NULL that consumes nothing.
+    ``registry`` (name -> type definition) switches to typed mode: fixed-width
+    structs and enums without fields are decoded, as JSON objects and as their
+    variant's name, instead of the stored mode's NULL that consumes nothing;
+    every value is read strictly (all bytes present).
     """
+    strict = registry is not None
     if isinstance(t, str):
-        return _guard(n, o, _scalar(t, raw, n, o))
+        return _guard(n, o, _scalar(t, raw, n, o, strict))
     if "option" in t:
         inner = field_piece(t["option"], raw, n, o + 1, registry)
         none = B.slice_bytes(raw, o, 1) == F.lit(bytearray(b"\x00"))
@@ -278,7 +334,11 @@ def field_piece(t: IdlType, raw: Column, n: Column, o: Column, registry=None) ->
         )
         return _guard(n, o, p)
     if "defined" in t:
-        sdef = _struct_def(t, registry)
+        edef, sdef = _enum_def(t, registry), _struct_def(t, registry)
+        if edef is not None:
+            names = F.array(*[F.lit(v) for v in edef.variants])
+            v = F.get(names, B.read_unsigned(raw, o, 1).cast("int"))
+            return _guard(n, o, Piece(v, F.coalesce(_quote(v), F.lit("null")), o + 1, v.isNull()))
         if sdef is None:
             return Piece(_null_s(), F.lit("null"), o, _false())
         w = fixed_width(t, registry)
@@ -290,7 +350,7 @@ def field_piece(t: IdlType, raw: Column, n: Column, o: Column, registry=None) ->
         return _guard(n, o, _vec(t["vec"], raw, n, o, registry))
     if "array" in t:
         elem, count = t["array"]
-        return _guard(n, o, _array(elem, int(count), raw, n, o))
+        return _guard(n, o, _array(elem, int(count), raw, n, o, registry))
     return Piece(_null_s(), F.lit("null"), o, _false())
 
 
@@ -305,22 +365,24 @@ def decode_fields(df: DataFrame, raw_col: str, fields: list[Field] | tuple[Field
     themselves. Temporary offset columns are dropped.
     """
     fields = list(fields)
-    if not all(is_native(f.type) for f in fields):
-        from progscan.plans.decode_fallback import decode_with_python
-
-        return decode_with_python(df, raw_col, fields, out_names, start, js_col, js_values)
+    jnames = js_values or ([f"__fj{i}" for i in range(len(fields))] if js_col else None)
+    if not all(is_native(f.type, registry) for f in fields):
+        df = decode_in_batches(df, raw_col, fields, out_names, start, jnames, registry)
+        if js_col:
+            df = df.withColumn(js_col, F.when(F.col(raw_col).isNotNull(), json_object([f.name for f in fields], jnames)))
+        return df.drop(*jnames) if js_col and not js_values else df
     raw = F.col(raw_col)
     n = F.length(raw).cast("bigint")
     off = "__off"
     df = df.withColumn(off, F.lit(start).cast("bigint"))
-    jnames = js_values or ([f"__fj{i}" for i in range(len(fields))] if js_col else None)
     for i, (f, name) in enumerate(zip(fields, out_names)):
         p = field_piece(f.type, raw, n, F.col(off), registry)
         # value first (it reads the old offset), then move the offset
         df = df.withColumn(name, F.when(p.threw, _null_s()).otherwise(p.text))
         if jnames:
             df = df.withColumn(jnames[i], F.when(p.threw, F.lit("null")).otherwise(p.js))
-        df = df.withColumn(off, F.when(p.threw, F.col(off)).otherwise(p.end).cast("bigint"))
+        # typed mode reads nothing after a field that fails
+        df = df.withColumn(off, F.when(p.threw, F.col(off) if registry is None else n).otherwise(p.end).cast("bigint"))
     if js_col:
         df = df.withColumn(js_col, json_object([f.name for f in fields], jnames))
         if not js_values:
@@ -361,8 +423,7 @@ def spark_type(t: IdlType, types_registry=None) -> T.DataType:
     if "array" in t:
         return T.ArrayType(spark_type(t["array"][0], types_registry))
     if "defined" in t:
-        name = t["defined"] if isinstance(t["defined"], str) else t["defined"].get("name")
-        td = types_registry(name) if types_registry else None
+        td = types_registry(defined_name(t)) if types_registry else None
         if td is None or td.kind != "struct":
             return T.StringType()
         return T.StructType([T.StructField(f.name, spark_type(f.type, types_registry)) for f in td.fields])

@@ -21,6 +21,7 @@ from progscan.functions.codec import (
     table_name_py,
 )
 
+# Field names of the classes' documents and the type names are fixed: they are the document format.
 IdlType = Any  # str | {"vec": T} | {"option": T} | {"defined": name} | {"array": [T, n]}
 
 SCALAR_TYPES = ("bool", "u8", "u16", "u32", "u64", "u128", "i8", "i16", "i32", "i64", "i128",
@@ -58,6 +59,7 @@ class StructDef:
     fields: tuple[Field, ...]
     kind: str = "struct"
     variants: tuple[str, ...] = ()
+    variant_fields: tuple[tuple[Field, ...], ...] = ()
 
 
 @dataclass
@@ -76,6 +78,11 @@ class Idl:
         def fields(fs):
             return tuple(Field(f["name"], f["type"]) for f in (fs or []))
 
+        def variant(fs):
+            """Named fields, or plain types numbered from 0."""
+            return tuple(Field(f["name"], f["type"]) if isinstance(f, dict) and "type" in f else Field(str(i), f)
+                         for i, f in enumerate(fs or []))
+
         ixs = tuple(
             Instruction(
                 ix["name"],
@@ -89,7 +96,8 @@ class Idl:
                      for a in (d.get("accounts") or []))
         types = tuple(
             StructDef(t["name"], fields(t.get("type", {}).get("fields")), t.get("type", {}).get("kind", "struct"),
-                      tuple(v["name"] for v in t.get("type", {}).get("variants", []) or []))
+                      tuple(v["name"] for v in t.get("type", {}).get("variants", []) or []),
+                      tuple(variant(v.get("fields")) for v in t.get("type", {}).get("variants", []) or []))
             for t in (d.get("types") or [])
         )
         evs = tuple(StructDef(e["name"], fields(e.get("fields"))) for e in (d.get("events") or []))
@@ -154,6 +162,11 @@ class Idl:
         return [(a.name, discriminator_py(DISC_PREFIX_ACCOUNT, a.name)) for a in self.accounts]
 
 
+def defined_name(t: dict) -> str:
+    """The name in a ``defined`` type (written as text, or as an object with a name)."""
+    return t["defined"] if isinstance(t["defined"], str) else t["defined"].get("name")
+
+
 def snake_case(name: str) -> str:
     import re
 
@@ -174,23 +187,7 @@ def type_label(t: IdlType) -> str:
     if "option" in t:
         return f"option<{type_label(t['option'])}>"
     if "defined" in t:
-        d = t["defined"]
-        return f"defined<{d if isinstance(d, str) else d.get('name')}>"
+        return f"defined<{defined_name(t)}>"
     if "array" in t:
         return f"array<{type_label(t['array'][0])},{t['array'][1]}>"
     return "unknown"
-
-
-def storage_type(t: IdlType) -> str:
-    """Storage class of an IDL type in the reference's DDL (INTEGER or TEXT)."""
-    if t == "bool":
-        return "INTEGER"
-    if t in ("string", "publicKey"):
-        return "TEXT"
-    if t in ("u64", "u128", "i64", "i128"):
-        return "TEXT"
-    if isinstance(t, str):
-        return "INTEGER"
-    if "option" in t:
-        return storage_type(t["option"])
-    return "TEXT"

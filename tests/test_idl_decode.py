@@ -8,7 +8,8 @@ from progscan.functions.codec import (
 )
 from progscan.operators import ingest as I
 from progscan.plans.decode import decode_fields
-from progscan.plans.idl import Field, Idl, storage_type
+from progscan.operators.versions import storage_type
+from progscan.plans.idl import Field, Idl
 
 IDL_TRANSFER = {
     "name": "test_program",
@@ -34,13 +35,13 @@ def test_table_names():
     assert normalise_name_py("A b-C") == "a_b_c"
 
 
-def test_storage_types():
-    assert storage_type("bool") == "INTEGER"
-    assert storage_type("u64") == "TEXT"
-    assert storage_type("u32") == "INTEGER"
-    assert storage_type({"option": "u64"}) == "TEXT"
-    assert storage_type({"vec": "u8"}) == "TEXT"
-    assert storage_type("publicKey") == "TEXT"
+def test_storage_types(spark):
+    of = {"bool": "INTEGER", "u64": "TEXT", "u32": "INTEGER", "f64": "INTEGER", "i128": "TEXT", "publicKey": "TEXT",
+          "string": "TEXT", '{"option":"u64"}': "TEXT", '{"option":"u16"}': "INTEGER", '{"vec":"u8"}': "TEXT",
+          '{"option":{"option":"i8"}}': "INTEGER", '{"option":{"vec":"u8"}}': "TEXT", '{"defined":"Side"}': "TEXT",
+          '{"option":{"defined":"u8"}}': "TEXT", '{"array":["u8",4]}': "TEXT"}
+    rows = spark.createDataFrame([(t,) for t in of], "t string").select("t", storage_type(F.col("t")).alias("s")).collect()
+    assert {r["t"]: r["s"] for r in rows} == of
 
 
 def test_match_and_decode(spark):
