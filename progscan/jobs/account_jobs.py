@@ -8,7 +8,9 @@ from progscan.jobs._base import ACT, IDL, account_updates, job, raw_accounts
 from progscan.operators import accounts as A
 from progscan.operators import query as Q
 from progscan.operators.ingest import decode_accounts
+from progscan.session import scratch_dir
 from progscan.sources.staging import staged
+from progscan.streaming import pipelines as P
 
 _CUST_COLS = ["pubkey", "slot", "custkey", "nationkey", "balance", "segment"]
 
@@ -153,3 +155,47 @@ def acc_merge_pg(spark, sf):
                                       .otherwise(F.col("segment")))
     m = S.merge_present(h, ["pubkey"], ["slot", "seq"], ["custkey", "nationkey", "balance", "segment"])
     return m.select(*_CUST_COLS)
+
+
+SWEEP_SLOT = 1_000_000_000
+
+
+@job("acc_snapshot_incremental", _SNAP_SQL)
+def acc_snapshot_incremental(spark, sf):
+    """B-4 kept up to date: the changes arrive in four batches, each adding to the snapshot's buckets that it touches;
+    buckets are merged on the way. Equal to the snapshot recomputed from all history."""
+    sink = scratch_dir(spark, "snapshot")
+    updates = account_updates(spark, sf)
+    for n in range(4):
+        hist = decode_accounts(updates.where(F.col("slot") % 4 == n), IDL, ["Customer"]).drop("data")
+        P.account_snapshot(spark, sink, 8).apply(hist, n, compact_after=2)
+    return P.account_snapshot(spark, sink, 8).read().select(*_CUST_COLS)
+
+
+_SWEPT_SQL = f"""
+SELECT account_type, pubkey, CAST({SWEEP_SLOT} AS BIGINT) AS slot, custkey, suppkey, nationkey, balance, segment FROM (
+  SELECT 'Customer' AS account_type, pubkey, custkey, CAST(NULL AS VARCHAR) AS suppkey, nationkey, balance, segment
+  FROM ({_CUST_SQL}) c
+  UNION ALL
+  SELECT 'Supplier', 's' || CAST(s_suppkey AS VARCHAR), NULL, CAST(s_suppkey AS VARCHAR), CAST(s_nationkey AS VARCHAR),
+         CAST(CAST(round(s_acctbal * 100) AS BIGINT) AS VARCHAR), NULL FROM supplier) d"""
+_UPDATES_SQL = f"""
+SELECT 'Customer' AS account_type, pubkey, slot, custkey, CAST(NULL AS VARCHAR) AS suppkey, nationkey, balance, segment
+FROM ({_HIST_SQL}) h"""
+
+
+@job("acc_resync", f"""
+SELECT 'history' AS kept_in, * FROM ({_UPDATES_SQL}) u UNION ALL SELECT 'history', * FROM ({_SWEPT_SQL}) s
+UNION ALL
+SELECT 'snapshot', * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY account_type, pubkey ORDER BY slot DESC) AS rn
+  FROM (SELECT * FROM ({_UPDATES_SQL}) u UNION ALL SELECT * FROM ({_SWEPT_SQL}) s) b) x WHERE rn = 1""")
+def acc_resync(spark, sf):
+    """J-8 + A-8: account changes, then a sweep of the whole dump: both write history and snapshot, the sweep at its
+    slot; accounts that the dump lacks keep their last state."""
+    sink = scratch_dir(spark, "resync")
+    P.process_accounts(account_updates(spark, sf), 0, sink, IDL, 8)
+    P.resync_accounts(raw_accounts(spark, sf), SWEEP_SLOT, 1, sink, IDL, 8)
+    cols = ["account_type", "pubkey", "slot", "custkey", "suppkey", "nationkey", "balance", "segment"]
+    history_rows = P.read_stored(spark, sink, "history").select(F.lit("history").alias("kept_in"), *cols)
+    return history_rows.unionByName(P.account_snapshot(spark, sink, 8).read().select(F.lit("snapshot").alias("kept_in"), *cols))

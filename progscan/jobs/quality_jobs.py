@@ -10,6 +10,9 @@ from progscan.operators import quality as Qa
 from progscan.operators import store as S
 from progscan.operators.ingest import decode_accounts
 from progscan.sources import derived as D
+from progscan.streaming import seen_slots
+
+SEEN_BUCKET = 4096
 
 
 def _settlements(spark, sf):
@@ -35,6 +38,15 @@ def gap_by_slot(spark, sf):
     return Qa.gaps(listing, processed, on="slot").select("signature", "slot")
 
 
+@job("gap_by_interval",
+     f"SELECT signature, slot FROM ({STL}) s WHERE slot NOT IN "
+     f"(SELECT slot FROM ({STL}) p WHERE l_returnflag <> 'R')")
+def gap_by_interval(spark, sf):
+    """H-2 / J-5: as gap_by_slot, with the seen slots kept as merged intervals (a range anti-join by carry)."""
+    seen = seen_slots.of_slots(_settlements(spark, sf).where("ok"), SEEN_BUCKET)
+    return seen_slots.gaps(D.signature_listing(spark, sf), seen, SEEN_BUCKET).select("signature", "slot")
+
+
 @job("gap_by_signature",
      f"SELECT signature, slot FROM ({STL}) s WHERE signature NOT IN "
      f"(SELECT signature FROM ({STL}) p WHERE l_returnflag <> 'R')")

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from progscan.jobs._base import job
+from progscan.functions.binary import le_hex, utf8_len_prefixed_hex
+from progscan.functions.codec import DISC_PREFIX_INSTRUCTION, discriminator_hex
+from progscan.jobs._base import ACT, job
 from progscan.jobs.decode_jobs import idl_docs_sql
 from progscan.operators import versions as V
+from progscan.plans.idl import Idl
 from progscan.sources import derived as D
 
 EXISTING_BEFORE = 1000   # slots below this were registered by an earlier run
@@ -167,3 +170,39 @@ SELECT program_id, slot, idl_hash, prev_hash FROM (
 def idl_upgrades(spark, sf):
     """I-4: upgrade detection -- a deployment whose hash differs from the current one."""
     return V.upgrades(D.idl_deployments(spark, sf)).select("program_id", "slot", "idl_hash", "prev_hash")
+
+
+UPGRADE_SLOT = 6000
+_ARGS_BEFORE = [{"name": "amount", "type": "u64"}, {"name": "k", "type": "u16"}]
+_ARGS_AFTER = [{"name": "userId", "type": "u32"}, {"name": "label", "type": "string"}, {"name": "amount", "type": "u64"}]
+
+
+def _version(args: list) -> Idl:
+    return Idl.from_dict({"name": "activity", "instructions": [
+        {"name": t, "accounts": [{"name": "user"}], "args": args} for t in D.EVENT_TYPES]})
+
+
+@job("decode_as_of", f"""
+SELECT event_type AS ix_name, signature, slot, 'u' || CAST(user_id AS VARCHAR) AS account_user,
+       CAST(amount AS VARCHAR) AS arg_amount, CASE WHEN slot < {UPGRADE_SLOT} THEN CAST(k AS VARCHAR) END AS arg_k,
+       CASE WHEN slot >= {UPGRADE_SLOT} THEN CAST(user_id AS VARCHAR) END AS arg_userid,
+       CASE WHEN slot >= {UPGRADE_SLOT} THEN 'l' || CAST(k AS VARCHAR) END AS arg_label,
+       CAST(CASE WHEN slot < {UPGRADE_SLOT} THEN 0 ELSE {UPGRADE_SLOT} END AS BIGINT) AS version_slot
+FROM ({ACT}) a WHERE event_type <> 'error'""")
+def decode_as_of(spark, sf):
+    """L-3: a program upgraded at a slot to other arguments; each instruction is decoded with the version valid at
+    its slot, in one scan."""
+    src = D.activity_columns(spark.read.parquet(f"{sf}/events.parquet"))
+    disc = discriminator_hex(DISC_PREFIX_INSTRUCTION, F.col("event_type"))
+    before = F.concat(disc, le_hex(F.col("amount"), 8), le_hex(F.col("k"), 2))
+    after = F.concat(disc, le_hex(F.col("user_id"), 4), utf8_len_prefixed_hex(F.concat(F.lit("l"), F.col("k").cast("string"))),
+                     le_hex(F.col("amount"), 8))
+    data = F.base64(F.unhex(F.when(F.col("slot") < UPGRADE_SLOT, before).otherwise(after)))
+    tx = D.activity_transactions(spark, sf).join(src.select("signature", data.alias("data")), "signature")
+    ix = F.transform("transaction.message.instructions", lambda x: F.when(
+        x["programId"] == D.PROGRAM_ID, x.withField("data", F.col("data"))).otherwise(x))
+    tx = tx.withColumn("transaction", F.col("transaction").withField("message.instructions", ix)).drop("data")
+    versions = [(0, _version(_ARGS_BEFORE)), (UPGRADE_SLOT, _version(_ARGS_AFTER))]
+    out = V.decode_as_of(tx, versions, D.PROGRAM_ID)
+    return out.select("ix_name", "signature", "slot", "account_user", "arg_amount", "arg_k", "arg_userid", "arg_label",
+                      "version_slot")

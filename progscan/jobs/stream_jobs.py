@@ -18,7 +18,9 @@ from progscan.jobs._base import (
 )
 from progscan.jobs.account_jobs import _CUST_COLS, _SNAP_SQL
 from progscan.operators import accounts as A
+from progscan.plans.idl import Idl
 from progscan.session import scratch_dir
+from progscan.sources import derived as D
 from progscan.streaming import pipelines as P
 
 FILES = 6
@@ -46,20 +48,86 @@ def stream_ingest(spark, sf):
     return _run_tx_stream(spark, transactions(spark, sf), scratch_dir(spark, "stream_ingest"))
 
 
-@job("stream_dedup", f"SELECT * FROM ({IX_ACT}) x")
+@job("stream_dedup", f"SELECT * FROM {IX_ALL} x")
 def stream_dedup(spark, sf):
     """J-4: unbounded signature dedup across micro-batches -- the whole input arrives twice."""
     base = scratch_dir(spark, "stream_dedup")
-    tx = activity_transactions(spark, sf)
+    tx = transactions(spark, sf)
     src = f"{base}/source"
     tx.repartition(FILES, "slot").write.mode("overwrite").parquet(src)
     tx.repartition(FILES, "slot").write.mode("append").parquet(src)  # replayed copies
     sink = f"{base}/sink"
-    q = P.start_transactions(spark, src, sink, f"{base}/offsets", IDL, PID, files_per_trigger=FILES_PER_TRIGGER)
+    q = P.start_transactions(spark, src, sink, f"{base}/offsets", IDL, PID, files_per_trigger=2 * FILES_PER_TRIGGER)
     q.awaitTermination()
     return P.read_stored(spark, sink).select(*_COLS)
 
 
+@job("stream_dedup_compacted", f"SELECT * FROM ({IX_ACT}) x")
+def stream_dedup_compacted(spark, sf):
+    """J-4 + B-1: four batches of which each repeats part of the one before, with the runs of the key index merged
+    after every second batch; the last batch finds its copies in merged runs."""
+    base = scratch_dir(spark, "stream_compacted")
+    tx = activity_transactions(spark, sf)
+    for n in range(4):
+        # a fifth of the slots stands in every batch, each other slot in one batch and the next
+        part = tx.where((F.col("slot") % 5 == 0) | (F.col("slot") % 4).isin(n, (n + 1) % 4))
+        P.process_transactions(part, n, f"{base}/sink", IDL, PID, fanout=2)
+    return P.read_stored(spark, f"{base}/sink").select(*_COLS)
+
+
+DROPPED = "slot % 5 = 0"
+
+
+@job("stream_gap_fill", f"SELECT * FROM {IX_ALL} x")
+def stream_gap_fill(spark, sf):
+    """H-2 / J-1: a stream whose source lacks a fifth of the slots; after each micro-batch what the listing has and
+    the stream has not is fetched from the archive. The end is the full ingest, and a replayed fill adds nothing."""
+    base = scratch_dir(spark, "stream_gap_fill")
+    tx = transactions(spark, sf)
+    src, sink, listing = f"{base}/source", f"{base}/sink", f"{base}/listing"
+    for n, part in enumerate((tx.where(F.col("slot") < BACKFILL_BELOW), tx.where(F.col("slot") >= BACKFILL_BELOW))):
+        part.where(f"NOT ({DROPPED})").repartition(FILES, "slot").write.mode("append").parquet(src)
+        part.select("signature", "slot").write.mode("append").parquet(listing)
+        q = P.start_transactions(spark, src, sink, f"{base}/offsets", IDL, PID, files_per_trigger=FILES, listing=listing,
+                                 gap_every=1, gap_requires_progress=False, archive=tx)
+        q.awaitTermination()
+    P.fill_gaps(spark, n, sink, IDL, PID, tx)
+    return P.read_stored(spark, sink).select(*_COLS)
+
+
+_LATE_HALF = "slot % 3 = 1"
+
+
+@job("stream_late", f"""
+SELECT ix_name, signature, slot FROM {IX_ALL} x
+WHERE {_LATE_HALF} AND slot <= (SELECT MAX(slot) FROM ({TX}) t WHERE ok AND NOT ({_LATE_HALF}))""")
+def stream_late(spark, sf):
+    """J-6: a third of the slots arrives in a second batch; its rows at or below the first one's checkpoint are
+    stored with the late flag."""
+    sink = f"{scratch_dir(spark, 'stream_late')}/sink"
+    tx = transactions(spark, sf)
+    P.process_transactions(tx.where(f"NOT ({_LATE_HALF})"), 0, sink, IDL, PID)
+    P.process_transactions(tx.where(_LATE_HALF), 1, sink, IDL, PID)
+    return P.read_stored(spark, sink).where("late").select("ix_name", "signature", "slot")
+
+
+OLD_BELOW = 5000
+_OLD_IDL = Idl.from_dict({**D.ACTIVITY_IDL_DOC, "version": "0.0.9", "instructions": [
+    {**ix, "args": [a for a in ix["args"] if a["name"] != "userId"]} for ix in D.ACTIVITY_IDL_DOC["instructions"]]})
+
+
+@job("ix_evolved_read", f"""
+SELECT * REPLACE (CASE WHEN slot >= {OLD_BELOW} THEN arg_userid END AS arg_userid) FROM ({IX_ACT}) x""")
+def ix_evolved_read(spark, sf):
+    """I-5: one batch stored under an IDL without the argument userId, one under the IDL with it: the table reads
+    with the columns of both, from its schema manifest; older rows have no value."""
+    sink = f"{scratch_dir(spark, 'evolved')}/sink"
+    tx = activity_transactions(spark, sf)
+    P.process_transactions(tx.where(F.col("slot") < OLD_BELOW), 0, sink, _OLD_IDL, PID)
+    P.process_transactions(tx.where(F.col("slot") >= OLD_BELOW), 1, sink, IDL, PID)
+    return P.read_stored(spark, sink).select(*_COLS)
+
+
 @job("stream_after_backfill", f"SELECT * FROM {IX_ALL} x")
 def stream_after_backfill(spark, sf):
     """J-3: batch backfill of the older slots, then the stream over everything on the same sink."""

@@ -101,13 +101,14 @@ def definitions(spark: SparkSession, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def match_definitions(rows: DataFrame, data_col: Column, defs: DataFrame, name_col: str,
-                      encoding: str = "base64") -> DataFrame:
+                      encoding: str = "base64", version: Column | None = None) -> DataFrame:
     """E-5 + C-4 + E-4/H-1: text -> bytes, length >= 8, discriminator lookup.
 
     ``encoding="base58"`` reads the payload the way parsed-transaction RPC
     returns it (Q-1; Arrow-batched helper, no SQL form). ``defs`` is one IDL's
     definition list, so its size is bounded by the document, not by the data;
-    broadcasting it is always safe.
+    broadcasting it is always safe. With a ``version`` (an expression over the
+    rows) the definitions carry a ``version`` column that must equal it.
     """
     if encoding == "base58":
         from progscan.functions.base58 import base58_decode
@@ -121,7 +122,10 @@ def match_definitions(rows: DataFrame, data_col: Column, defs: DataFrame, name_c
     raw = rows.withColumn("raw", raw_col)
     raw = raw.withColumn("disc", F.lower(F.hex(F.substring("raw", 1, 8))))
     d = defs.withColumnRenamed("name", name_col)
-    return raw.join(F.broadcast(d), "disc", "inner").drop("disc")
+    on = ["disc"]
+    if version is not None:
+        raw, on = raw.withColumn("version", version), ["disc", "version"]
+    return raw.join(F.broadcast(d), on, "inner").drop(*on)
 
 
 def decode_by_definition(df: DataFrame, name_col: str, defs: "OrderedDict[str, list[Field]]",
@@ -175,7 +179,8 @@ MAX_LAYOUTS_PER_PROJECTION = 12
 
 def decode_instructions(tx: DataFrame, idl: Idl, program_id: str, accounts: str = "transaction",
                         encoding: str = "base64", name_case: str = "as_is", mode: str = "stored",
-                        max_layouts: int = MAX_LAYOUTS_PER_PROJECTION) -> DataFrame:
+                        max_layouts: int = MAX_LAYOUTS_PER_PROJECTION, version: Column | None = None,
+                        pairs: list[tuple] | None = None) -> DataFrame:
     """Instruction rows of ``program_id`` decoded with ``idl`` (all types in one frame).
 
     Columns: ix_name, id, signature, slot, block_time, cpi_depth, parent_ix_index,
@@ -188,11 +193,17 @@ def decode_instructions(tx: DataFrame, idl: Idl, program_id: str, accounts: str
     rows are written once, partitioned by instruction, to the shared checkpoint
     folder; each group of layouts then decodes only its own partitions and the
     groups are unioned -- one extra write, still one read of every row.
+
+    ``version`` and ``pairs`` ((name, discriminator, version) triples) are those
+    of ``versions.decode_as_of``.
     """
     spark = tx.sparkSession
     rows = program_instructions(tx, program_id)
-    defs = definitions(spark, idl.instruction_discriminators(name_case))
-    m = match_definitions(rows, F.col("data"), defs, "ix_name", encoding)
+    if version is None:
+        defs = definitions(spark, idl.instruction_discriminators(name_case))
+    else:
+        defs = spark.createDataFrame(pairs, DEFS_SCHEMA + ", version int")
+    m = match_definitions(rows, F.col("data"), defs, "ix_name", encoding, version)
     registry = idl.type_def if mode == "typed" else None
     all_defs = OrderedDict((ix.name, list(ix.args)) for ix in idl.instructions)
     groups = _layout_groups(all_defs, max_layouts)

@@ -1,12 +1,11 @@
 """Completeness and health: gaps, lag, late rows, counters, histograms.
 
-All of these are aggregates or anti joins; the only windows run over
-tables whose size is bounded by time (one row per day), never by data.
+All of these are aggregates or joins; none needs a window over a whole table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values that must equal the reference's for the same results.
@@ -36,19 +35,34 @@ def slot_lag(listing: DataFrame, processed: DataFrame) -> DataFrame:
                              F.col("chain_slot") - F.col("last_processed_slot")).alias("slot_lag"))
 
 
+#: Prefixes of the batch order are put together from blocks of 1, 2, 4, ... batches, up to 2^40 of them.
+LEVELS = 41
+
+
 def late_rows(rows: DataFrame, batch_col: str, ok_col: str = "ok") -> DataFrame:
     """J-6: rows whose slot is at or below the checkpoint left by earlier batches.
 
     The checkpoint before batch b is the max slot of the ok rows of batches
-    < b: a per-batch max (one row per batch), a running max over that small
-    table, and a join back on the batch.
+    < b. It needs no window over all batches: each batch's max counts for its
+    block of every dyadic size, and the batches before b are those of at most
+    ``LEVELS`` such blocks (one per bit of b), which meet in an equi-join. Batch
+    numbers are integers; those whose batches before have no ok row, and rows
+    without a batch, are never late.
     """
-    # one row per batch: max ok slot (NULL when the batch had none)
-    per = rows.groupBy(batch_col).agg(F.max(F.when(F.col(ok_col), F.col("slot"))).alias("__m"))
-    w = Window.orderBy(batch_col).rowsBetween(Window.unboundedPreceding, -1)
-    ck = per.select(batch_col, F.max("__m").over(w).alias("checkpoint"))
-    j = rows.join(ck, batch_col, "inner")
-    return j.where(F.col("slot") <= F.col("checkpoint"))
+    b = F.col(batch_col).cast("bigint") + F.lit(1 << 39)
+    shift = lambda x, level: F.expr(f"shiftright({x}, {level})")
+    per = rows.where(F.col(batch_col).isNotNull()).groupBy(batch_col).agg(
+        F.max(F.when(F.col(ok_col), F.col("slot"))).alias("__m")).withColumn("__n", b)
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    blocks = (per.where("__m IS NOT NULL").select("__n", "__m", F.explode(levels).alias("__level"))
+              .select("__level", shift("__n", "__level").alias("__block"), "__m")
+              .groupBy("__level", "__block").agg(F.max("__m").alias("__m")))
+    # a set bit of b stands for the block of that size just before b's own, once the lower bits are cut off
+    cover = (per.select(batch_col, "__n", F.explode(levels).alias("__level"))
+             .where(shift("__n", "__level").bitwiseAND(F.lit(1)) == 1)
+             .select(batch_col, "__level", (shift("__n", "__level") - 1).alias("__block")))
+    ck = (cover.join(blocks, ["__level", "__block"]).groupBy(batch_col).agg(F.max("__m").alias("checkpoint")))
+    return rows.join(ck, batch_col, "inner").where(F.col("slot") <= F.col("checkpoint"))
 
 
 def labelled_counts(df: DataFrame, metric: str, label_col: str) -> DataFrame:

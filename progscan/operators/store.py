@@ -74,21 +74,53 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     w.parquet(path)
 
 
+SCHEMA_FOLDER = "_schema"
+
+
+def _note_schema(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """I-5: keep the columns that any batch ever had, so that readers need no file footers."""
+    from progscan.sources import manifest as M
+
+    spark, folder = df.sparkSession, f"{path.rstrip('/')}/{SCHEMA_FOLDER}"
+    found = M.latest(spark, folder)
+    version, known = found if found else (0, {"columns": [], "partitions": ["batch_id", *partition_by]})
+    have = {c["name"]: c["type"] for c in known["columns"]}
+    now = df.schema.jsonValue()["fields"]
+    for c in now:
+        if have.get(c["name"], c["type"]) != c["type"]:
+            raise ValueError(f"{path}: column {c['name']} is stored as {have[c['name']]}, not {c['type']}")
+    added = [{**c, "nullable": True} for c in now if c["name"] not in have]
+    if added or not found:
+        M.publish(spark, folder, version + 1, {**known, "columns": known["columns"] + added})
+
+
 def overwrite_batch(df: DataFrame, path: str, batch_id: int, partition_by: list[str] | None = None) -> None:
     """Idempotent micro-batch write: each batch owns ``batch_id=<n>``; a replay rewrites it."""
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+    _note_schema(df, path, partition_by or [])
 
 
 def read_table(spark, path: str, schema=None) -> DataFrame | None:
-    """Read a parquet table with schema merge (additive evolution), or None if it holds no data yet.
+    """Read a batch table with all columns it ever had, or None if it holds no data yet.
+
+    The columns come from the table's own manifest, so no footers are opened; a
+    table written without one is read with schema merge. Only absence is None:
+    a store that cannot be read raises."""
+    from pyspark.sql.types import StructType
 
-    Only absence is None: a store that cannot be read raises."""
+    from progscan.sources import manifest as M
     from progscan.sources.staging import has_data
 
     if not has_data(spark, path):
         return None
-    r = spark.read.option("mergeSchema", "true")
+    found = M.latest(spark, f"{path.rstrip('/')}/{SCHEMA_FOLDER}") if schema is None else None
+    if found:
+        columns, parts = found[1]["columns"], found[1]["partitions"]
+        batch = {"name": "batch_id", "type": "long", "nullable": True, "metadata": {}}
+        last = [batch] + [c for p in parts for c in columns if c["name"] == p]
+        schema = StructType.fromJson({"type": "struct", "fields": [c for c in columns if c["name"] not in parts] + last})
+    r = spark.read if schema is not None else spark.read.option("mergeSchema", "true")
     return (r.schema(schema) if schema is not None else r).parquet(path)

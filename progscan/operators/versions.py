@@ -6,12 +6,15 @@ text) and exploded on the executors; nothing is collected to the driver.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from progscan.functions.codec import idl_hash_hex, normalise_name
 from progscan.operators.store import first_per_key, insert_ignore
+from progscan.plans.idl import Idl, defined_name
 
 _ACC = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("isMut", T.BooleanType()),
                                  T.StructField("isSigner", T.BooleanType())]))
@@ -185,23 +188,91 @@ def latest(registry: DataFrame) -> DataFrame:
 
 def as_of(rows: DataFrame, registry: DataFrame, bucket_slots: int) -> DataFrame:
     """L-3: attach to each row (program_id, slot) the version valid at its slot:
-    the latest registered version with ``version slot <= row slot``.
-
-    Range join without a broadcast: each version's interval [slot, next slot)
-    is replicated into the slot buckets it covers, then joined on
-    (program_id, bucket) with the range test. A program with a third of the
-    rows is split across its buckets.
+    the latest registered version with ``version slot <= row slot`` (the largest
+    hash among versions of one slot).
+
+    An as-of carry: versions and rows are put in slot order inside (program,
+    slot bucket), where each row takes the last version before it; rows that
+    precede every version of their bucket take the last version of an earlier
+    bucket, out of one summary row per (program, bucket). No row is multiplied,
+    a program with a third of the rows is split across its buckets, and nothing
+    runs while the plan is built.
     """
-    w = Window.partitionBy("program_id").orderBy("slot")
-    iv = registry.select("program_id", F.col("slot").alias("lo"), F.lead("slot").over(w).alias("hi"), "idl_hash")
-    top = rows.agg(F.max("slot")).collect()[0][0]
-    top = 0 if top is None else int(top)
-    iv = iv.withColumn("hi", F.coalesce(F.col("hi"), F.greatest(F.lit(top + 1), F.col("lo") + 1)))
-    iv = iv.select(F.col("program_id").alias("__p"), "lo", "hi", "idl_hash",
-                   F.explode(F.sequence(F.floor(F.col("lo") / bucket_slots).cast("bigint"),
-                                        F.floor((F.col("hi") - 1) / bucket_slots).cast("bigint"))).alias("__b"))
-    r = rows.withColumn("__rb", F.floor(F.col("slot") / bucket_slots).cast("bigint"))
-    cond = ((F.col("program_id") == F.col("__p")) & (F.col("__rb") == F.col("__b")) &
-            (F.col("slot") >= F.col("lo")) & (F.col("slot") < F.col("hi")))
-    j = r.join(iv, cond, "left")
-    return j.select(*rows.columns, F.col("lo").alias("version_slot"), "idl_hash")
+    version = F.struct(F.col("slot").alias("slot"), F.col("idl_hash").alias("idl_hash"))
+    bucket = F.floor(F.col("slot") / bucket_slots).cast("bigint")
+    payload = F.struct(*[F.col(c) for c in rows.columns])
+    r = rows.select(F.col("program_id").alias("p"), bucket.alias("b"), F.col("slot").alias("s"), payload.alias("row"),
+                    F.lit(None).cast(registry.select(version.alias("v")).schema["v"].dataType).alias("v"))
+    v = registry.select(F.col("program_id").alias("p"), bucket.alias("b"), F.col("slot").alias("s"),
+                        F.lit(None).cast(r.schema["row"].dataType).alias("row"), version.alias("v"))
+    # versions stand before the rows of their slot
+    inside = (Window.partitionBy("p", "b").orderBy("s", F.col("v").isNull(), F.col("v").asc_nulls_last())
+              .rowsBetween(Window.unboundedPreceding, 0))
+    near = v.unionByName(r).withColumn("near", F.last("v", ignorenulls=True).over(inside)).where("row IS NOT NULL")
+    per_bucket = v.groupBy("p", "b").agg(F.max("v").alias("v")).unionByName(
+        rows.select(F.col("program_id").alias("p"), bucket.alias("b"), F.lit(None).cast(v.schema["v"].dataType).alias("v"))
+        .distinct())
+    per_bucket = per_bucket.groupBy("p", "b").agg(F.max("v").alias("v"))
+    earlier = Window.partitionBy("p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_bucket.select(F.col("p").alias("cp"), F.col("b").alias("cb"),
+                                F.last("v", ignorenulls=True).over(earlier).alias("carried"))
+    out = near.join(carried, F.col("p").eqNullSafe(F.col("cp")) & F.col("b").eqNullSafe(F.col("cb")), "left")
+    valid = F.coalesce("near", "carried")
+    return out.select("row.*", valid["slot"].alias("version_slot"), valid["idl_hash"].alias("idl_hash"))
+
+
+def merged_idl(versions: list[tuple[int, Idl]]) -> tuple[Idl, list[tuple[int, Idl]]]:
+    """One IDL whose instructions are those of all versions, named ``<version>/<name>``; and the versions by slot.
+
+    A document that is registered again (same hash as the one before it) is no new version."""
+    ordered = []
+    for slot, idl in sorted(versions, key=lambda x: (x[0], x[1].hash)):
+        if ordered and ordered[-1][1].hash == idl.hash:
+            continue
+        ordered.append((slot, idl))
+    instructions, types = [], []
+    for n, (_, idl) in enumerate(ordered):
+        def scoped(fields, n=n):
+            return tuple(replace(f, type=_scoped(f.type, f"{n}/")) for f in fields)
+
+        instructions += [replace(ix, name=f"{n}/{ix.name}", args=scoped(ix.args)) for ix in idl.instructions]
+        types += [replace(t, name=f"{n}/{t.name}", fields=scoped(t.fields),
+                          variant_fields=tuple(map(scoped, t.variant_fields))) for t in idl.types]
+    return replace(ordered[-1][1], instructions=tuple(instructions), types=tuple(types)), ordered
+
+
+def _scoped(t, prefix: str):
+    """An IDL type whose defined names carry a prefix."""
+    if isinstance(t, str):
+        return t
+    if "defined" in t:
+        return {"defined": prefix + defined_name(t)}
+    if "array" in t:
+        return {"array": [_scoped(t["array"][0], prefix), t["array"][1]]}
+    return {k: _scoped(v, prefix) for k, v in t.items()}
+
+
+def decode_as_of(tx: DataFrame, versions: list[tuple[int, Idl]], program_id: str, **options) -> DataFrame:
+    """L-3: instruction rows of a program, each decoded with the IDL version valid at its slot.
+
+    ``versions``: (slot, IDL) of one program, a few documents. Every version's
+    definitions stand in one broadcast table, told apart by the version's
+    number, which is an expression of the slot; definitions of equal layout
+    share one decode, across versions too. Rows before the first version have
+    none. Columns are those of ``ingest.decode_instructions`` (all that any
+    version has) plus ``version_slot``.
+    """
+    from progscan.operators import ingest as I
+
+    if not versions:
+        raise ValueError("no versions")
+    whole, ordered = merged_idl(versions)
+    number = F.lit(None).cast("int")
+    for n, (slot, _) in enumerate(ordered):
+        number = F.when(F.col("slot") >= F.lit(slot), F.lit(n)).otherwise(number)
+    pairs = [(f"{n}/{ix.name}", ix.discriminator, n) for n, (_, idl) in enumerate(ordered) for ix in idl.instructions]
+    out = I.decode_instructions(tx, whole, program_id, version=number, pairs=pairs, **options)
+    at = F.substring_index("ix_name", "/", 1).cast("int")
+    slots = F.array(*[F.lit(slot).cast("bigint") for slot, _ in ordered])
+    return out.withColumn("version_slot", F.get(slots, at)).withColumn(
+        "ix_name", F.expr("substring(ix_name, instr(ix_name, '/') + 1)"))

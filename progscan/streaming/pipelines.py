@@ -6,8 +6,8 @@ same name. Exactly-once comes from two rules:
 
 * every micro-batch writes only to its own ``batch_id=<n>`` folders, with
   overwrite, so a replayed batch replaces its earlier attempt;
-* insert-ignore compares against the batches *before* ``n`` only, so a
-  replay does not see its own first attempt.
+* insert-ignore compares against the keys indexed by the batches *before*
+  ``n`` only (``key_index``), so a replay does not see its own first attempt.
 
 Offsets live in the Spark checkpoint (the shared ``spark.checkpoint.dir``),
 which replaces the reference's key/value state table for recovery.
@@ -22,28 +22,26 @@ from pyspark.sql import functions as F
 from progscan.operators import ingest as I
 from progscan.operators import store as S
 from progscan.plans.idl import Idl
+from progscan.sources import manifest as M
 from progscan.sources.derived import RAW_ACCOUNT_SCHEMA, TX_SCHEMA
 from progscan.sources.staging import path_exists
+from progscan.sources.transactions import SLOT_BUCKET, scan
+from progscan.streaming import seen_slots
+from progscan.streaming.bucket_store import SNAPSHOT_BUCKETS, Snapshot
+from progscan.streaming.key_index import FANOUT, KeyIndex
+from progscan.streaming.seen_slots import SeenSlots
 
+BACKFILL_BATCH = -1
 
-#: Buckets of the signature hash that the instruction table is partitioned by, besides its type.
-SIG_BUCKETS = 16
-
-
-def _sig_bucket():
-    return F.pmod(F.xxhash64("signature"), F.lit(SIG_BUCKETS)).cast("int")
 
+def sequence(batch_id: int) -> int:
+    """Place of a batch in the order of writes: the backfill, then batch 0, the gap fill after it, batch 1, ..."""
+    return 2 * batch_id + 2 if batch_id >= BACKFILL_BATCH else 2 * (BACKFILL_BATCH - 1 - batch_id) + 3
 
-def stored_keys(spark: SparkSession, path: str, batch_id: int, buckets: list[int]) -> DataFrame | None:
-    """Keys of the batches before ``batch_id`` whose signatures fall into the given buckets.
 
-    A signature decides its bucket, so no earlier copy of it, at whatever slot,
-    is outside them; the other buckets' files are not opened."""
-    df = S.read_table(spark, path)
-    if df is None:
-        return None
-    return (df.where(F.col("batch_id") < F.lit(batch_id)).where(F.col("sig_bucket").isin(buckets))
-            .select("ix_name", "signature"))
+def fill_batch_id(check_id: int) -> int:
+    """The batch id of the gap fill that follows the check of batch ``check_id``."""
+    return BACKFILL_BATCH - 1 - check_id
 
 
 def arrival_order(df: DataFrame) -> list[str]:
@@ -54,77 +52,196 @@ def arrival_order(df: DataFrame) -> list[str]:
 GAP_CHECK_EVERY = 6
 
 
+def _ok():
+    return F.col("meta").isNotNull() & F.col("meta.err").isNull()
+
+
+def _indexed(spark: SparkSession, sink: str, batch_id: int, fanout: int) -> KeyIndex:
+    """The key index of the instruction table. A store that earlier versions wrote without one is indexed first; a
+    first attempt of this very batch is not part of it."""
+    index = KeyIndex(spark, f"{sink}/keys", fanout)
+    if index.empty():
+        stored = S.read_table(spark, f"{sink}/instructions")
+        if stored is not None:
+            b = F.col("batch_id")
+            order = F.when(b >= BACKFILL_BATCH, 2 * b + 2).otherwise(2 * (BACKFILL_BATCH - 1 - b) + 3)
+            old = stored.where(order < F.lit(sequence(batch_id))).select("ix_name", "signature")
+            if not old.isEmpty():
+                index.add(old, M.LOWEST + 1)
+    return index
+
+
+def _ingest(batch: DataFrame, batch_id: int, sink: str, idl: Idl, program_id: str, track: str | None,
+            fanout: int = FANOUT) -> None:
+    """Decode and store one batch: instructions once per key, events, state; ``track`` notes what was processed."""
+    spark, seq = batch.sparkSession, sequence(batch_id)
+    earlier = M.latest(spark, f"{sink}/_checkpoint", seq)
+    checkpoint = earlier[1]["slot"] if earlier else 0
+    # the batch is looked up and written from its decoded rows: the source is read once for them
+    dec = I.decode_instructions(batch, idl, program_id).persist(StorageLevel.DISK_ONLY)
+    index = _indexed(spark, sink, batch_id, fanout)
+    try:
+        keys = index.lookup(dec.select("ix_name", "signature"), seq)
+        new = S.insert_ignore(dec, ["ix_name", "signature"], arrival_order(dec), keys)
+        # J-6: a row is late if its slot is at or below the checkpoint that earlier batches left
+        new = new.withColumn("late", F.col("slot") <= F.lit(checkpoint) if earlier else F.lit(False))
+        ob_ix = Observation(f"ix_{seq}")
+        new = new.observe(ob_ix, F.count(F.lit(1)).alias("instructions_stored"), F.count_if("late").alias("instructions_late"))
+        S.overwrite_batch(new.sortWithinPartitions("ix_name", "slot", "id"), f"{sink}/instructions", batch_id, ["ix_name"])
+    finally:
+        dec.unpersist()
+    # F-13 per micro-batch: counters ride along with the events' read of the source
+    counters = [F.max(F.when(_ok(), F.col("slot"))).alias("top"), F.count_if(_ok()).alias("tx_ok"),
+                F.count_if(~_ok()).alias("tx_skipped")]
+    if idl.events:
+        ob_tx, ob_ev = Observation(f"tx_{seq}"), Observation(f"ev_{seq}")
+        ev = I.decode_events(batch.observe(ob_tx, *counters), idl).observe(ob_ev, F.count(F.lit(1)).alias("events_decoded"))
+        S.overwrite_batch(ev, f"{sink}/events", batch_id)
+        tx, events = ob_tx.get, ob_ev.get["events_decoded"]
+    else:
+        tx, events = batch.agg(*counters).first().asDict(), 0
+    state = {"last_processed_slot": max(tx["top"] or 0, 0), "tx_ok": tx["tx_ok"], "tx_skipped": tx["tx_skipped"],
+             "instructions_stored": ob_ix.get["instructions_stored"], "instructions_late": ob_ix.get["instructions_late"],
+             "events_decoded": events}
+    S.overwrite_batch(spark.createDataFrame([tuple(map(int, state.values()))], ", ".join(f"{c} bigint" for c in state)),
+                      f"{sink}/state", batch_id)
+    if track:
+        done = batch.where(_ok())
+        SeenSlots(spark, f"{sink}/seen_slots").add(done, seq)
+        if track == "signature":
+            KeyIndex(spark, f"{sink}/tx_keys", fanout).add(done.select(F.lit("").alias("ix_name"), "signature").distinct(), seq)
+    # last: what makes the batch known to later ones
+    written = spark.read.schema("ix_name string, signature string").parquet(f"{sink}/instructions/batch_id={batch_id}")
+    index.add(written.select("ix_name", "signature"), seq)
+    M.publish(spark, f"{sink}/_checkpoint", seq, {"slot": max(checkpoint, state["last_processed_slot"])})
+
+
 def process_transactions(batch: DataFrame, batch_id: int, sink: str, idl: Idl, program_id: str,
                          listing: DataFrame | str | None = None, gap_every: int = GAP_CHECK_EVERY,
-                         gap_requires_progress: bool = True) -> None:
+                         gap_requires_progress: bool = True, archive: DataFrame | str | None = None,
+                         gap_on: str = "slot", fanout: int = FANOUT) -> None:
     """One micro-batch: decode, insert-ignore instructions, append events, checkpoint.
 
     With a ``listing`` (what the chain lists for the program; a path is read anew each time), every
-    ``gap_every``-th batch also writes the gap check (listed signatures whose
-    slot was never processed, H-2/J-1) and the slot lag (J-7) for that batch."""
+    ``gap_every``-th batch also writes the gap check (listed signatures whose slot, or with
+    ``gap_on="signature"`` which themselves, were never processed, H-2/J-1) and the slot lag (J-7) for that batch.
+    With an ``archive`` (a table of all transactions, frame or path) what is missing is fetched from it and
+    processed as a batch of its own (``fill_gaps``)."""
+    if gap_on not in ("slot", "signature"):
+        raise ValueError("gap_on is 'slot' or 'signature'")
     spark = batch.sparkSession
-    dec = I.decode_instructions(batch, idl, program_id)
-    dec = dec.withColumn("sig_bucket", _sig_bucket())
-    # the batch is read by several writes below: its matched, decoded rows are computed once
-    dec = dec.persist(StorageLevel.DISK_ONLY)
-    buckets = [r[0] for r in dec.select("sig_bucket").distinct().collect()]  # at most SIG_BUCKETS
-    keys = stored_keys(spark, f"{sink}/instructions", batch_id, buckets)
-    new = S.insert_ignore(dec, ["ix_name", "signature"], arrival_order(dec.drop("sig_bucket")), keys)
-    # F-13 per micro-batch: counters ride along with the writes (no extra job)
-    ob_ix = Observation(f"ix_{batch_id}")
-    new = new.observe(ob_ix, F.count(F.lit(1)).alias("instructions_stored"))
-    S.overwrite_batch(new.sortWithinPartitions("ix_name", "sig_bucket", "slot", "id"), f"{sink}/instructions", batch_id,
-                      ["ix_name", "sig_bucket"])
-    dec.unpersist()
-    ob_ev = Observation(f"ev_{batch_id}")
-    if idl.events:
-        ev = I.decode_events(batch, idl).observe(ob_ev, F.count(F.lit(1)).alias("events_decoded"))
-        S.overwrite_batch(ev, f"{sink}/events", batch_id)
-    state = batch.agg(
-        F.greatest(F.coalesce(F.max(F.when(F.col("meta").isNotNull() & F.col("meta.err").isNull(), F.col("slot"))),
-                              F.lit(0)), F.lit(0)).cast("bigint").alias("last_processed_slot"),
-        F.count_if(F.col("meta").isNotNull() & F.col("meta.err").isNull()).alias("tx_ok"),
-        F.count_if(F.col("meta").isNull() | F.col("meta.err").isNotNull()).alias("tx_skipped"))
-    counts = {**ob_ix.get, **(ob_ev.get if idl.events else {"events_decoded": 0})}
-    state = state.withColumns({k: F.lit(int(v)).cast("bigint") for k, v in counts.items()})
-    S.overwrite_batch(state, f"{sink}/state", batch_id)
-    if listing is not None:
-        # J-5: the seen-slot set is a table (distinct slots of processed transactions),
-        # not driver memory, so it needs no eviction
-        S.overwrite_batch(I.ok_transactions(batch).select("slot").distinct(), f"{sink}/seen", batch_id)
-        due = batch_id >= 0 and batch_id % gap_every == 0
-        if due and (not gap_requires_progress or _checkpoint_moved(spark, sink, batch_id)):
-            from progscan.operators import quality as Qa
-
-            if isinstance(listing, str):  # listed anew at each check: files added later count
-                listing = spark.read.parquet(listing).select("signature", "slot")
-            seen = spark.read.parquet(f"{sink}/seen").where(F.col("batch_id") <= batch_id).select("slot")
-            S.overwrite_batch(Qa.gaps(listing, seen, on="slot"), f"{sink}/gaps", batch_id)
-            S.overwrite_batch(Qa.slot_lag(listing, seen), f"{sink}/lag", batch_id)
+    _ingest(batch, batch_id, sink, idl, program_id, gap_on if listing is not None else None, fanout)
+    if listing is None or batch_id < 0 or batch_id % gap_every:
+        return
+    if gap_requires_progress and not _checkpoint_moved(spark, sink, batch_id):
+        return
+    from progscan.operators import quality as Qa
+
+    if isinstance(listing, str):  # listed anew at each check: files added later count
+        listing = spark.read.parquet(listing).select("signature", "slot")
+    after = sequence(batch_id) + 1
+    seen = SeenSlots(spark, f"{sink}/seen_slots").read(after)
+    if gap_on == "slot":
+        missing = seen_slots.gaps(listing, seen)
+    else:
+        known = KeyIndex(spark, f"{sink}/tx_keys").lookup(listing.select(F.lit("").alias("ix_name"), "signature"), after)
+        missing = listing if known is None else Qa.gaps(listing, known, on="signature").select(*listing.columns)
+    S.overwrite_batch(missing, f"{sink}/gaps", batch_id)
+    S.overwrite_batch(Qa.slot_lag(listing, seen.select(F.col("hi").alias("slot"))), f"{sink}/lag", batch_id)
+    if archive is not None:
+        fill_gaps(spark, batch_id, sink, idl, program_id, archive, gap_on)
+
+
+#: Slot buckets of missing transactions are listed up to this many to prune the archive; beyond it all of it is read.
+LISTED_BUCKETS = 4096
+
+
+def fill_gaps(spark: SparkSession, check_id: int, sink: str, idl: Idl, program_id: str, archive: DataFrame | str,
+              track: str = "slot") -> None:
+    """H-2 / J-1: fetch and process what the check of batch ``check_id`` found missing.
+
+    The missing signatures are semi-joined with the archive (pruned to their
+    slot buckets where it is partitioned by them) and processed as a batch with
+    an id of its own, between this batch and the next, so a replay rewrites it
+    and adds nothing. The ledger gets one row per missing transaction: the
+    check that listed it first, how often it was looked for, the fill batch and
+    the outcome ('stored', 'skipped' for a failed transaction, null if the
+    archive does not hold it). What was skipped is not looked for again.
+    """
+    fill_id = fill_batch_id(check_id)
+    missing = spark.read.parquet(f"{sink}/gaps/batch_id={check_id}").select("signature", "slot").distinct()
+    ledger = S.read_table(spark, f"{sink}/gap_ledger")
+    if ledger is not None:
+        ledger = ledger.where(F.col("batch_id") < check_id)
+        missing = missing.join(ledger.where("outcome = 'skipped'").select("signature"), "signature", "left_anti")
+    if isinstance(archive, str):
+        archive = spark.read.parquet(archive)
+    if "slot_bucket" in archive.columns:
+        rows = missing.select(F.floor(F.col("slot") / SLOT_BUCKET).alias("b")).distinct().limit(LISTED_BUCKETS + 1).collect()
+        if len(rows) <= LISTED_BUCKETS:
+            archive = archive.where(F.col("slot_bucket").isin([r["b"] for r in rows]))
+    found = scan(archive.join(missing.select("signature"), "signature", "left_semi")).select(
+        *[f.name for f in TX_SCHEMA.fields])
+    _ingest(found, fill_id, sink, idl, program_id, track)
+    outcome = found.select("signature", F.when(_ok(), "stored").otherwise("skipped").alias("outcome"))
+    # one row per signature: a transaction that the archive holds twice is stored if any copy succeeded
+    outcome = outcome.groupBy("signature").agg(F.max("outcome").alias("outcome"))
+    rows = missing.join(outcome, "signature", "left")
+    if ledger is not None:
+        past = ledger.groupBy("signature").agg(F.min("first_listed").alias("first_listed"), F.max("attempts").alias("attempts"))
+        rows = rows.join(past, "signature", "left")
+    else:
+        rows = rows.withColumns({c: F.lit(None).cast("bigint") for c in ("first_listed", "attempts")})
+    rows = rows.select("signature", "slot", F.coalesce("first_listed", F.lit(check_id)).cast("bigint").alias("first_listed"),
+                       (F.coalesce("attempts", F.lit(0)) + 1).cast("bigint").alias("attempts"),
+                       F.when(F.col("outcome").isNotNull(), F.lit(fill_id)).cast("bigint").alias("filled_by"), "outcome")
+    S.overwrite_batch(rows, f"{sink}/gap_ledger", check_id)
 
 
 def _checkpoint_moved(spark: SparkSession, sink: str, batch_id: int) -> bool:
     """H-2: the gap check runs only when the checkpoint moved since the previous check."""
-    state = spark.read.parquet(f"{sink}/state")
-    now = state.where(F.col("batch_id") <= batch_id).agg(F.max("last_processed_slot")).first()[0] or 0
+    now = M.latest(spark, f"{sink}/_checkpoint", sequence(batch_id) + 1)
     if not path_exists(spark, f"{sink}/lag"):
         return True
     checked = (spark.read.parquet(f"{sink}/lag").where(F.col("batch_id") < batch_id)
                .agg(F.max("last_processed_slot")).first()[0])
-    return checked is None or now > checked
+    return checked is None or (now[1]["slot"] if now else 0) > checked
+
 
+SNAPSHOT_KEY, SNAPSHOT_ORDER = ["account_type", "pubkey"], ["slot", "seq"]
 
-def process_accounts(batch: DataFrame, batch_id: int, sink: str, idl: Idl) -> None:
-    """One micro-batch of account changes: decode and append to history (B-6)."""
+
+def account_snapshot(spark: SparkSession, sink: str, buckets: int = SNAPSHOT_BUCKETS) -> Snapshot:
+    """B-4 / B-6: the maintained snapshot of an account sink."""
+    return Snapshot(spark, f"{sink}/snapshot", SNAPSHOT_KEY, SNAPSHOT_ORDER, buckets)
+
+
+def process_accounts(batch: DataFrame, batch_id: int, sink: str, idl: Idl, buckets: int = SNAPSHOT_BUCKETS) -> list[int]:
+    """One micro-batch of account changes: decode, append to history (B-6), update the snapshot (B-4).
+
+    Returns the snapshot buckets that the batch touched."""
     hist = I.decode_accounts(batch, idl)
     S.overwrite_batch(hist.drop("data"), f"{sink}/history", batch_id)
+    rows = batch.sparkSession.read.schema(hist.drop("data").schema).parquet(f"{sink}/history/batch_id={batch_id}")
+    return account_snapshot(batch.sparkSession, sink, buckets).apply(rows, sequence(batch_id))
+
+
+def resync_accounts(accounts: DataFrame, slot: int, batch_id: int, sink: str, idl: Idl,
+                    buckets: int = SNAPSHOT_BUCKETS) -> list[int]:
+    """J-8 / A-8: a sweep of an account dump written to history and snapshot alike, at the sweep's slot.
+
+    Every account of a known type is observed at ``slot``, unchanged ones
+    included; accounts that the dump does not hold keep their last state."""
+    at = accounts.drop("slot", "seq").withColumns({"slot": F.lit(slot).cast("bigint"), "seq": F.lit(0).cast("bigint")})
+    return process_accounts(at, batch_id, sink, idl, buckets)
 
 
 def start_transactions(spark: SparkSession, source: str, sink: str, checkpoint: str, idl: Idl, program_id: str,
                        fmt: str = "parquet", files_per_trigger: int | None = None,
                        available_now: bool = True, processing_time: str | None = None,
                        listing: DataFrame | str | None = None, gap_every: int = GAP_CHECK_EVERY,
-                       gap_requires_progress: bool = True):
+                       gap_requires_progress: bool = True, archive: DataFrame | str | None = None,
+                       gap_on: str = "slot"):
     """J-1 / A-6: stream transactions into the stored tables.
 
     ``available_now`` drains what is there (batch mode J-2 and tests);
@@ -135,7 +252,7 @@ def start_transactions(spark: SparkSession, source: str, sink: str, checkpoint:
     src = r.load(source)
     w = src.writeStream.foreachBatch(
         lambda df, bid: process_transactions(df, bid, sink, idl, program_id, listing, gap_every,
-                                             gap_requires_progress)) \
+                                             gap_requires_progress, archive, gap_on)) \
         .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "5 seconds")
     return w.start()
@@ -159,10 +276,7 @@ def read_stored(spark: SparkSession, sink: str, table: str = "instructions") ->
     df = S.read_table(spark, f"{sink}/{table}")
     if df is None:
         raise FileNotFoundError(f"{sink}/{table} holds no data")
-    return df.drop("batch_id", "sig_bucket")
-
-
-BACKFILL_BATCH = -1
+    return df.drop("batch_id", "sig_bucket")  # the latter in stores of earlier versions
 
 
 def backfill(tx: DataFrame, sink: str, idl: Idl, program_id: str) -> None:
