@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from progscan.llm.common import SPACES, let, table, text_or_empty, words, written
+from progscan.llm.common import SPACES, let, table, temp_names, text_or_empty, words, written
 from progscan.llm.registry import job
 
 NGRAM = 5
@@ -232,17 +232,18 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that ``quality`` keeps, with all their columns.
 
-    One pass fits the model, a second one computes the verdict of each row where
-    it stands: nothing is shuffled or joined, so keys may be null or repeat.
+    The statistics are computed once and written beside each row, to the shared
+    folder; the model is fitted to them and the verdicts read them. Nothing is
+    shuffled or joined, so keys may be null or repeat. Null, empty and blank
+    texts are rejected, repeated rows judged alike; an empty table gives an
+    empty result, and a column named like ours keeps its name.
     """
-    model = fit(docs.select(statistics_of(F.col(text)).alias("s")).select("s.*"))
-
-    def verdict(s: Column) -> Column:
-        of = lambda n: s[n]
-        votes = default_rules(of)
-        return ~base_failed(of) & good_enough(model.posterior(votes), votes, threshold)
-
-    return docs.where(let(statistics_of(F.col(text)), verdict))
+    (beside,) = temp_names(docs, "quality_statistics")
+    marked = written(docs.withColumn(beside, statistics_of(F.col(text))), "quality-marked")
+    model = fit(marked.select(f"{beside}.*"))
+    of = lambda n: F.col(beside)[n]
+    votes = default_rules(of)
+    return marked.where(~base_failed(of) & good_enough(model.posterior(votes), votes, threshold)).drop(beside)
 
 
 @job("op4_weak_supervision")

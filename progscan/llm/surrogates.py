@@ -36,7 +36,7 @@ FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mademoiselle", "Seño
           "Госпожа", "Г-жа", "г-жа", "Κυρία"]
 NEUTRAL = ["Dr", "Prof", "Professor"]
 _TITLE = "(?:" + "|".join(MALE + FEMALE + NEUTRAL) + ")"
-_NAME = "\\p{Lu}(?:[\\p{L}\\p{M}]|['’-](?=\\p{Lu})){1,30}+"
+_NAME = "\\p{Lu}(?:[\\p{L}\\p{M}]|['’-](?=\\p{Lu}))++"
 _PARTICLE = "(?:von|van|vom|zu|zur|de|del|della|der|den|da|di|do|dos|du|la|le|el|al|bin|ibn|ter|y)"
 #: What may stand between a title and a part of the name: other parts, initials, particles.
 _ONE = f"(?:\\p{{Lu}}[\\p{{L}}\\p{{M}}'’-]{{1,30}}|\\p{{Lu}}\\.|{_PARTICLE}) "
@@ -52,10 +52,11 @@ _IBAN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[ -]?[A-Z0-9]){{{n - 4}
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 #: Entity type -> pattern, tried in this order. Runs of name or digit characters are entered at their start only,
-#: so that long texts without spaces take linear time.
+#: so that long texts without spaces take linear time; what repeats is possessive, so none recurses on a long entity.
+#: A secret has up to 4,096 hex digits (a key of 16,384 bits); a longer run is data.
 PATTERNS = {
-    "email": "(?<![\\p{L}\\p{N}._%+-])[\\p{L}\\p{N}._%+-]++@[\\p{L}\\p{N}-]++(?:\\.[\\p{L}\\p{N}-]++)+",
-    "secret": "(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
+    "email": "(?<![\\p{L}\\p{N}._%+-])[\\p{L}\\p{N}._%+-]++@[\\p{L}\\p{N}-]++(?:\\.[\\p{L}\\p{N}-]++)++",
+    "secret": "(?<![0-9A-Za-z])(?:[0-9a-f]{32,4096}+|[0-9A-F]{32,4096}+)(?![0-9A-Za-z])",
     "iban": f"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN}|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}+(?![0-9A-Za-z]))",
     "phone": ("(?<![0-9])(?:\\+1[ .-]?\\(?[0-9]{3}\\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
               "|\\+[2-9][0-9]{0,2}(?:[ .-]?\\(?[0-9]{2,4}\\)?){2,4}"
@@ -164,6 +165,13 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda a, v: a + v)
 
 
+def _mod97(iban: Column) -> Column:
+    """The remainder that an IBAN's check digits make 1: the first four characters last, letters as two digits."""
+    turned = F.concat(_from(iban, 5), F.substring(iban, 1, 4))
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: F.when(
+        c.rlike("[0-9]"), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55) % 97)
+
+
 def _from(text: Column, start: int) -> Column:
     return F.substring(text, F.lit(start), F.char_length(text))
 
@@ -192,6 +200,14 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
 
         return let(number(h), lambda n: F.when(_luhn(norm) % 10 == 0, checked(n)).otherwise(n))
 
+    def iban(h: Column) -> Column:
+        def checked(n: Column) -> Column:
+            country, body = F.substring(n, 1, 2), _from(n, 5)
+            return F.concat(country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0"), body)
+
+        made = F.concat(F.substring(norm, 1, 2), _from(_masked(norm, h), 3))
+        return let(made, lambda n: F.when(_mod97(norm) == 1, checked(n)).otherwise(n))
+
     def ip(h: Column) -> Column:
         def octet(o: Column, i: Column) -> Column:
             low = F.when(attempt >= 4, 1).when(F.length(o) == 3, 100).when(F.length(o) == 2, 10).otherwise(1)
@@ -221,7 +237,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     return let(hexes, lambda h: (
         F.when(kind == "email", email(h)).when(kind == "card", card(h)).when(kind == "ip", ip(h))
         .when(kind == "phone", number(h)).when(kind == "secret", secret(h)).when(kind == "ssn", _masked(norm, h))
-        .when(kind == "iban", F.concat(F.substring(norm, 1, 2), _from(_masked(norm, h), 3))).otherwise(person(h))))
+        .when(kind == "iban", iban(h)).otherwise(person(h))))
 
 
 def spelled(raw: Column, kind: Column, made: Column) -> Column:

@@ -138,3 +138,29 @@ def test_names_of_more_parts_and_bare_mentions(spark):
     assert not re.search("Johann|Heide|John|Lake|Bond", got[5].text) and re.search(r" von der \w+, Mr\. \w+ F\. \w+ Mr\. ", got[5].text)
     holt = got[2].text.split()[-1]
     assert got[6].text == f"We met {holt}. Dr. {holt} smiled."
+
+
+def test_long_entities(spark):
+    """Entities of a million characters neither recurse nor keep a tail in clear."""
+    labels, digest, name = "a@b" + ".c" * 200_000, "0123456789abcdef" * 9, "B" + "a" * 300
+    rows = [(1, f"x {labels} y"), (2, f"key {digest}!"), (3, f"Dr. {name} came."), (4, "7" * 1_000_000), (5, " " * 1_000_000),
+            (6, "f" * 1_000_001 + "G")]
+    got = run(spark, rows)
+    assert [got[i].n_entities for i in range(1, 7)] == [1, 1, 1, 0, 0, 0]
+    assert len(got[1].text) == len(rows[0][1]) and labels[:40] not in got[1].text
+    assert len(got[2].text) == len(rows[1][1]) and digest[-12:] not in got[2].text
+    assert len(got[3].text) == len(rows[2][1]) and "aaaa" not in got[3].text
+
+
+def _mod97(iban):
+    turned = iban[4:] + iban[:4]
+    return int("".join(str(int(c, 36)) for c in turned)) % 97
+
+
+def test_iban_surrogates_are_ibans(spark):
+    ibans = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "NO9386011117947"]
+    got = run(spark, [(i, f"pay {x} now") for i, x in enumerate(ibans)] + [(9, "pay DE00370400440532013000 now")])
+    for i, x in enumerate(ibans):
+        made = got[i].text.split()[1]
+        assert made != x and made[:2] == x[:2] and len(made) == len(x) and _mod97(x) == _mod97(made) == 1
+    assert got[9].n_entities == 1
