@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from progscan.jobs._base import ACT, IDL, account_updates, job, raw_accounts
 from progscan.operators import accounts as A
 from progscan.operators import query as Q
+from progscan.operators import store as S
 from progscan.operators.ingest import decode_accounts
 from progscan.session import scratch_dir
 from progscan.sources.staging import staged
@@ -149,8 +150,6 @@ GROUP BY pubkey""")
 def acc_merge_pg(spark, sf):
     """B-5 (Postgres variant): a field absent from an observation keeps its previous value.
     Here ``view`` observations carry no segment."""
-    from progscan.operators import store as S
-
     h = history(spark, sf).withColumn("segment", F.when(F.col("segment") == "view", F.lit(None))
                                       .otherwise(F.col("segment")))
     m = S.merge_present(h, ["pubkey"], ["slot", "seq"], ["custkey", "nationkey", "balance", "segment"])
@@ -199,3 +198,14 @@ def acc_resync(spark, sf):
     cols = ["account_type", "pubkey", "slot", "custkey", "suppkey", "nationkey", "balance", "segment"]
     history_rows = P.read_stored(spark, sink, "history").select(F.lit("history").alias("kept_in"), *cols)
     return history_rows.unionByName(P.account_snapshot(spark, sink, 8).read().select(F.lit("snapshot").alias("kept_in"), *cols))
+
+
+@job("acc_history_lookup", f"SELECT * FROM ({_HIST_SQL}) h WHERE pubkey = '{HISTORY_KEY}' ORDER BY slot DESC "
+                           f"LIMIT {HISTORY_LIMIT} OFFSET {HISTORY_OFFSET}")
+def acc_history_lookup(spark, sf):
+    """G-3 + C-8 on history laid out by account: the page reads its bucket's folder, and there the row groups whose
+    statistics and Bloom filter may hold the account."""
+    path = scratch_dir(spark, "history_by_key")
+    S.write_history(history(spark, sf), path)
+    h = S.history_of(spark.read.parquet(path), HISTORY_KEY).withColumnRenamed("seq", "id")
+    return Q.history_page(h, HISTORY_KEY, HISTORY_LIMIT, HISTORY_OFFSET).select(*_CUST_COLS)

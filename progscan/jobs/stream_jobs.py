@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from progscan.jobs._base import (
-    IDL, IX_ACT, IX_ALL, PID, TX, account_updates, activity_transactions, job, transactions,
+    IDL, IX_ACT, IX_ALL, PID, TX, account_updates, activity_transactions, ix_sql, job, transactions,
 )
 from progscan.jobs.account_jobs import _CUST_COLS, _SNAP_SQL
 from progscan.operators import accounts as A
@@ -22,6 +22,7 @@ from progscan.plans.idl import Idl
 from progscan.session import scratch_dir
 from progscan.sources import derived as D
 from progscan.streaming import pipelines as P
+from progscan.streaming.rollups import Rollups
 
 FILES = 6
 FILES_PER_TRIGGER = 2
@@ -166,3 +167,49 @@ def stream_gap_check(spark, sf):
     gaps = spark.read.parquet(f"{sink}/gaps")
     last = gaps.agg(F.max("batch_id")).first()[0]
     return gaps.where(F.col("batch_id") == last).select("signature", "slot")
+
+
+_ROLLED = "purchase"
+
+
+def _rolled_sql(group_by: str) -> str:
+    src, value = ix_sql(_ROLLED), "TRY_CAST(arg_amount AS DOUBLE)"
+    values = f"SUM({value}) AS sum, AVG({value}) AS avg, MIN({value}) AS min, MAX({value}) AS max, COUNT(*) AS count"
+    if group_by == "total":
+        return f"SELECT {values}, MIN(slot) AS first_slot, MAX(slot) AS last_slot FROM {src} t"
+    secs, slots, lim = (3600, 9000, 168) if group_by == "hour" else (86400, 216000, 30)
+    return (f"SELECT COALESCE(block_time // {secs}, slot // {slots}) AS bucket, {values} FROM {src} t "
+            f"GROUP BY 1 ORDER BY bucket DESC LIMIT {lim}")
+
+
+def _rolled(spark, sf, group_by: str):
+    """The four values of one field side by side, from states that two batches left; no instruction row is read."""
+    sink = f"{scratch_dir(spark, 'rollups')}/sink"
+    tx = activity_transactions(spark, sf)
+    P.process_transactions(tx.where("slot % 2 = 0"), 0, sink, IDL, PID, rollups=True)
+    P.process_transactions(tx, 1, sink, IDL, PID, rollups=True)
+    r = Rollups(spark, f"{sink}/rollups")
+    keys = ["bucket"] if group_by != "total" else ["first_slot", "last_slot"]
+    out = r.aggregate(_ROLLED, group_by, "count").select(*keys, F.col("value").alias("count"))
+    for op in ("sum", "avg", "min", "max"):
+        part = r.aggregate(_ROLLED, group_by, op, "arg_amount").select(*keys, F.col("value").alias(op))
+        out = out.join(part, keys)
+    return out
+
+
+@job("rollup_hour", _rolled_sql("hour"))
+def rollup_hour(spark, sf):
+    """F-1..F-7, G-4 from maintained states: the newest hours."""
+    return _rolled(spark, sf, "hour")
+
+
+@job("rollup_day", _rolled_sql("day"))
+def rollup_day(spark, sf):
+    """F-2, F-4..F-7 from maintained states: the newest days."""
+    return _rolled(spark, sf, "day")
+
+
+@job("rollup_total", _rolled_sql("total"))
+def rollup_total(spark, sf):
+    """F-3..F-7 from maintained states: all rows of the type."""
+    return _rolled(spark, sf, "total")

@@ -74,6 +74,45 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     w.parquet(path)
 
 
+#: Buckets of the account key that a compacted history is partitioned by.
+KEY_BUCKETS = 64
+
+
+def _key_bucket(key, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_history(history: DataFrame, path: str, key: str = "pubkey", order: tuple = ("slot", "seq"),
+                  buckets: int = KEY_BUCKETS, options: dict | None = None) -> None:
+    """History laid out for reads of one account: partitioned by the key's hash, sorted by key and slot, with Bloom
+    filters on the key. A bucket that one account fills is split over several files by slot."""
+    rows = history.withColumn("key_bucket", _key_bucket(F.col(key), buckets)).repartitionByRange("key_bucket", key, *order)
+    with_bloom(rows.sortWithinPartitions("key_bucket", key, *order).write.mode("overwrite"), [key]) \
+        .options(**(options or {})).partitionBy("key_bucket").parquet(path)
+
+
+def history_of(history: DataFrame, value: str, key: str = "pubkey", buckets: int = KEY_BUCKETS) -> DataFrame:
+    """C-8: the rows of one account of such a history: its bucket's folder, and there the row groups that may hold it."""
+    return history.where((F.col("key_bucket") == _key_bucket(F.lit(value), buckets)) & (F.col(key) == F.lit(value))) \
+        .drop("key_bucket")
+
+
+#: As many signatures are looked up by equality, which row groups' Bloom filters answer; more are joined.
+LOOKED_UP = 64
+
+
+def by_signatures(table: DataFrame, signatures: list[str]) -> DataFrame:
+    """H-3: rows of some signatures, by pushed equalities (Bloom filters and statistics skip the other row groups)."""
+    wanted = list(dict.fromkeys(signatures))
+    if len(wanted) > LOOKED_UP:
+        listed = table.sparkSession.createDataFrame([(s,) for s in wanted], "signature string")
+        return table.join(listed, "signature", "left_semi").select(*table.columns)
+    cond = F.lit(False)
+    for s in wanted:
+        cond = cond | (F.col("signature") == F.lit(s))
+    return table.where(cond)
+
+
 SCHEMA_FOLDER = "_schema"
 
 
@@ -94,9 +133,17 @@ def _note_schema(df: DataFrame, path: str, partition_by: list[str]) -> None:
         M.publish(spark, folder, version + 1, {**known, "columns": known["columns"] + added})
 
 
-def overwrite_batch(df: DataFrame, path: str, batch_id: int, partition_by: list[str] | None = None) -> None:
+def with_bloom(writer, columns: list[str]):
+    """A Parquet writer that adds Bloom filters of the columns, for reads of single keys."""
+    for c in columns:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    return writer
+
+
+def overwrite_batch(df: DataFrame, path: str, batch_id: int, partition_by: list[str] | None = None,
+                    bloom: list[str] | None = None) -> None:
     """Idempotent micro-batch write: each batch owns ``batch_id=<n>``; a replay rewrites it."""
-    w = df.write.mode("overwrite")
+    w = with_bloom(df.write.mode("overwrite"), bloom or [])
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(f"{path.rstrip('/')}/batch_id={batch_id}")

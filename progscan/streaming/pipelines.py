@@ -29,6 +29,7 @@ from progscan.sources.transactions import SLOT_BUCKET, scan
 from progscan.streaming import seen_slots
 from progscan.streaming.bucket_store import SNAPSHOT_BUCKETS, Snapshot
 from progscan.streaming.key_index import FANOUT, KeyIndex
+from progscan.streaming.rollups import Rollups
 from progscan.streaming.seen_slots import SeenSlots
 
 BACKFILL_BATCH = -1
@@ -72,7 +73,7 @@ def _indexed(spark: SparkSession, sink: str, batch_id: int, fanout: int) -> KeyI
 
 
 def _ingest(batch: DataFrame, batch_id: int, sink: str, idl: Idl, program_id: str, track: str | None,
-            fanout: int = FANOUT) -> None:
+            fanout: int = FANOUT, rollups: bool = False) -> None:
     """Decode and store one batch: instructions once per key, events, state; ``track`` notes what was processed."""
     spark, seq = batch.sparkSession, sequence(batch_id)
     earlier = M.latest(spark, f"{sink}/_checkpoint", seq)
@@ -87,7 +88,8 @@ def _ingest(batch: DataFrame, batch_id: int, sink: str, idl: Idl, program_id: st
         new = new.withColumn("late", F.col("slot") <= F.lit(checkpoint) if earlier else F.lit(False))
         ob_ix = Observation(f"ix_{seq}")
         new = new.observe(ob_ix, F.count(F.lit(1)).alias("instructions_stored"), F.count_if("late").alias("instructions_late"))
-        S.overwrite_batch(new.sortWithinPartitions("ix_name", "slot", "id"), f"{sink}/instructions", batch_id, ["ix_name"])
+        S.overwrite_batch(new.sortWithinPartitions("ix_name", "slot", "id"), f"{sink}/instructions", batch_id, ["ix_name"],
+                          bloom=["signature"])
     finally:
         dec.unpersist()
     # F-13 per micro-batch: counters ride along with the events' read of the source
@@ -110,6 +112,9 @@ def _ingest(batch: DataFrame, batch_id: int, sink: str, idl: Idl, program_id: st
         SeenSlots(spark, f"{sink}/seen_slots").add(done, seq)
         if track == "signature":
             KeyIndex(spark, f"{sink}/tx_keys", fanout).add(done.select(F.lit("").alias("ix_name"), "signature").distinct(), seq)
+    if rollups:
+        rows = spark.read.schema(new.schema).parquet(f"{sink}/instructions/batch_id={batch_id}")
+        Rollups(spark, f"{sink}/rollups").add(rows, seq)
     # last: what makes the batch known to later ones
     written = spark.read.schema("ix_name string, signature string").parquet(f"{sink}/instructions/batch_id={batch_id}")
     index.add(written.select("ix_name", "signature"), seq)
@@ -119,9 +124,11 @@ def _ingest(batch: DataFrame, batch_id: int, sink: str, idl: Idl, program_id: st
 def process_transactions(batch: DataFrame, batch_id: int, sink: str, idl: Idl, program_id: str,
                          listing: DataFrame | str | None = None, gap_every: int = GAP_CHECK_EVERY,
                          gap_requires_progress: bool = True, archive: DataFrame | str | None = None,
-                         gap_on: str = "slot", fanout: int = FANOUT) -> None:
+                         gap_on: str = "slot", fanout: int = FANOUT, rollups: bool = False) -> None:
     """One micro-batch: decode, insert-ignore instructions, append events, checkpoint.
 
+    ``rollups`` also keeps partial states per type and hour (``rollups.Rollups``).
+
     With a ``listing`` (what the chain lists for the program; a path is read anew each time), every
     ``gap_every``-th batch also writes the gap check (listed signatures whose slot, or with
     ``gap_on="signature"`` which themselves, were never processed, H-2/J-1) and the slot lag (J-7) for that batch.
@@ -130,7 +137,7 @@ def process_transactions(batch: DataFrame, batch_id: int, sink: str, idl: Idl, p
     if gap_on not in ("slot", "signature"):
         raise ValueError("gap_on is 'slot' or 'signature'")
     spark = batch.sparkSession
-    _ingest(batch, batch_id, sink, idl, program_id, gap_on if listing is not None else None, fanout)
+    _ingest(batch, batch_id, sink, idl, program_id, gap_on if listing is not None else None, fanout, rollups)
     if listing is None or batch_id < 0 or batch_id % gap_every:
         return
     if gap_requires_progress and not _checkpoint_moved(spark, sink, batch_id):
@@ -149,7 +156,7 @@ def process_transactions(batch: DataFrame, batch_id: int, sink: str, idl: Idl, p
     S.overwrite_batch(missing, f"{sink}/gaps", batch_id)
     S.overwrite_batch(Qa.slot_lag(listing, seen.select(F.col("hi").alias("slot"))), f"{sink}/lag", batch_id)
     if archive is not None:
-        fill_gaps(spark, batch_id, sink, idl, program_id, archive, gap_on)
+        fill_gaps(spark, batch_id, sink, idl, program_id, archive, gap_on, rollups)
 
 
 #: Slot buckets of missing transactions are listed up to this many to prune the archive; beyond it all of it is read.
@@ -157,7 +164,7 @@ LISTED_BUCKETS = 4096
 
 
 def fill_gaps(spark: SparkSession, check_id: int, sink: str, idl: Idl, program_id: str, archive: DataFrame | str,
-              track: str = "slot") -> None:
+              track: str = "slot", rollups: bool = False) -> None:
     """H-2 / J-1: fetch and process what the check of batch ``check_id`` found missing.
 
     The missing signatures are semi-joined with the archive (pruned to their
@@ -182,7 +189,7 @@ def fill_gaps(spark: SparkSession, check_id: int, sink: str, idl: Idl, program_i
             archive = archive.where(F.col("slot_bucket").isin([r["b"] for r in rows]))
     found = scan(archive.join(missing.select("signature"), "signature", "left_semi")).select(
         *[f.name for f in TX_SCHEMA.fields])
-    _ingest(found, fill_id, sink, idl, program_id, track)
+    _ingest(found, fill_id, sink, idl, program_id, track, rollups=rollups)
     outcome = found.select("signature", F.when(_ok(), "stored").otherwise("skipped").alias("outcome"))
     # one row per signature: a transaction that the archive holds twice is stored if any copy succeeded
     outcome = outcome.groupBy("signature").agg(F.max("outcome").alias("outcome"))
@@ -221,7 +228,7 @@ def process_accounts(batch: DataFrame, batch_id: int, sink: str, idl: Idl, bucke
 
     Returns the snapshot buckets that the batch touched."""
     hist = I.decode_accounts(batch, idl)
-    S.overwrite_batch(hist.drop("data"), f"{sink}/history", batch_id)
+    S.overwrite_batch(hist.drop("data").sortWithinPartitions("pubkey", "slot"), f"{sink}/history", batch_id, bloom=["pubkey"])
     rows = batch.sparkSession.read.schema(hist.drop("data").schema).parquet(f"{sink}/history/batch_id={batch_id}")
     return account_snapshot(batch.sparkSession, sink, buckets).apply(rows, sequence(batch_id))
 
@@ -241,7 +248,7 @@ def start_transactions(spark: SparkSession, source: str, sink: str, checkpoint:
                        available_now: bool = True, processing_time: str | None = None,
                        listing: DataFrame | str | None = None, gap_every: int = GAP_CHECK_EVERY,
                        gap_requires_progress: bool = True, archive: DataFrame | str | None = None,
-                       gap_on: str = "slot"):
+                       gap_on: str = "slot", rollups: bool = False):
     """J-1 / A-6: stream transactions into the stored tables.
 
     ``available_now`` drains what is there (batch mode J-2 and tests);
@@ -252,7 +259,7 @@ def start_transactions(spark: SparkSession, source: str, sink: str, checkpoint:
     src = r.load(source)
     w = src.writeStream.foreachBatch(
         lambda df, bid: process_transactions(df, bid, sink, idl, program_id, listing, gap_every,
-                                             gap_requires_progress, archive, gap_on)) \
+                                             gap_requires_progress, archive, gap_on, rollups=rollups)) \
         .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "5 seconds")
     return w.start()

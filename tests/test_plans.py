@@ -78,3 +78,39 @@ def test_definition_join_is_broadcast(jobs):
 def test_account_scan_by_type_is_pushed(jobs):
     p = _final_plan(jobs["acc_scan_type"])
     assert "EqualTo(disc," in p
+
+
+def _rows_scanned(df) -> int:
+    """Rows that the executed plan's scans gave out, after row groups were skipped."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    if hasattr(plan, "finalPhysicalPlan") and "AdaptiveSparkPlan" in plan.nodeName():
+        plan = plan.finalPhysicalPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+
+
+def test_single_keys_skip_most_row_groups(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from progscan.operators import store as S
+
+    n = 40_000
+    h = spark.range(n).select(F.concat(F.lit("k"), (F.col("id") % 500).cast("string")).alias("pubkey"),
+                              F.col("id").alias("slot"), F.lit(0).cast("bigint").alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    S.write_history(h, f"{tmp_path}/h", buckets=8, options={"parquet.block.size": "16384", "parquet.page.size": "4096"})
+    got = S.history_of(spark.read.parquet(f"{tmp_path}/h"), "k77", buckets=8)
+    assert sorted(r["slot"] for r in got.collect()) == list(range(77, n, 500))
+    assert _rows_scanned(got) < n / 20
+    assert S.history_of(spark.read.parquet(f"{tmp_path}/h"), "unknown", buckets=8).count() == 0
+    # signatures in no order: only the Bloom filters tell row groups apart
+    sigs = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("signature"), F.col("id").alias("slot"))
+    S.with_bloom(sigs.coalesce(1).write, ["signature"]).option("parquet.block.size", "65536") \
+        .option("parquet.page.size", "4096").option("parquet.bloom.filter.max.bytes", "16384").parquet(f"{tmp_path}/s")
+    table = spark.read.parquet(f"{tmp_path}/s")
+    wanted = [r["signature"] for r in sigs.where("slot IN (5, 30000)").collect()]
+    got = S.by_signatures(table, wanted + ["nowhere"])
+    assert sorted(r["slot"] for r in got.collect()) == [5, 30000]
+    assert _rows_scanned(got) < n / 4
+    many = [r["signature"] for r in sigs.where("slot < 200").collect()]
+    assert S.by_signatures(table, many).count() == 200
