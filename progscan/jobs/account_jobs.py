@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from progscan.jobs._base import ACT, IDL, account_updates, job, raw_accounts
+from progscan.jobs._base import ACT, IDL, account_updates, job, raw_accounts, sql_disc, sql_le_hex
 from progscan.operators import accounts as A
 from progscan.operators import query as Q
 from progscan.operators import store as S
@@ -78,6 +78,16 @@ def acc_decode(spark, sf):
     return d.select("account_type", "pubkey", "slot", "data")
 
 
+@job("acc_decode_unknown", f"""
+SELECT * FROM ({_ACC_JSON_SQL}) a
+UNION ALL
+SELECT NULL, 'p' || CAST(p_partkey AS VARCHAR), p_partkey,
+       '{{"raw_hex":"' || {sql_disc('account:', "'Part'")} || lower({sql_le_hex('p_size', 4)}) || '"}}' FROM part""")
+def acc_decode_unknown(spark, sf):
+    """E-22: accounts of a type that the IDL does not know keep their bytes, as hex."""
+    return decode_accounts(raw_accounts(spark, sf), IDL, unknown=True).select("account_type", "pubkey", "slot", "data")
+
+
 @job("acc_reindex", f"SELECT account_type, pubkey, CAST(0 AS BIGINT) AS slot, data FROM ({_ACC_JSON_SQL}) a")
 def acc_reindex(spark, sf):
     """A-9: full re-index written as snapshot rows at slot 0 (matched by discriminator)."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from progscan.functions.binary import le_hex
+from progscan.functions.codec import DISC_PREFIX_EVENT, EVENT_LOG_PREFIX, discriminator_hex
 from progscan.jobs._base import (
     ACT, ACT_IX_HEX, EV, IDL, IX_ACT, IX_ALL, IX_STL_ALL, PID, STL, STL_IX_HEX1, STL_IX_HEX2, TX, decode_events,
     decoded, job,
@@ -231,13 +233,11 @@ FROM ({ACT}) a WHERE event_type IN ('click', 'view', 'signup')"""
 @job("ev_log_filter", _LOG_SQL)
 def ev_log_filter(spark, sf):
     """C-3: ``Program data:`` lines of ok transactions, prefix stripped and trimmed."""
-    from progscan.functions.codec import EVENT_LOG_PREFIX
-
     ok = I.ok_transactions(transactions(spark, sf))
     logs = ok.select("signature", F.posexplode("meta.logMessages").alias("pos", "log"))
     logs = logs.where(F.col("log").startswith(EVENT_LOG_PREFIX))
     return logs.select("signature", "pos",
-                       F.trim(F.substring("log", len(EVENT_LOG_PREFIX) + 1, 1 << 30)).alias("payload"))
+                       F.trim(F.substr(F.col("log"), F.lit(len(EVENT_LOG_PREFIX) + 1))).alias("payload"))
 
 
 @job("ev_decode", f"SELECT * FROM ({EV}) e")
@@ -266,6 +266,40 @@ def ev_dedup_pg(spark, sf):
     return S.insert_ignore(twice, ["signature", "event_name"], ["slot", "id", "data"]).select(*e.columns)
 
 
+_SAME_NAMED = f"""
+SELECT CAST(2 AS BIGINT) AS id, signature, slot, amount, user_id, k FROM ({ACT}) a WHERE event_type <> 'error'
+UNION ALL
+SELECT 5, signature, slot, amount + 1, user_id, k FROM ({ACT}) a WHERE event_type <> 'error'"""
+_SAME_NAMED_SQL = f"""
+SELECT id, signature, slot, '{{"amount":"' || CAST(amount AS VARCHAR) || '","userId":' || CAST(user_id AS VARCHAR)
+       || ',"k":' || CAST(k AS VARCHAR) || '}}' AS data FROM ({_SAME_NAMED}) e"""
+
+
+def _same_named_events(spark, sf):
+    """Events of transactions that log ``ValueRecorded`` a second time, with another amount, as their last line."""
+    src = D.activity_columns(spark.read.parquet(f"{sf}/events.parquet"))
+    again = F.concat(discriminator_hex(DISC_PREFIX_EVENT, F.lit("ValueRecorded")), le_hex(F.col("amount") + 1, 8),
+                     le_hex(F.col("user_id"), 4), le_hex(F.col("k"), 2))
+    line = F.concat(F.lit(EVENT_LOG_PREFIX), F.base64(F.unhex(again)))
+    tx = D.activity_transactions(spark, sf).join(src.select("signature", line.alias("line")), "signature")
+    logs = F.concat(F.col("meta.logMessages"), F.array("line"))
+    tx = tx.withColumn("meta", F.col("meta").withField("logMessages", logs)).drop("line")
+    return I.decode_events(tx, IDL).where("event_name = 'ValueRecorded'")
+
+
+@job("ev_same_named", _SAME_NAMED_SQL)
+def ev_same_named(spark, sf):
+    """B-2: two events of one name in a transaction are both appended (no unique key)."""
+    return _same_named_events(spark, sf).select("id", "signature", "slot", "data")
+
+
+@job("ev_same_named_pg", f"SELECT * FROM ({_SAME_NAMED_SQL}) x WHERE id = 2")
+def ev_same_named_pg(spark, sf):
+    """B-3: under the unique key (signature, event_name) only the first of the two stays."""
+    first = S.insert_ignore(_same_named_events(spark, sf), ["signature", "event_name"], ["slot", "id", "data"])
+    return first.select("id", "signature", "slot", "data")
+
+
 _POS_COLS = ["id", "signature", "slot", "arg_quantity", "arg_price", "arg_discount"]
 
 
@@ -334,10 +368,11 @@ def decode_ix_base58(spark, sf):
 SELECT ix_name, signature,
        CASE WHEN ix_name = 'settle' THEN account_user ELSE account_authority END AS account_user,
        CASE WHEN ix_name = 'settle' THEN account_authority ELSE account_user END AS account_authority,
-       account_order, account_supplier
+       CASE WHEN ix_name = 'settle' THEN account_supplier END AS account_order,
+       CASE WHEN ix_name = 'settle' THEN account_order END AS account_supplier
 FROM ({_DECODED_SQL}) d""")
 def ix_accounts_instruction(spark, sf):
-    """Q-2 option: map accounts from the instruction's own list (inner instructions carry
-    none in this data and fall back to the transaction keys)."""
+    """Q-2 option: map accounts from the instruction's own list, of top-level and inner instructions alike (both list
+    theirs in another order than the transaction's keys)."""
     d = I.decode_instructions(transactions(spark, sf), IDL, PID, accounts="instruction")
     return d.select("ix_name", "signature", "account_user", "account_authority", "account_order", "account_supplier")

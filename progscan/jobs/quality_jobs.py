@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from progscan.jobs._base import ACT, EV, IDL, STL, TX, decoded, events, job, raw_accounts, transactions
+from progscan.jobs._base import ACT, EV, IDL, IX_ALL, STL, TX, decoded, events, job, raw_accounts, stored, transactions
 from progscan.operators import ingest as I
 from progscan.operators import quality as Qa
 from progscan.operators import store as S
@@ -120,6 +120,19 @@ def metric_counters(spark, sf):
     return out
 
 
+@job("metric_stored", f"""
+SELECT 'indexer_instructions_indexed_total' AS metric, ix_name AS label, COUNT(*) AS value FROM (
+  SELECT event_type AS ix_name FROM ({ACT}) a WHERE event_type <> 'error'
+  UNION ALL SELECT 'settle' FROM ({STL}) s WHERE l_returnflag <> 'R'
+  UNION ALL SELECT 'settle' FROM ({STL}) s WHERE l_returnflag <> 'R') i GROUP BY 2
+UNION ALL
+SELECT 'indexer_instructions_stored_total', ix_name, COUNT(*) FROM {IX_ALL} x GROUP BY 2""")
+def metric_stored(spark, sf):
+    """F-13 + Q-15: instructions by name, decoded (what the reference counts) beside stored (after insert-ignore)."""
+    return Qa.labelled_counts(decoded(spark, sf), "indexer_instructions_indexed_total", "ix_name").unionByName(
+        Qa.labelled_counts(stored(spark, sf), "indexer_instructions_stored_total", "ix_name"))
+
+
 def _hist_sql() -> str:
     parts = [f"SELECT 'bucket' AS series, '{Qa._fmt(b)}' AS le, CAST(count_if(value <= {b}) AS DOUBLE) AS value "
              f"FROM events" for b in Qa.TX_LATENCY_BOUNDS_MS]

@@ -105,9 +105,24 @@ def schema_tables(spark, sf):
     return t.select("program_id", "table_name", "ordinal", "column_name", "storage_type")
 
 
+def _account_tables_sql(src: str) -> str:
+    return f"""
+SELECT l.program_id, l.slot, 'acc_' || l.program_id || '_state' AS table_name, c.ordinal, c.column_name, c.storage_type
+FROM ({src}) l, (VALUES (0, 'id', 'INTEGER'), (1, 'pubkey', 'TEXT'), (2, 'slot', 'INTEGER'), (3, 'total', 'TEXT'),
+                 (4, 'maxsize', 'INTEGER'), (5, 'updated_at', 'INTEGER')) c(ordinal, column_name, storage_type)"""
+
+
+@job("schema_account_tables", f"SELECT program_id, table_name, ordinal, column_name, storage_type "
+                              f"FROM ({_account_tables_sql(_LATEST)}) t")
+def schema_account_tables(spark, sf):
+    """I-1 for the account types of every program's current IDL (nested options count as what they hold)."""
+    t = V.account_schema_tables(V.latest(registry(spark, sf)))
+    return t.select("program_id", "table_name", "ordinal", "column_name", "storage_type")
+
+
 @job("schema_evolve", f"""
 SELECT program_id, table_name, column_name, MIN(slot) AS first_slot, MIN(storage_type) AS storage_type
-FROM ({_tables_sql(_REG_P)}) t GROUP BY program_id, table_name, column_name""")
+FROM ({_tables_sql(_REG_P)} UNION ALL {_account_tables_sql(_REG_P)}) t GROUP BY program_id, table_name, column_name""")
 def schema_evolve(spark, sf):
     """I-5: additive migration -- each column ever declared and the version that added it."""
     e = V.evolve(registry(spark, sf))
@@ -125,6 +140,27 @@ def schema_catalog(spark, sf):
     return V.catalog(registry(spark, sf))
 
 
+_VERSION = "'0.' || CAST(sz AS VARCHAR) || '.0'"
+
+
+@job("schema_listing", f"""
+SELECT program_id, slot, {_VERSION} AS version, 'instruction' AS kind, 'initialize' AS name, 'authority mut signer' AS accounts,
+       'bump: u8' AS fields FROM ({_REG_P}) r
+UNION ALL
+SELECT program_id, slot, {_VERSION}, 'instruction', t, 'owner mut signer',
+       'size: u32; price: u64' || CASE WHEN sz > 25 THEN '; label: string' ELSE '' END
+       || CASE WHEN sz > 40 THEN '; tags: {{"vec":"u8"}}' ELSE '' END FROM ({_REG_P}) r
+UNION ALL
+SELECT program_id, slot, {_VERSION}, 'account', 'State', '', 'total: u64; maxSize: {{"option":{{"option":"u16"}}}}' FROM ({_REG_P}) r
+UNION ALL
+SELECT program_id, slot, {_VERSION}, 'event', 'Resized', '', 'size: u32' FROM ({_REG_P}) r""")
+def schema_listing(spark, sf):
+    """D-7: the full listing: instructions with their accounts and arguments, account types, events."""
+    rows = V.listing(registry(spark, sf))
+    return rows.select("program_id", "slot", "version", "kind", "name", F.array_join("accounts", "; ").alias("accounts"),
+                       F.array_join("fields", "; ").alias("fields"))
+
+
 @job("idl_as_of", f"""
 WITH l AS (SELECT 'st' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR) AS signature,
                   l_orderkey AS slot, regexp_replace(lower(p_brand), '[^a-z0-9]', '_', 'g') AS program_id

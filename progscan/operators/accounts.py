@@ -12,7 +12,7 @@ view is an aggregate or a bounded window over it:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from progscan.functions.codec import DISC_PREFIX_ACCOUNT, discriminator_py
@@ -65,34 +65,23 @@ def as_of(history: DataFrame, slot: int, key: str = "pubkey", order=("slot", "se
     return latest_per_key(history.where(F.col("slot") <= F.lit(slot)), [key], list(order))
 
 
-def _differs(cols: list[str], prev_prefix: str) -> Column:
-    cond = F.lit(False)
-    for c in cols:
-        cond = cond | ~F.col(c).eqNullSafe(F.col(prev_prefix + c))
-    return cond
-
-
 def changes(history: DataFrame, value_cols: list[str], key: str = "pubkey", order=("slot", "seq"),
             bucket_slots: int = CHANGE_BUCKET_SLOTS) -> DataFrame:
     """L-2: observations whose values differ from the key's previous observation
     (the first observation of a key always counts as a change)."""
     o = list(order)
+    values = F.struct(*value_cols)
     h = history.withColumn("__b", F.floor(F.col("slot") / bucket_slots).cast("bigint"))
-    w = Window.partitionBy(key, "__b").orderBy(*o)
-    h = h.withColumn("__rn", F.row_number().over(w))
-    for c in value_cols:
-        h = h.withColumn("__p_" + c, F.lag(c).over(w))
-    # last values of each (key, bucket), then the previous bucket's last values
-    last = h.groupBy(key, "__b").agg(F.max_by(F.struct(*value_cols), F.struct(*o)).alias("__last"))
-    wb = Window.partitionBy(key).orderBy("__b")
-    prevb = last.select(key, "__b", F.lag("__last").over(wb).alias("__prev"))
-    first = h.where(F.col("__rn") == 1).drop(*["__p_" + c for c in value_cols])
-    first = first.join(prevb, [key, "__b"], "left").select(
-        *first.columns, *[F.col("__prev." + c).alias("__p_" + c) for c in value_cols], F.col("__prev").alias("__pv"))
-    first = first.where(F.col("__pv").isNull() | _differs(value_cols, "__p_")).drop("__pv")
-    rest = h.where((F.col("__rn") > 1) & _differs(value_cols, "__p_"))
-    out = first.unionByName(rest)
-    return out.drop("__b", "__rn", *["__p_" + c for c in value_cols])
+    # last values of each (key, bucket), then those of the key's previous bucket
+    last = h.groupBy(key, "__b").agg(F.max_by(values, F.struct(*o)).alias("__last"))
+    by_bucket = Window.partitionBy(key).orderBy("__b")
+    previous = last.select(key, "__b", F.lag("__last").over(by_bucket).alias("__carried"))
+    inside = Window.partitionBy(key, "__b").orderBy(*o)
+    h = h.withColumn("__rn", F.row_number().over(inside)).withColumn("__near", F.lag(values).over(inside))
+    # the row that opens a bucket compares with the carried values, every other one with the row before it
+    h = h.join(previous, [key, "__b"], "left")
+    before = F.when(F.col("__rn") == 1, F.col("__carried")).otherwise(F.col("__near"))
+    return h.where(before.isNull() | ~values.eqNullSafe(before)).select(*history.columns)
 
 
 def retention(history: DataFrame, keep_from_slot: int, bucket_slots: int = CHANGE_BUCKET_SLOTS) -> DataFrame:

@@ -286,10 +286,13 @@ def decode_events(tx: DataFrame, idl: Idl) -> DataFrame:
         "event_name", "signature", "slot", "block_time", "data")
 
 
-def decode_accounts(accounts: DataFrame, idl: Idl, type_names: list[str] | None = None) -> DataFrame:
+def decode_accounts(accounts: DataFrame, idl: Idl, type_names: list[str] | None = None,
+                    unknown: bool = False) -> DataFrame:
     """E-22 + A-8: decode an account dump by its 8-byte type prefix, all types in one pass.
 
     Columns: account_type, pubkey, slot, <normalised field columns>, data (JSON text).
+    ``unknown`` keeps accounts of no known type: without a type, data holds the
+    bytes as ``{"raw_hex": ...}``. Data shorter than a prefix is skipped.
     """
     spark = accounts.sparkSession
     pairs = [(n, d) for n, d in idl.account_discriminators() if type_names is None or n in type_names]
@@ -298,10 +301,15 @@ def decode_accounts(accounts: DataFrame, idl: Idl, type_names: list[str] | None
     if "disc" not in raw.columns:  # stored dumps carry it (see accounts.with_disc)
         raw = raw.where(F.length("raw_bytes") >= 8)
         raw = raw.withColumn("disc", F.lower(F.hex(F.substring("raw_bytes", 1, 8))))
-    m = raw.join(F.broadcast(defs.withColumnRenamed("name", "account_type")), "disc", "inner").drop("disc")
+    elif unknown:
+        raw = raw.where(F.length("raw_bytes") >= 8)
+    m = raw.join(F.broadcast(defs.withColumnRenamed("name", "account_type")), "disc", "left" if unknown else "inner").drop("disc")
     m = m.withColumnRenamed("raw_bytes", "raw")
     accs = OrderedDict((a.name, list(a.fields)) for a in idl.accounts if a.name in dict(pairs))
     m, cols = decode_by_definition(m, "account_type", accs, "", js_col="data")
+    if unknown:
+        hexed = F.concat(F.lit('{"raw_hex":"'), F.lower(F.hex("raw")), F.lit('"}'))
+        m = m.withColumn("data", F.when(F.col("account_type").isNull(), hexed).otherwise(F.col("data")))
     keep = [c for c in accounts.columns if c not in ("data", "disc")]
     return m.select("account_type", *keep, *cols, "data")
 

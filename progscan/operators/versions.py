@@ -28,6 +28,7 @@ IDL_SCHEMA = T.StructType([
         T.StructField("name", T.StringType()),
         T.StructField("type", T.StructType([T.StructField("kind", T.StringType()),
                                             T.StructField("fields", _ARGS)]))]))),
+    T.StructField("events", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("fields", _ARGS)]))),
 ])
 
 # fixed leading / trailing columns of an instruction table (name, storage class)
@@ -121,11 +122,11 @@ def schema_tables(docs: DataFrame) -> DataFrame:
                      for i, (n, t) in enumerate(IX_FIXED_HEAD)])
     accs = F.transform(F.coalesce(F.col("ix.accounts"), F.array().cast(_ACC)), lambda a, i: F.struct(
         (F.lit(len(IX_FIXED_HEAD)) + i).alias("ordinal"),
-        F.concat(F.lit("account_"), F.lower(a["name"])).alias("column_name"),
+        normalise_name(F.concat(F.lit("account_"), a["name"])).alias("column_name"),
         F.lit("TEXT").alias("storage_type")))
     args = F.transform(F.coalesce(F.col("ix.args"), F.array().cast(_ARGS)), lambda a, i: F.struct(
         (F.lit(len(IX_FIXED_HEAD)) + n_acc + i).alias("ordinal"),
-        F.concat(F.lit("arg_"), F.lower(a["name"])).alias("column_name"),
+        normalise_name(F.concat(F.lit("arg_"), a["name"])).alias("column_name"),
         storage_type(a["type"]).alias("storage_type")))
     n_args = F.size(F.coalesce(F.col("ix.args"), F.array().cast(_ARGS)))
     tail = F.array(*[F.struct((F.lit(len(IX_FIXED_HEAD) + i) + n_acc + n_args).alias("ordinal"),
@@ -151,7 +152,7 @@ def account_schema_tables(docs: DataFrame) -> DataFrame:
     head = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("column_name"), F.lit(t).alias("storage_type"))
                      for i, (n, t) in enumerate(ACC_FIXED_HEAD)])
     body = F.transform(flds, lambda a, i: F.struct(
-        (F.lit(len(ACC_FIXED_HEAD)) + i).alias("ordinal"), F.lower(a["name"]).alias("column_name"),
+        (F.lit(len(ACC_FIXED_HEAD)) + i).alias("ordinal"), normalise_name(a["name"]).alias("column_name"),
         storage_type(a["type"]).alias("storage_type")))
     tail = F.array(*[F.struct((F.lit(len(ACC_FIXED_HEAD) + i) + F.size(flds)).alias("ordinal"),
                               F.lit(n).alias("column_name"), F.lit(t).alias("storage_type"))
@@ -181,6 +182,34 @@ def catalog(docs: DataFrame) -> DataFrame:
                      F.size(F.coalesce("ix.args", F.array().cast(_ARGS))).alias("n_args"))
 
 
+def listing(docs: DataFrame) -> DataFrame:
+    """D-7: the full listing of each document: one row per instruction, account type and event.
+
+    Columns: program_id, slot, version, kind, name, accounts (names in order,
+    with ``mut`` / ``signer``), fields (``name: type`` in order, the type as
+    its JSON text).
+    """
+    text = lambda fs: F.transform(F.coalesce(fs, F.array().cast(_ARGS)),
+                                  lambda f: F.concat(f["name"], F.lit(": "), f["type"]))
+    flags = lambda a: F.concat_ws(" ", a["name"], F.when(a["isMut"], "mut"), F.when(a["isSigner"], "signer"))
+    none = F.array().cast("array<string>")
+
+    def entry(kind: str, name, accounts, fields):
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"), accounts.alias("accounts"), fields.alias("fields"))
+
+    def each(column: str, of):
+        dtype = IDL_SCHEMA[column].dataType
+        return F.transform(F.coalesce(F.col(f"doc.{column}"), F.array().cast(dtype)), of)
+
+    entries = F.concat(
+        each("instructions", lambda x: entry("instruction", x["name"], F.transform(
+            F.coalesce(x["accounts"], F.array().cast(_ACC)), flags), text(x["args"]))),
+        each("accounts", lambda x: entry("account", x["name"], none, text(x["type"]["fields"]))),
+        each("events", lambda x: entry("event", x["name"], none, text(x["fields"]))))
+    return parse(docs).select("program_id", "slot", F.col("doc.version").alias("version"), F.explode(entries).alias("e")) \
+        .select("program_id", "slot", "version", "e.*")
+
+
 def latest(registry: DataFrame) -> DataFrame:
     """Current version of each program (partial aggregation, not a window)."""
     return first_per_key(registry, ["program_id"], ["slot", "idl_hash"], last=True)

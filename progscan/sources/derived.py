@@ -84,7 +84,9 @@ IX_STRUCT = T.StructType([
 INNER_IX_STRUCT = T.StructType([
     T.StructField("programId", T.StringType()),
     T.StructField("data", T.StringType()),
+    T.StructField("accounts", T.ArrayType(T.StringType())),
 ])
+# Field names of a transaction record are fixed: they are the record format.
 TX_SCHEMA = T.StructType([
     T.StructField("signature", T.StringType()),
     T.StructField("slot", T.LongType()),
@@ -224,8 +226,9 @@ def settlement_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     supp = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
     inner = F.array(F.struct(
         F.lit(0).alias("index"),
-        F.array(F.struct(F.lit(PROGRAM_ID).alias("programId"), b64(first).alias("data")),
-                F.struct(F.lit(PROGRAM_ID).alias("programId"), b64(second).alias("data"))).alias("instructions"),
+        # inner instructions list their accounts in their own order, too
+        F.array(*[F.struct(F.lit(PROGRAM_ID).alias("programId"), b64(h).alias("data"), F.array(supp, order).alias("accounts"))
+                  for h in (first, second)]).alias("instructions"),
     ))
     meta = F.struct(
         F.when(F.col("l_returnflag") == "R", F.lit('{"InstructionError":[0,"InvalidAccountData"]}')).alias("err"),
@@ -322,5 +325,7 @@ def idl_deployments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('","instructions":[{"name":"initialize","accounts":[{"name":"authority","isMut":true,'
               '"isSigner":true}],"args":[{"name":"bump","type":"u8"}]},{"name":"'), ixname,
         F.lit('","accounts":[{"name":"owner","isMut":true,"isSigner":true}],"args":'), args,
-        F.lit('}],"accounts":[],"events":[]}'))
+        F.lit('}],"accounts":[{"name":"State","type":{"kind":"struct","fields":[{"name":"total","type":"u64"},'
+              '{"name":"maxSize","type":{"option":{"option":"u16"}}}]}}],'
+              '"events":[{"name":"Resized","fields":[{"name":"size","type":"u32"}]}]}'))
     return p.select(prog.alias("program_id"), F.col("p_partkey").alias("slot"), doc.alias("idl_json"))
