@@ -49,3 +49,34 @@ def test_cli_stream_accounts(spark, sf_small, capsys):
     snap = A.snapshot(hist.drop("batch_id", "data", "account_type"))
     assert snap.count() == hist.select("pubkey").distinct().count()
     capsys.readouterr()
+
+
+    # a sweep of the same accounts at a later slot goes to history and snapshot
+    dump = B.account_updates(spark, sf_small).orderBy("slot").dropDuplicates(["pubkey"])
+    dump.write.parquet(f"{base}/dump")
+    common = ["--sink", f"{base}/store"]
+    swept = cli.main(["resync", "--idl", f"{base}/idl.json", *common, "--source", f"{base}/dump", "--slot", "999999"], spark)
+    assert swept["accounts"] == {"Customer": dump.count()} and swept["batch_id"] == out_batches(spark, base)
+    key = dump.first()["pubkey"]
+    now = cli.main(["accounts", *common, "--pubkey", key], spark)["rows"]
+    assert [r["slot"] for r in now] == [999999]
+    page = cli.main(["accounts", *common, "--pubkey", key, "--history", "--limit", "2"], spark)["rows"]
+    assert page[0]["slot"] == 999999 and len(page) <= 2 and page == sorted(page, key=lambda r: -r["slot"])
+
+
+def out_batches(spark, base):
+    return spark.read.parquet(f"{base}/store/history").agg({"batch_id": "max"}).first()[0]
+
+
+def test_cli_versions(spark, sf_small, capsys):
+    from progscan.sources import derived as D
+
+    base = tempfile.mkdtemp(prefix="cli-idl-", dir="/tmp")
+    docs = D.idl_deployments(spark, sf_small)
+    docs.write.parquet(f"{base}/docs")
+    program = docs.first()["program_id"]
+    out = cli.main(["versions", "--source", f"{base}/docs", "--program", program], spark)
+    slots = [v["slot"] for v in out["versions"]]
+    assert slots == sorted(slots) and [v["version_no"] for v in out["versions"]] == list(range(1, len(slots) + 1))
+    assert {r["kind"] for r in out["current"]} == {"instruction", "account", "event"}
+    assert any(r["name"] == "initialize" and r["fields"] == ["bump: u8"] for r in out["current"])
