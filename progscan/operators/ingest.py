@@ -43,10 +43,10 @@ def _tx_order(tx_index: str = "tx_index", signature: str = "signature") -> Colum
 
 
 def _row_id(tx_order: Column, depth, pos1: Column, pos2: Column) -> Column:
-    """Positions beyond the radix (far more than a transaction can hold) are an error, not a wrong id."""
-    fits = (pos1 < POS_RADIX) & (pos2 < POS_RADIX)
-    return F.when(fits, ((tx_order * 2 + depth) * POS_RADIX + pos1) * POS_RADIX + pos2).otherwise(
-        F.raise_error(F.lit("instruction position beyond the id radix")).cast("bigint"))
+    """Positions beyond the radix (far more than a transaction can hold) share the last place; such rows of one
+    transaction are told apart by their other columns (``arrival_order``), those of one table by signature."""
+    last = F.lit(POS_RADIX - 1)
+    return ((tx_order * 2 + depth) * POS_RADIX + F.least(pos1, last)) * POS_RADIX + F.least(pos2, last)
 
 
 def program_instructions(tx: DataFrame, program_id: str) -> DataFrame:

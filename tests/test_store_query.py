@@ -206,3 +206,12 @@ def test_since_checkpoint_and_poll(spark):
     polled = [r["slot"] for r in X.poll_latest(tx, 290).collect()]
     assert polled == list(range(291, 301))  # newest 20 listed, then above the checkpoint
     assert [r["slot"] for r in X.poll_latest(tx, 0, listed=5).collect()] == list(range(296, 301))
+
+
+def test_positions_beyond_the_radix_share_the_last_place(spark):
+    one = _swap_tx("many", 7, 5)
+    ix = one[5][0][0] * (I.POS_RADIX + 5)
+    tx = spark.createDataFrame([(*one[:5], ((ix, one[5][0][1]),))], TX_SCHEMA)
+    d = I.decode_instructions(tx, IDL_SWAP, PID)
+    assert d.count() == I.POS_RADIX + 5 and d.select("id").distinct().count() == I.POS_RADIX
+    assert S.insert_ignore(d, ["ix_name", "signature"], ["slot", "id"]).first()["id"] == 0
