@@ -3,19 +3,21 @@
 The lines of a text that hold a word are hashed. Of every ``min_run``
 consecutive line hashes the minimum (rightmost on ties) is selected as the
 fingerprint of that window, so equal runs of ``min_run`` lines always select
-the same line; a single line of ``long_line`` words or more is a window of its
-own. Positions of equal fingerprints are joined where the match extends, both
-ways, to the whole window: the join key is the fingerprint, its place in the
-window, and the hashes of the lines to its left and right. The earliest
-position of a key stays; the lines of all later ones go. The union of later
-windows is the maximal run that extends each match, so what is deleted is
-exactly: every line in a run of at least ``min_run`` lines (or a long line)
-that also stands at an earlier position of the corpus. Earlier means: smaller
+the same line; a line of ``long_line`` words or more is a window of its own and
+selects itself. Only selected positions are emitted, one row each. They are
+joined to the fingerprints that stand more than once in the corpus; all others
+end there. From each position that is left the match is extended both ways, as
+far as the windows that selected it reach: a window is matched if the same
+fingerprint stands at an earlier position with the same lines to its left and
+right. Neighbouring windows of a longer run are matched from their own
+fingerprints and overlap, so their union is the maximal run. What is deleted is
+exactly: every line in a run of at least ``min_run`` lines (or a long line) that
+also stands at an earlier position of the corpus. Earlier means: smaller
 document key, or the same document further up.
 
-A hot line costs one row per document and key, after map-side aggregation; the
-join on the key is a plain equi-join whose large side may be split. Positions
-are only gathered per document.
+Fingerprints and windows are counted with map-side aggregation, and both joins
+are plain equi-joins with one row per key on the small side, so the large side
+of a hot line may be split. Positions are only gathered per document.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from progscan.llm.common import WORD, let, table, temp_names, text_or_empty, wor
 from progscan.llm.registry import job
 
 MIN_RUN = 2
-LONG_LINE = 20
+LONG_LINE = 2
 
 _HAS_WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -36,27 +38,29 @@ def lines_with_words(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(_HAS_WORD))
 
 
-def windows(text: Column, min_run: int, long_line: int) -> Column:
-    """array<struct<k1, k2, start, len>>: the windows of a text, named by fingerprint, place and hashes."""
-    def of_run(h: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            run = [F.get(h, i + j) for j in range(min_run)]
-            def named(fp: Column) -> Column:
-                place = F.coalesce(*[F.when(run[j] == fp, F.lit(j)) for j in reversed(range(min_run))])
-                return F.struct(F.xxhash64(fp, place, *run).alias("k1"), F.hash(*run).alias("k2"),
-                                i.cast("int").alias("start"), F.lit(min_run).alias("len"))
-            return let(F.least(*run) if min_run > 1 else run[0], named)
+def selected(text: Column, min_run: int, long_line: int) -> Column:
+    """array<struct<fp, i, wins array<struct<k1, k2, left, len>>>>: the selected lines of a text.
 
-        return F.transform(F.slice(h, 1, F.greatest(F.size(h) - (min_run - 1), F.lit(0))), one)
-
-    def of_line(x: Column, i: Column) -> Column:
-        return F.when(F.size(words(x)) >= long_line,
-                      F.struct(F.xxhash64(F.lit("line"), x).alias("k1"), F.hash(x).alias("k2"),
-                               i.cast("int").alias("start"), F.lit(1).alias("len")))
-
-    return let(lines_with_words(text), lambda ls: F.concat(
-        let(F.transform(ls, lambda x: F.xxhash64(x)), of_run),
-        F.filter(F.transform(ls, of_line), lambda x: x.isNotNull())))
+    fp is the line's hash and i its number. wins are the windows that selected it: the line is the left-th of len
+    lines, and k1, k2 name them all, with its place among them.
+    """
+    def position(h: Column, x: Column, i: Column) -> Column:
+        own = F.get(h, i)
+        wins = [F.when(F.size(words(x)) >= long_line, F.struct(
+            F.xxhash64(F.lit("line"), x).alias("k1"), F.hash(x).alias("k2"), F.lit(0).alias("left"), F.lit(1).alias("len")))]
+        for left in range(min_run):
+            run = [F.get(h, i + d) for d in range(-left, min_run - left)]
+            least = F.lit(True)
+            for j, other in enumerate(run):  # null beyond the text: no such window
+                least = least & (own <= other if j <= left else own < other)
+            wins.append(F.when((i >= left) & least, F.struct(
+                F.xxhash64(F.lit(left), *run).alias("k1"), F.hash(*run).alias("k2"), F.lit(left).alias("left"),
+                F.lit(min_run).alias("len"))))
+        return F.struct(own.alias("fp"), i.cast("int").alias("i"),
+                        F.filter(F.array(*wins), lambda w: w.isNotNull()).alias("wins"))
+
+    return let(lines_with_words(text), lambda ls: let(F.transform(ls, lambda x: F.xxhash64(x)), lambda h: F.filter(
+        F.transform(ls, lambda x, i: position(h, x, i)), lambda p: F.size(p["wins"]) > 0)))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_run: int = MIN_RUN,
@@ -66,22 +70,20 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     A document is named by o, its key (null: the largest number), and tid, a
     hash of its text; documents with equal keys and other texts are ordered by tid.
     """
-    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1)).alias("o"),
-                       F.xxhash64(text_or_empty(text)).alias("tid"),
-                       F.explode(windows(text_or_empty(text), min_run, long_line)).alias("w"))
-    by_doc = (rows.select("o", "tid", "w.*").groupBy("k1", "k2", "len", "o", "tid")
-              .agg(F.collect_set("start").alias("starts")))
-    # the first document of each key that stands more than once; one row per key
-    firsts = (by_doc.groupBy("k1", "k2", "len")
-              .agg(F.min(F.struct("o", "tid")).alias("first"), F.sum(F.size("starts")).alias("n"))
+    positions = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1)).alias("o"),
+                            F.xxhash64(text_or_empty(text)).alias("tid"),
+                            F.explode(selected(text_or_empty(text), min_run, long_line)).alias("p")).select("o", "tid", "p.*")
+    again = positions.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    matches = (positions.join(again, "fp").select("o", "tid", "i", F.explode("wins").alias("w"))
+               .select("w.k1", "w.k2", "w.len", "o", "tid", (F.col("i") - F.col("w.left")).alias("start")))
+    # the first place of each window that stands more than once; one row per window
+    at = F.struct("o", "tid", "start")
+    firsts = (matches.groupBy("k1", "k2", "len").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
               .where("n > 1").drop("n"))
-    own = F.struct("o", "tid") == F.col("first")
-    later = F.when(own, let(F.array_min("starts"), lambda s: F.filter("starts", lambda x: x > s))).otherwise(
-        F.col("starts"))
-    gone = F.flatten(F.transform("later", lambda s: F.sequence(s, s + F.col("len") - 1)))
-    return (by_doc.join(firsts, ["k1", "k2", "len"]).withColumn("later", later).where(F.size("later") > 0)
-            .select("o", "tid", gone.alias("gone"))
-            .groupBy("o", "tid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("removed")))
+    gone = F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)
+    return (matches.join(firsts, ["k1", "k2", "len"]).where(at > F.col("first"))
+            .select("o", "tid", F.explode(gone).alias("line"))
+            .groupBy("o", "tid").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 
 
 def without_lines(text: Column, removed: Column) -> Column:
