@@ -1,8 +1,9 @@
 import re
 
+import duckdb
 from progscan.llm import licenses as L
 from pyspark.sql import functions as F
-from tests.llm.helpers import ODD, documents
+from tests.llm.helpers import ODD, documents, stored
 
 GPL = """This program is free software: you can redistribute it and/or modify
 it under the terms of the GNU General Public License as published by
@@ -60,7 +61,7 @@ def test_order_matters(spark):
 def test_tables_are_consistent():
     names = [n for n, _ in L.SENTENCES]
     assert len(set(names)) == len(names)
-    assert {x for _, rule in L.RULES for x in rule} <= set(names)
+    assert {x for _, rule in L.RULES for x in rule} <= {*names, *(f"Spdx-{x}" for x in L.SPDX)}
     for _, p in L.SENTENCES:
         assert re.search(L.HINT, p), p
 
@@ -91,3 +92,50 @@ def test_several_notices_in_a_sentence(spark):
     assert {i: r.licenses for i, r in got.items()} == {i: want for i, (_, want) in cases.items()}
     assert all(not r.unmatched for r in got.values())
     assert [x.id for x in got[3].sentences] == ["Apache2", "ApacheUse", "ApacheCopy", "ApacheWarranty", "ApacheSee"]
+
+
+BSD = """Copyright (c) 2020, A. Person. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation."""
+EXPRESSIONS = {
+    1: ("# SPDX-License-Identifier: Zlib", ["Zlib"], []),
+    2: ("<!-- SPDX-License-Identifier: (mit OR gpl-2.0+)-->\nThe end.", ["MIT", "GPL-2.0-or-later"], []),
+    3: ("SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0 AND Own-1.0", ["GPL-2.0-only"], ["Spdx-Own-1.0"]),
+    4: ("SPDX-License-Identifier: MIT this is no more of it", ["MIT"], []),
+    5: ("SPDX-License-Identifier: " + " OR ".join(["ISC", "Apache-2.0"] * 2000), ["ISC", "Apache-2.0"] * 2000, []),
+    6: ("spdx-license-identifier:\nMIT", [], []),
+    7: (BSD, ["BSD-2-Clause"], []),
+    8: ("(c) A. Person. All rights reserved.", ["Proprietary"], []),
+    9: ("All rights reserved. Released under the MIT License. All rights reserved.", ["MIT"], []),
+    10: ("\u0002MIT\u0001 licensed under the apache license version 2.0", ["Apache-2.0"], []),
+    11: ("\n *\n *\n * Released under the MIT License\n *\n * Licensed under CC BY 4.0\n */", ["MIT", "CC-BY-4.0"], []),
+}
+
+
+def test_expressions_and_support(spark):
+    rows = [(i, x[0]) for i, x in EXPRESSIONS.items()]
+    got = {r.doc_id: (r.licenses, r.unmatched) for r in L.scan_licenses(documents(spark, rows)).collect()}
+    assert got == {i: (licences, unmatched) for i, (_, licences, unmatched) in EXPRESSIONS.items()}
+
+
+def test_query_is_its_sql(spark, tmp_path):
+    """Texts with several notices in a sentence, commented headers, expressions, odd texts."""
+    texts = [t for t, _ in CASES.values()] + [x[0] for x in EXPRESSIONS.values()] + [t for _, t in ODD]
+    texts += [commented(t, m) for t in (GPL, MIT, HEADER, BSD) for m in (" *", "#", "//", "--")]
+    texts += ["Released under the MIT License\nLicensed under CC BY-NC 4.0\n", "// SPDX-License-Identifier: Apache-2.0 OR MIT\nint x",
+              "permission\n\n\nreserved ;\n;#\n#\n#\nsee the license", "licence " * 3000]
+    folder = stored(spark, tmp_path, list(enumerate(texts)))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    sql = con.execute(L._oracle())
+    names = [c[0] for c in sql.description]
+    want = sorted(sql.fetchall())
+    got = L.op2(spark, folder)
+    assert got.columns == names and sorted(tuple(r) for r in got.collect()) == want and len(want) == len(texts)
