@@ -4,11 +4,17 @@ Rules look at statistics of a whole text and vote +1 (good), -1 (junk) or 0
 (abstain). How far each vote can be trusted is not set by hand: expectation
 maximisation over the votes of all documents estimates it. Junk comes in kinds
 (symbol noise, shouting, repetition, odd words) that hardly ever meet in one
-text, so the hidden classes are good and one junk class per kind; within a class
-the rules vote independently, each with its own rates of -1, 0 and +1 (its
-accuracies). A document's verdict is the posterior probability of good, and every
-kind of junk has two rules: one dissenting rule does not reject a text, several
-weak signs can.
+text, so the hidden classes are good and one junk class per kind. Every kind of
+junk has two rules that look at the same texts from two sides, so their votes are
+not independent: within a class the rules of a kind vote together, with a rate for
+each way in which they can dissent (their accuracies), and the kinds vote
+independently. Rules that abstain say nothing. A
+document's verdict is the posterior probability of good, and nothing else.
+
+What is known beforehand weighs as much as the votes, whatever the size of the
+corpus: both rules of a kind hardly ever dissent on good texts, one of them may.
+So one dissenting rule does not reject a text, as common as such texts may be,
+and several weak signs can.
 
 Symbols that are markup (at line starts, in the rows of tables framed by bars,
 in tags, around or before words) are no noise, and word lengths say nothing in
@@ -21,6 +27,7 @@ rules here, whatever the input), and the driver iterates over that table.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,26 +138,64 @@ def default_rules(of=F.col) -> dict[str, Column]:
 VOTES = (-1, 0, 1)
 #: Before any data: how a rule votes (-1, 0, 1) on good texts, on its own kind of junk, on other junk.
 PRIOR = {"good": (0.005, 0.145, 0.85), "own": (0.8, 0.15, 0.05), "other": (0.02, 0.18, 0.8)}
+#: Before any data: how often none, one, or more rules of a kind dissent together.
+PRIOR_DISSENT = {"good": (0.969, 0.03, 0.001), "own": (0.05, 0.15, 0.8), "other": (0.94, 0.05, 0.01)}
 PRIOR_GOOD = 0.85
+#: What the prior is worth, in documents for each one of the corpus.
+STRENGTH = 1.0
+
+
+def _outcomes(rules: tuple[str, ...]) -> list:
+    """What a factor can say: the vote of a single rule, or which of its rules dissent."""
+    return list(VOTES) if len(rules) == 1 else list(itertools.product((0, 1), repeat=len(rules)))
+
+
+def _prior(role: str, rules: tuple[str, ...]) -> dict:
+    """Rates of a factor before any data; those of several rules are rescaled to ``PRIOR_DISSENT``."""
+    alone = dict(zip(VOTES, PRIOR[role]))
+    if len(rules) == 1:
+        return alone
+    rate = {o: math.prod(alone[-1] if v else 1 - alone[-1] for v in o) for o in _outcomes(rules)}
+    dissent = {o: min(sum(o), 2) for o in rate}
+    mass = [sum(p for o, p in rate.items() if dissent[o] == d) for d in range(3)]
+    return {o: p * PRIOR_DISSENT[role][dissent[o]] / mass[dissent[o]] for o, p in rate.items()}
 
 
 class Model:
-    """share[class], and rate[class][rule][vote]; the class "good" and the kinds of junk."""
+    """share[class], and rate[class][factor][votes]; the class "good" and the kinds of junk.
 
-    def __init__(self, share: dict[str, float], rate: dict[str, dict[str, dict[int, float]]]):
-        self.share, self.rate = share, rate
+    factors names the rules that vote together. Where all of them abstain, they
+    say nothing about any class; an abstaining rule beside a voting one does not
+    dissent.
+    """
 
-    def joint(self, votes: dict[str, int]) -> dict[str, float]:
-        return {c: s * math.prod(self.rate[c][r][v] for r, v in votes.items()) for c, s in self.share.items()}
+    def __init__(self, factors: dict[str, tuple[str, ...]], share: dict[str, float], rate: dict[str, dict[str, dict]]):
+        self.factors, self.share, self.rate = factors, share, rate
+
+    def outcome(self, votes: dict[str, int]) -> dict:
+        return {f: votes[rules[0]] if len(rules) == 1 else tuple(int(votes[r] == -1) for r in rules)
+                for f, rules in self.factors.items() if len(rules) == 1 or any(votes[r] for r in rules)}
+
+    def joint(self, outcome: dict) -> dict[str, float]:
+        return {c: s * math.prod(self.rate[c][f][o] for f, o in outcome.items()) for c, s in self.share.items()}
 
     def posterior(self, votes: dict[str, Column]) -> Column:
         """Posterior probability of good, as an expression over vote columns."""
+        said = {}  # per factor: the place in the list of outcomes; null where all rules abstain
+        for f, rules in self.factors.items():
+            if len(rules) == 1:
+                said[f] = votes[rules[0]].cast("int") + 1
+                continue
+            place = F.lit(0)
+            for r in rules:
+                place = place * 2 + (votes[r] == -1).cast("int")
+            said[f] = F.when(F.greatest(*[F.abs(votes[r]) for r in rules]) > 0, place)
         logs = []
         for c in self.share:
             x = F.lit(math.log(self.share[c]))
-            for r, column in votes.items():
-                v = {k: math.log(p) for k, p in self.rate[c][r].items()}
-                x = x + F.when(column == 1, v[1]).when(column == -1, v[-1]).otherwise(v[0])
+            for f, rules in self.factors.items():
+                rates = F.array(*[F.lit(math.log(self.rate[c][f][o])) for o in _outcomes(rules)])
+                x = x + F.coalesce(F.get(rates, said[f]), F.lit(0.0))
             logs.append(x.alias(c))
         # 1 / sum of exp(log class - log good)
         return let(F.struct(*logs), lambda s: 1 / sum((F.exp(s[c] - s["good"]) for c in self.share if c != "good"),
@@ -158,35 +203,43 @@ class Model:
 
 
 def expectation_maximisation(kinds: dict[str, str], patterns: list[tuple[dict[str, int], int]], rounds: int = 200,
-                             strength: float = 1.0) -> Model:
+                             strength: float = STRENGTH, together: bool = False) -> Model:
     """Fit the model to (votes by rule, count) patterns.
 
-    The prior is worth ``strength`` times the votes themselves, at every size of
-    input: it names the classes and holds every rate above 0; 0.0 and one
-    imagined document still do the latter. Without patterns the prior is the
-    model.
+    The prior is worth ``strength`` imagined documents for each one of the
+    corpus, and one more, divided by its shares of the classes: it names the
+    classes and holds every rate above 0. Kinds of junk hardly ever meet, so
+    the votes alone do not tell a rare kind from an uncommon sort of good text;
+    a prior that fades with the input lets an idle junk class take over such
+    texts. Without patterns the prior is the model. The rules of a kind vote
+    together, or each for itself.
     """
     classes = ["good", *dict.fromkeys(kinds.values())]
-    prior = {c: {r: dict(zip(VOTES, PRIOR["good" if c == "good" else "own" if k == c else "other"]))
-                 for r, k in kinds.items()} for c in classes}
+    if together:
+        factors = {k: tuple(r for r in kinds if kinds[r] == k) for k in classes[1:]}
+    else:
+        factors = {r: (r,) for r in kinds}
+    prior = {c: {f: _prior("good" if c == "good" else "own" if kinds[rules[0]] == c else "other", rules)
+                 for f, rules in factors.items()} for c in classes}
     prior_share = {c: PRIOR_GOOD if c == "good" else (1 - PRIOR_GOOD) / (len(classes) - 1) for c in classes}
-    model, total = Model(prior_share, prior), sum(n for _, n in patterns)
+    model, total = Model(factors, prior_share, prior), sum(n for _, n in patterns)
+    imagined = {c: (1 + strength * total) * p for c, p in prior_share.items()}
+    outcomes = [(model.outcome(votes), n) for votes, n in patterns]
     for _ in range(rounds):
         mass = dict.fromkeys(classes, 0.0)
-        seen = {c: {r: dict.fromkeys(VOTES, 0.0) for r in kinds} for c in classes}
-        for votes, n in patterns:
-            joint = model.joint(votes)
+        seen = {c: {f: dict.fromkeys(_outcomes(rules), 0.0) for f, rules in factors.items()} for c in classes}
+        for outcome, n in outcomes:
+            joint = model.joint(outcome)
             whole = sum(joint.values())
             for c, p in joint.items():
                 mass[c] += n * p / whole
-                for r, v in votes.items():
-                    seen[c][r][v] += n * p / whole
-        share = {c: (mass[c] + (1 + strength * total) * prior_share[c]) / (total + 1 + strength * total)
-                 for c in classes}
-        rate = {c: {r: {v: (seen[c][r][v] + (1 + strength * mass[c]) * prior[c][r][v])
-                        / (mass[c] + 1 + strength * mass[c]) for v in VOTES} for r in kinds} for c in classes}
-        moved = max(abs(rate[c][r][v] - model.rate[c][r][v]) for c in classes for r in kinds for v in VOTES)
-        model = Model(share, rate)
+                for f, o in outcome.items():
+                    seen[c][f][o] += n * p / whole
+        share = {c: (mass[c] + imagined[c]) / (total + 1 + strength * total) for c in classes}
+        rate = {c: {f: {o: (seen[c][f][o] + imagined[c] * p) / (sum(seen[c][f].values()) + imagined[c])
+                        for o, p in prior[c][f].items()} for f in factors} for c in classes}
+        moved = max(abs(p - model.rate[c][f][o]) for c in classes for f in factors for o, p in rate[c][f].items())
+        model = Model(factors, share, rate)
         if moved < 1e-9:
             break
     return model
@@ -198,23 +251,18 @@ def fit(stats: DataFrame, rules: dict[str, Column] | None = None, kinds: dict[st
     rows = (stats.where("n_words > 0").select(*[v.cast("int").alias(n) for n, v in rules.items()])
             .groupBy(*rules).agg(F.count(F.lit(1)).alias("documents")).collect())
     patterns = [({r: row[r] for r in rules}, row["documents"]) for row in rows]
-    return expectation_maximisation({r: kinds[r] for r in rules}, sorted(patterns, key=str))
+    return expectation_maximisation({r: kinds[r] for r in rules}, sorted(patterns, key=str), together=True)
 
 
 def base_failed(of=F.col) -> Column:
     return (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > MAX_REPEAT_PERCENT * of("n_words"))
 
 
-def good_enough(quality: Column, votes: dict[str, Column], threshold: float) -> Column:
-    """The posterior reaches the threshold, or not more than one rule dissents."""
-    return (quality >= threshold) | (sum((v == -1).cast("int") for v in votes.values()) <= 1)
-
-
 def judge(stats: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The statistics with base_failed, quality (posterior of good) and kept."""
     return (stats.withColumn("base_failed", base_failed())
             .withColumn("quality", model.posterior(default_rules()))
-            .withColumn("kept", ~F.col("base_failed") & good_enough(F.col("quality"), default_rules(), threshold)))
+            .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)))
 
 
 def quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,8 +290,7 @@ def keep_good(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD)
     marked = written(docs.withColumn(beside, statistics_of(F.col(text))), "quality-marked")
     model = fit(marked.select(f"{beside}.*"))
     of = lambda n: F.col(beside)[n]
-    votes = default_rules(of)
-    return marked.where(~base_failed(of) & good_enough(model.posterior(votes), votes, threshold)).drop(beside)
+    return marked.where(~base_failed(of) & (model.posterior(default_rules(of)) >= threshold)).drop(beside)
 
 
 @job("op4_weak_supervision")

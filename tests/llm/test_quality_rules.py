@@ -87,3 +87,36 @@ def test_one_dissenting_rule_does_not_reject(spark):
     rows = [(i, prose.format(i=i, j=i * 7) + ("\nend &&&&&&&" if i % 20 == 0 else "")) for i in range(400)]
     got = Q.quality(documents(spark, rows)).collect()
     assert all(r.kept for r in got) and min(r.n_noise for r in got if r.k % 20 == 0) == 7
+
+
+def test_posterior_column_is_the_model(spark):
+    """All vote patterns of the rules; the verdict is the posterior and nothing else."""
+    names = list(Q.KINDS)
+    patterns = [dict(zip(names, v)) for v in itertools.product((-1, 0, 1), repeat=len(names))]
+    counts = [(v, 1 + 5 * sum(x == 1 for x in v.values()) ** 3) for v in patterns]
+    m = Q.expectation_maximisation(Q.KINDS, counts, together=True)
+    rows = spark.createDataFrame([tuple(v.values()) for v in patterns], ", ".join(f"{n} int" for n in names))
+    got = rows.select(*names, m.posterior({n: rows[n] for n in names}).alias("q")).collect()
+    for r in got:
+        joint = m.joint(m.outcome({n: r[n] for n in names}))
+        assert abs(r["q"] - joint["good"] / sum(joint.values())) < 1e-9
+    text = [(i, t) for i, t in ODD] + [(50, "A B! C $$ " * 9), (51, "clean words stand here in one line of ten words only")]
+    assert all(r.kept == (not r.base_failed and r.quality >= Q.THRESHOLD) for r in Q.quality(documents(spark, text)).collect())
+
+
+def test_kinds_at_every_share_and_size():
+    """Whatever their share: one dissenting rule or abstentions do not reject, both rules of a kind do."""
+    names, fine = list(Q.KINDS), (1,) * 8
+    for share, scale in itertools.product((0.01, 0.05, 0.33), (1, 10 ** 6)):
+        def verdict(votes):
+            n = 10000 * scale
+            counts = [(fine, round(n * (1 - share))), (votes, round(n * share)), ((-1, -1, 1, 1, 1, 1, 1, 1), n // 50)]
+            m = Q.expectation_maximisation(Q.KINDS, [(dict(zip(names, v)), k) for v, k in counts], together=True)
+            joint = m.joint(m.outcome(dict(zip(names, votes))))
+            return joint["good"] / sum(joint.values())
+
+        for i in range(8):
+            assert verdict(fine[:i] + (-1,) + fine[i + 1:]) > 0.5
+        assert verdict((1, 1, 0, 0, 1, 1, 0, 0)) > 0.9
+        for i in (0, 2, 4, 6):
+            assert verdict(fine[:i] + (-1, -1) + fine[i + 2:]) < 0.5
