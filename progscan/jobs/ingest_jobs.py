@@ -8,7 +8,7 @@ from progscan.functions.binary import le_hex
 from progscan.functions.codec import DISC_PREFIX_EVENT, EVENT_LOG_PREFIX, discriminator_hex
 from progscan.jobs._base import (
     ACT, ACT_IX_HEX, EV, IDL, IX_ACT, IX_ALL, IX_STL_ALL, PID, STL, STL_IX_HEX1, STL_IX_HEX2, TX, decode_events,
-    decoded, job,
+    decoded, ix_table, job,
     sql_b64, sql_le_hex, sql_str_hex, stored, transactions,
 )
 from progscan.operators import ingest as I
@@ -195,7 +195,7 @@ def ix_dedup(spark, sf):
     d = decoded(spark, sf).where(F.col("ix_name") == "settle")
     order = ["slot", "id"] + [c for c in d.columns if c not in ("ix_name", "signature", "slot", "id")]
     # what an earlier run stored: the stored table below the checkpoint (read, not recomputed)
-    existing = stored(spark, sf).where((F.col("ix_name") == "settle") & (F.col("slot") < CHECKPOINT))
+    existing = stored(spark, sf, ["settle"]).where((F.col("ix_name") == "settle") & (F.col("slot") < CHECKPOINT))
     new = S.insert_ignore(d, ["ix_name", "signature"], order, existing=existing)
     return new.select(*_SETTLE_COLS)
 
@@ -207,7 +207,7 @@ def ix_dedup(spark, sf):
      f"arg_userid FROM {IX_ALL} x WHERE ix_name = 'purchase'")
 def ix_stored_text(spark, sf):
     """B-9 / E-21: every value as the stored text ``String(v)`` (NULL stays NULL)."""
-    t = I.instruction_table(stored(spark, sf), IDL, "purchase")
+    t = ix_table(spark, sf, "purchase")
     return S.stored_text(t)
 
 
@@ -330,7 +330,7 @@ SELECT id, signature, slot, CAST(arg_quantity AS DECIMAL(20,0)) AS arg_quantity,
 FROM {IX_ALL} x WHERE ix_name = 'settle'""")
 def ix_typed(spark, sf):
     """Typed mode: stored text converted to the IDL types (u64 -> decimal(20,0), u8 -> smallint)."""
-    t = I.instruction_table(stored(spark, sf), IDL, "settle", mode="typed")
+    t = I.instruction_table(stored(spark, sf, ["settle"]), IDL, "settle", mode="typed")
     return t.select("id", "signature", "slot", "arg_quantity", "arg_price", "arg_discount")
 
 
