@@ -19,6 +19,7 @@ from progscan.sources import transactions as X
 
 SCAN_FROM, SCAN_TO = 3000, 6000
 CHECKPOINT = 9000
+JSON_LINES_PER_FILE = 500_000
 
 
 @job("tx_scan", f"SELECT * FROM ({TX}) t")
@@ -337,9 +338,10 @@ def ix_typed(spark, sf):
 @job("tx_scan_json", f"SELECT * FROM ({TX}) t")
 def tx_scan_json(spark, sf):
     """A-1 on the JSON format: transactions written as JSON lines and read back with the
-    fixed nested schema (no inference)."""
+    fixed nested schema (no inference). A gzip file is read by one task, so each holds a bounded number of lines."""
     path = scratch_dir(spark, "tx_json")
-    transactions(spark, sf).write.json(path)
+    (transactions(spark, sf).write.option("compression", "gzip").option("maxRecordsPerFile", JSON_LINES_PER_FILE)
+     .json(path))
     return X.flat(X.read_transactions(spark, path, fmt="json"))
 
 

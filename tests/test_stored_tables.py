@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from progscan.jobs import QUERIES
 from progscan.jobs import _base as B
 from progscan.session import ensure_checkpoint_dir
 from progscan.sources.staging import _source_key
@@ -25,3 +26,11 @@ def test_type_is_matched_before_decode_and_dedup(spark, sf_small):
     plan = one._jdf.queryExecution().optimizedPlan().toString()
     assert "ix_name" in plan and plan.index("Window") < plan.rindex("purchase")
     assert "settle" not in "".join(x for x in plan.splitlines() if "Window" in x or "Filter" in x)
+
+
+def test_json_transactions_are_compressed(spark, sf_small):
+    before = set(glob.glob(f"{ensure_checkpoint_dir(spark)}/tx_json-*".replace("file:", "")))
+    assert QUERIES["tx_scan_json"](spark, sf_small).count() == B.transactions(spark, sf_small).count()
+    new, = set(glob.glob(f"{ensure_checkpoint_dir(spark)}/tx_json-*".replace("file:", ""))) - before
+    parts = glob.glob(f"{new}/part-*")
+    assert parts and all(p.endswith(".json.gz") for p in parts)
