@@ -9,8 +9,11 @@ every piece of the vocabulary. One survivor, the best path, is kept per node:
   neighbours, encoded alone, come out as these two pieces, so an edge survives
   only behind a piece it is stable with, and at most one path reaches a node.
 
-Only the nodes of the last ``longest piece`` characters can still be left by an
-edge. Every so many characters their backpointers are followed until all meet
+The edges into a boundary are those of the pieces that end there, which an
+automaton tells as it reads the text (a step per character; its states, the
+beginnings of pieces, are made when first met), so no other substring is looked
+up. Only the nodes of the last ``longest piece`` characters can still be left by
+an edge. Every so many characters their backpointers are followed until all meet
 in one boundary; what lies before it can no longer change, its ids are
 committed and its nodes forgotten. A text of any length so needs a window, not
 a lattice. Where no piece contains two adjacent characters (in the models at
@@ -111,14 +114,24 @@ class Vocabulary:
 class Piece:
     """A piece (or a character that is none): its text, score, and the two pieces that merge into it last."""
 
-    __slots__ = ("text", "score", "left", "right", "stable")
+    __slots__ = ("text", "score", "left", "right", "stable", "ids")
 
     def __init__(self, text: str, score: float):
         self.text, self.score = text, score
         self.left = self.right = None
+        self.ids = None  # int32 bytes, once asked for
         self.stable = None  # not yet known whether, encoded alone, it comes out as itself
 
 
+class State:
+    """What the characters read so far can still become: their longest end that begins a piece."""
+
+    __slots__ = ("text", "ends", "next")
+
+    def __init__(self, text: str):
+        self.text, self.ends, self.next = text, [], {}
+
+
 class StreamingViterbi:
     """Encodes normalised text piece by piece; ``commits`` tells where paths met, for tests."""
 
@@ -127,6 +140,8 @@ class StreamingViterbi:
         self.table = {text: Piece(text, score) for text, score in vocab.scores.items()}
         self.others: dict[str, Piece] = {}  # single characters that are no pieces
         self.fitting: dict[tuple[Piece, Piece], bool] = {}
+        self.begun = {text[:i] for text in vocab.scores for i in range(1, len(text) + 1)}
+        self._forget()
 
     def _piece(self, text: str) -> Piece:
         """The piece of this text, or of a single character that is none, with its parts."""
@@ -174,51 +189,75 @@ class StreamingViterbi:
             else:
                 return True
 
-    def pieces(self, text: str, commits: list[int] | None = None) -> Iterator[str]:
+    def _step(self, state: State, char: str) -> State:
+        """The state behind one more character: the longest end of what was read that begins a piece, and the pieces
+        (BPE: those that can survive) that end there, long ones first. A character no piece begins with is not kept."""
+        text = state.text + char
+        while text not in self.begun and text:
+            text = text[1:]
+        got = self.states.get(text)
+        if got is None:
+            got = State(text)
+            ends = [text[i:] for i in range(len(text) - 1) if text[i:] in self.table]
+            got.ends = [(len(p.text), p) for p in map(self._piece, [*ends, char]) if p.stable or self.v.kind != "bpe"]
+            if not text:
+                got.next = self.start.next
+                return got
+            self.states[text] = got
+        if self.steps >= 2 * CACHE_ITEMS:
+            self._forget()
+        self.steps += 1
+        state.next[char] = got
+        return got
+
+    def _forget(self) -> None:
+        self.start, self.states, self.steps = State(""), {}, 0
+
+    def found(self, text: str, commits: list[int] | None = None) -> Iterator[Piece]:
         """The pieces of a normalised text, each as soon as no later character can change it."""
-        longest, find, bpe, fitting = self.v.longest, self.table.get, self.v.kind == "bpe", self.fitting
+        longest, bpe, fitting = self.v.longest, self.v.kind == "bpe", self.fitting
+        known, state = fitting.get, self.start
         root = (0, None, None, 0.0)  # boundary, backpointer, piece that ends here, score
-        alive = [root]
-        for end in range(1, len(text) + 1):
+        nodes = [root]  # of the last boundaries, every one of which is reached
+        for end, char in enumerate(text, 1):
+            state = state.next.get(char) or self._step(state, char)
             best = None
-            for node in alive:  # long pieces first
-                piece = find(text[node[0]:end])
-                if piece is None:
-                    if end - node[0] > 1:
-                        continue
-                    piece = self._piece(text[node[0]:end])
-                if piece.stable is None:
-                    self._piece(piece.text)
-                if bpe:
-                    if not piece.stable:
-                        continue
-                    if node[2] is not None:
-                        fits = fitting.get((node[2], piece))
+            if bpe:
+                for size, piece in state.ends:
+                    node = nodes[-size]
+                    left = node[2]
+                    if left is not None:
+                        fits = known((left, piece))
                         if fits is None:
                             if len(fitting) >= 2 * CACHE_ITEMS:
                                 fitting.clear()
-                            fits = fitting[node[2], piece] = self._fits(node[2], piece)
+                            fits = fitting[left, piece] = self._fits(left, piece)
                         if not fits:
                             continue
                     best = (end, node, piece, 0.0)
                     break
-                elif best is None or node[3] + piece.score >= best[3]:
-                    best = (end, node, piece, node[3] + piece.score)
-            if best is not None:
-                alive.append(best)
-            if alive[0][0] <= end - longest and len(alive) > 1:
-                del alive[0]
+            else:
+                for size, piece in state.ends:
+                    node = nodes[-size]
+                    if best is None or node[3] + piece.score >= best[3]:
+                        best = (end, node, piece, node[3] + piece.score)
+            nodes.append(best)
             if end % longest == 0:
-                met = self._meet(alive)
+                del nodes[:-longest]
+                met = self._meet(nodes)
                 if met is not root:
                     yield from self._path(met, root)
                     # the meeting point becomes the root: nothing before it is kept
                     root = (met[0], None, met[2], 0.0)
-                    alive = self._rooted(alive, met, root)
+                    nodes = self._rooted(nodes, met, root)
                     if commits is not None:
                         commits.append(root[0])
         if text:
-            yield from self._path(alive[-1], root)
+            yield from self._path(nodes[-1], root)
+
+    def pieces(self, text: str, commits: list[int] | None = None) -> Iterator[str]:
+        """The texts of ``found``."""
+        return (p.text for p in self.found(text, commits))
 
     @staticmethod
     def _meet(nodes: list) -> tuple:
@@ -243,10 +282,10 @@ class StreamingViterbi:
         return [copy(n) for n in alive]
 
     @staticmethod
-    def _path(node: tuple, root: tuple) -> list[str]:
+    def _path(node: tuple, root: tuple) -> list[Piece]:
         out = []
         while node is not root:
-            out.append(node[2].text)
+            out.append(node[2])
             node = node[1]
         return out[::-1]
 
@@ -271,11 +310,14 @@ class Codec:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _ids(self, p: Piece) -> bytes:
+        p.ids = np.array(self.v.ids_of(p.text), dtype=np.int32).tobytes()
+        return p.ids
+
     def _stretch(self, s: str) -> bytes:
         got = self.old.get(s)
         if got is None:
-            ids = [i for p in self.viterbi.pieces(s) for i in self.v.ids_of(p)]
-            got = np.array(ids, dtype=np.int32).tobytes()
+            got = b"".join([p.ids or self._ids(p) for p in self.viterbi.found(s)])
         if len(s) <= CACHE_CHARS:
             if len(self.new) >= CACHE_ITEMS:
                 self.new, self.old = {}, self.new

@@ -13,6 +13,7 @@ from tests.llm.helpers import ODD, documents
 MODEL = P.read_model()
 CODEC = P.Codec(MODEL)
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
+SMALL = P.Codec(MODEL)
 
 texts = st.text(st.one_of(st.sampled_from("  \n\tthe aeioursn.,!0▁é漢字🎉"), st.characters(exclude_categories=["Cs"])),
                 max_size=60)
@@ -65,3 +66,24 @@ def test_frame(spark):
     assert len(rows) == len(ODD) and all(r.ok and r.back == (r.text or "") for r in rows)
     assert all(list(r.ids) == LIBRARY.encode(r.text or "") for r in rows)
     assert P.encode(d.where("false")).count() == 0
+
+
+def test_a_walk_over_known_characters_looks_nothing_up():
+    """The pieces that end at a boundary come from the automaton, not from a lookup of every substring."""
+    v = P.StreamingViterbi(CODEC.v)
+    text = "▁the▁interesting▁ñandú▁漢字"
+    first = list(v.pieces(text))
+    v.table = None
+    assert list(v.pieces(text[:-2])) == first[:-2] and first[-2:] == ["漢", "字"]
+
+
+@settings(max_examples=100, deadline=None)
+@given(texts)
+def test_same_ids_when_the_automaton_is_forgotten(text):
+    codec, items = SMALL, P.CACHE_ITEMS
+    P.CACHE_ITEMS = 5
+    try:
+        assert codec.encode(text * 3).tolist() == LIBRARY.encode(text * 3)
+    finally:
+        P.CACHE_ITEMS = items
+    assert codec.viterbi.steps <= 10
