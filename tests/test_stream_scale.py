@@ -111,6 +111,20 @@ def test_equal_places_are_told_apart_by_what_is_decoded(spark, sf_small):
     assert _rows(P.read_stored(spark, sink).select(*cols)) == _rows(want.select(*cols))
 
 
+def test_source_is_replayed_from_its_files(spark, sf_small, monkeypatch):
+    written = []
+    monkeypatch.setattr(J, "_write_source", lambda *a, f=J._write_source, **b: (written.append(a), f(*a, **b)))
+    out = J.stream_dedup(spark, sf_small)
+    assert len(written) == 1
+    assert out.count() == B.ingest_instructions(spark, sf_small).count()
+    sink = written[0][2].removesuffix("/source") + "/sink"
+    state = spark.read.parquet(f"{sink}/state").groupBy((F.col("batch_id") >= J.FILES).alias("again")).agg(
+        F.sum("instructions_stored").alias("stored"), F.sum("tx_ok").alias("ok"), F.count(F.lit(1)).alias("n"))
+    first, again = sorted(state.collect(), key=lambda r: r["again"])
+    assert first["n"] > 1 and again["n"] > 1 and first["ok"] == again["ok"]
+    assert first["stored"] == out.count() and again["stored"] == 0
+
+
 def test_integers_are_placed_by_the_payload_length(spark):
     rnd = random.Random(5)
     for types in (["u64", "u16", "u32"], ["u64", "u64", "u8"], ["i32", "i8", "i64", "i16"], ["u8", "u64", "u32", "u16", "i8"]):
